@@ -41,3 +41,43 @@ def readmission_rate_by_type(spark: SparkSession, sf_dir: str, days: int = 30) -
         F.round(F.avg(lab.cast("double")), 6).alias("readmit_rate"),
         F.count_if(F.col("DAYS_TO_READMISSION") < 0).alias("n_negative_gaps"),
     )
+
+
+def surgeries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Surgical service rows per admission."""
+    from revisit.operators.journey import filtered_group_count
+    return filtered_group_count(bound(spark, sf_dir, "services"), "CURR_SERVICE", ["CSURG"],
+                                ["CURR_SERVICE", "HADM_ID"], "NO_OF_SURGERIES")
+
+
+def drg_means(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from revisit.operators.journey import group_mean_fill
+    return group_mean_fill(bound(spark, sf_dir, "drg_codes"), "HADM_ID",
+                           ["DRG_SEVERITY", "DRG_MORTALITY"])
+
+
+def latest_icu(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from revisit.operators.journey import latest_with_total
+    return latest_with_total(bound(spark, sf_dir, "icu_stays"), "HADM_ID", "ICUSTAY_ID", "LOS",
+                             keep=["SUBJECT_ID", "LAST_CAREUNIT"])
+
+
+ADMISSION_ATTRS = ["ADMISSION_TYPE", "ADMITTIME", "ADMISSION_LOCATION", "DISCHARGE_LOCATION",
+                   "INSURANCE", "RELIGION", "MARITAL_STATUS", "ETHNICITY"]
+
+
+def enriched(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cardiac readmission gaps with surgeries, admission, patient, DRG and
+    ICU attributes: five left joins on unique keys, so the row count of the
+    gaps is kept."""
+    from revisit.operators.joins import enrich_all
+    gaps = readmission_gaps(spark, sf_dir)
+    surg = surgeries(spark, sf_dir).select("HADM_ID", "NO_OF_SURGERIES")
+    out = enrich_all(gaps, [
+        (surg, "HADM_ID", ["NO_OF_SURGERIES"]),
+        (bound(spark, sf_dir, "admissions"), "HADM_ID", ADMISSION_ATTRS),
+        (bound(spark, sf_dir, "patients"), "SUBJECT_ID", ["GENDER", "DOB"]),
+        (drg_means(spark, sf_dir), "HADM_ID", ["DRG_SEVERITY", "DRG_MORTALITY"]),
+        (latest_icu(spark, sf_dir), "HADM_ID", ["LAST_CAREUNIT", "LOS"]),
+    ])
+    return out.withColumn("NO_OF_SURGERIES", F.coalesce("NO_OF_SURGERIES", F.lit(0)).cast("long"))

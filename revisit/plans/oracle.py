@@ -59,3 +59,73 @@ def with_bindings(body: str, *names: str) -> str:
     if body.upper().startswith("WITH "):
         return f"WITH {ctes},\n{body[5:]}"
     return f"WITH {ctes}\n{body}"
+
+
+# Derived relations of the cohort pipeline, written independently in SQL.
+# name -> (body, dependencies)
+DERIVED_SQL = {
+    "gaps": ("""
+SELECT SUBJECT_ID, HADM_ID, CURR_DISCHTIME, NXT_ADMITTIME, DAYS_TO_READMISSION FROM (
+  SELECT SUBJECT_ID, HADM_ID, DISCHTIME AS CURR_DISCHTIME,
+         LEAD(ADMITTIME) OVER w AS NXT_ADMITTIME,
+         (epoch_us(LEAD(ADMITTIME) OVER w) - epoch_us(DISCHTIME)) / 86400e6 AS DAYS_TO_READMISSION,
+         LEAD(HADM_ID) OVER w AS nxt_id
+  FROM admissions
+  WINDOW w AS (PARTITION BY SUBJECT_ID ORDER BY ADMITTIME ASC NULLS LAST, HADM_ID ASC NULLS LAST))
+WHERE nxt_id IS NOT NULL
+  AND HADM_ID IN (SELECT HADM_ID FROM services WHERE CURR_SERVICE IN ('CMED', 'CSURG'))""",
+             ("admissions", "services")),
+    "surgeries": ("""
+SELECT COUNT(1) AS NO_OF_SURGERIES, CURR_SERVICE, HADM_ID FROM services
+WHERE CURR_SERVICE IN ('CSURG') GROUP BY CURR_SERVICE, HADM_ID""", ("services",)),
+    "drg_means": ("""
+SELECT HADM_ID, COALESCE(AVG(DRG_SEVERITY), 0) AS DRG_SEVERITY,
+       COALESCE(AVG(DRG_MORTALITY), 0) AS DRG_MORTALITY
+FROM drg_codes GROUP BY HADM_ID""", ("drg_codes",)),
+    "latest_icu": ("""
+SELECT i.HADM_ID, i.SUBJECT_ID, i.LAST_CAREUNIT, i.ICUSTAY_ID, t.LOS
+FROM icu_stays i JOIN (
+  SELECT HADM_ID, MAX(ICUSTAY_ID) AS ICUSTAY_ID, COALESCE(SUM(LOS), 0.0) AS LOS
+  FROM icu_stays GROUP BY HADM_ID) t
+ON i.HADM_ID = t.HADM_ID AND i.ICUSTAY_ID = t.ICUSTAY_ID""", ("icu_stays",)),
+    "enriched": ("""
+SELECT g.SUBJECT_ID, g.HADM_ID, g.CURR_DISCHTIME, g.NXT_ADMITTIME, g.DAYS_TO_READMISSION,
+       CAST(COALESCE(s.NO_OF_SURGERIES, 0) AS BIGINT) AS NO_OF_SURGERIES,
+       a.ADMISSION_TYPE, a.ADMITTIME, a.ADMISSION_LOCATION, a.DISCHARGE_LOCATION, a.INSURANCE,
+       a.RELIGION, a.MARITAL_STATUS, a.ETHNICITY,
+       p.GENDER, p.DOB, d.DRG_SEVERITY, d.DRG_MORTALITY, i.LAST_CAREUNIT, i.LOS
+FROM gaps g
+LEFT JOIN surgeries s ON g.HADM_ID = s.HADM_ID
+LEFT JOIN admissions a ON g.HADM_ID = a.HADM_ID
+LEFT JOIN patients p ON g.SUBJECT_ID = p.SUBJECT_ID
+LEFT JOIN drg_means d ON g.HADM_ID = d.HADM_ID
+LEFT JOIN latest_icu i ON g.HADM_ID = i.HADM_ID""",
+                 ("gaps", "surgeries", "admissions", "patients", "drg_means", "latest_icu")),
+}
+
+
+def compose(body: str, *names: str) -> str:
+    """``WITH`` the named bindings / derived relations (and what they depend
+    on, dependencies first), then ``body``."""
+    order: list[str] = []
+
+    def visit(n: str) -> None:
+        if n in order:
+            return
+        if n in DERIVED_SQL:
+            for dep in DERIVED_SQL[n][1]:
+                visit(dep)
+        order.append(n)
+
+    for n in names:
+        visit(n)
+    parts = []
+    for n in order:
+        text = BINDING_SQL[n] if n in BINDING_SQL else DERIVED_SQL[n][0]
+        parts.append(f"{n} AS ({text.strip()})")
+    body = body.strip()
+    if not parts:
+        return body
+    if body.upper().startswith("WITH "):
+        return "WITH " + ",\n".join(parts) + ",\n" + body[5:]
+    return "WITH " + ",\n".join(parts) + "\n" + body
