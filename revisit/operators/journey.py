@@ -89,12 +89,16 @@ def repeat_entities(df: DataFrame, entity: str, min_events: int = 2,
 def latest_with_total(df: DataFrame, key: str = "HADM_ID", record_id: str = "ICUSTAY_ID",
                       total: str = "LOS", keep: Sequence[str] | None = None) -> DataFrame:
     """Keep, per key, the row with the largest ``record_id`` and replace its
-    ``total`` column with the group sum (all-missing sums are 0, like pandas)."""
-    agg = df.groupBy(key).agg(F.max(record_id).alias(record_id),
-                              F.coalesce(F.sum(total), F.lit(0.0)).alias(total))
+    ``total`` column with the group sum (all-missing sums are 0, like pandas).
+
+    One partial aggregate: ``max_by`` picks the latest row's columns, ``sum``
+    the total - no join back, and a hot key is reduced on every map task."""
     cols = [c for c in (keep or df.columns) if c not in (key, record_id, total)]
-    rows = df.select(key, record_id, *cols)
-    return rows.join(agg, [key, record_id], "inner").select(key, *cols, record_id, total)
+    agg = df.groupBy(key).agg(
+        F.max(record_id).alias(record_id),
+        F.max_by(F.struct(*[F.col(c) for c in cols]), F.col(record_id)).alias("_latest"),
+        F.coalesce(F.sum(total), F.lit(0.0)).alias(total))
+    return agg.select(key, *[F.col(f"_latest.{c}").alias(c) for c in cols], record_id, total)
 
 
 def group_max_sum(df: DataFrame, key: str, max_col: str, sum_col: str) -> DataFrame:

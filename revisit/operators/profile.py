@@ -85,8 +85,19 @@ def crosstab(df: DataFrame, row: str, col: str, vocab: Sequence[str]) -> DataFra
 def fit_vocab(df: DataFrame, col: str) -> list:
     """Sorted distinct non-null values of a column: the fitted vocabulary of a
     crosstab or one-hot step (its size is the number of output columns)."""
-    rows = df.where(F.col(col).isNotNull()).select(col).distinct().orderBy(col).collect()
-    return [r[0] for r in rows]
+    return fit_vocabs(df, [col])[col]
+
+
+def fit_vocabs(df: DataFrame, cols: Sequence[str]) -> dict[str, list]:
+    """Vocabularies of several columns in one distributed pass: distinct
+    (column, value) pairs; only the vocabularies reach the driver."""
+    pairs = df.select(F.explode(F.array(*[
+        F.struct(F.lit(c).alias("c"), F.col(c).cast("string").alias("v")) for c in cols])).alias("p"))
+    rows = pairs.select("p.*").where(F.col("v").isNotNull()).distinct().collect()
+    out: dict[str, list] = {c: [] for c in cols}
+    for r in rows:
+        out[r["c"]].append(r["v"])
+    return {c: sorted(v) for c, v in out.items()}
 
 
 def null_profile(df: DataFrame) -> DataFrame:
@@ -270,9 +281,9 @@ def kde(df: DataFrame, c: str, by: str, grid: Sequence[float], bandwidth: float
     stats = stats.select(by, "n", h.alias("h"))
     g = F.array(*[F.lit(float(v)) for v in grid])
     j = pts.join(F.broadcast(stats), by, "inner")
-    e = j.select(by, "x", "w", "n", "h", F.posexplode(g).alias("gi", "g"))
-    k = F.col("w") * F.exp(-0.5 * F.pow((F.col("g") - F.col("x")) / F.col("h"), 2))
-    return e.groupBy(by, "gi", "g").agg(
+    e = j.select(by, "x", "w", "n", "h", F.posexplode(g).alias("gi", "grid"))
+    k = F.col("w") * F.exp(-0.5 * F.pow((F.col("grid") - F.col("x")) / F.col("h"), 2))
+    return e.groupBy(by, "gi", "grid").agg(
         (F.sum(k) / (F.first("n") * F.first("h") * F.lit(SQRT_2PI))).alias("density"))
 
 

@@ -46,16 +46,21 @@ def fill_const(df: DataFrame, values: Mapping[str, object]) -> DataFrame:
 def fit_modes(df: DataFrame, cols: Sequence[str]) -> dict:
     """Most frequent non-null value per column; ties go to the smallest value.
 
-    Each column is counted with a distributed group-by, then the winner is a
-    partial ``min`` over (−count, value): only one row per column reaches the
-    driver, whatever the cardinality."""
-    modes = {}
+    One pass for all columns of a type: (column, value) pairs are counted with
+    a distributed group-by, then each column's winner is a partial ``min`` over
+    (−count, value).  One row per column reaches the driver, whatever the
+    cardinality."""
+    modes: dict = {}
+    by_type: dict[str, list[str]] = {}
     for c in cols:
-        counts = df.where(F.col(c).isNotNull()).groupBy(c).agg(F.count(F.lit(1)).alias("_n"))
-        best = counts.agg(F.min(F.struct((-F.col("_n")).alias("k"), F.col(c).alias("v"))).alias("m"))
-        row = best.select("m.v").first()
-        modes[c] = row[0] if row else None
-    return modes
+        by_type.setdefault(df.schema[c].dataType.simpleString(), []).append(c)
+    for group in by_type.values():
+        pairs = df.select(F.explode(F.array(*[
+            F.struct(F.lit(c).alias("c"), F.col(c).alias("v")) for c in group])).alias("p")).select("p.*")
+        counts = pairs.where(F.col("v").isNotNull()).groupBy("c", "v").agg(F.count(F.lit(1)).alias("n"))
+        best = counts.groupBy("c").agg(F.min(F.struct((-F.col("n")).alias("k"), F.col("v").alias("v"))).alias("m"))
+        modes.update({r["c"]: r["v"] for r in best.select("c", "m.v").collect()})
+    return {c: modes.get(c) for c in cols}
 
 
 def fill_mode(df: DataFrame, cols: Sequence[str], fit_on: DataFrame | None = None) -> DataFrame:

@@ -572,7 +572,8 @@ def q_kde(spark, d):
     ev = _b(spark, d, "events").select(
         (F.col("event_type") == "purchase").cast("int").alias("y"), "value")
     k = P.kde(ev, "value", "y", _KDE_GRID)
-    return k.select("y", F.col("gi").cast("bigint").alias("gi"), "g", r6("density").alias("density"))
+    return k.select("y", F.col("gi").cast("bigint").alias("gi"), F.col("grid").alias("g"),
+                    r6("density").alias("density"))
 
 
 @query("scalar_max", "SELECT MAX(l_extendedprice) AS max_l_extendedprice FROM lineitem")

@@ -62,7 +62,7 @@ _ONE_HOT = {
     for c, vs in _ONE_HOT.items() for v in vs) + " FROM enriched", "enriched")
 def q_one_hot(spark, d):
     e = C.enriched(spark, d).select("HADM_ID", *_ONE_HOT)
-    vocab = {c: P.fit_vocab(e, c) for c in _ONE_HOT}
+    vocab = P.fit_vocabs(e, list(_ONE_HOT))
     return FE.one_hot(e, vocab)
 
 
