@@ -19,9 +19,11 @@ CARDIAC_SERVICES = ("CMED", "CSURG")
 
 def cardiac_admissions(services: DataFrame, codes: Sequence[str] = CARDIAC_SERVICES,
                        key: str = "HADM_ID", service: str = "CURR_SERVICE") -> DataFrame:
-    """Admission ids that used one of the given services (may repeat; only
-    used as the right side of a semi join)."""
-    return services.where(F.col(service).isin(list(codes))).select(key)
+    """Distinct admission ids that used one of the given services.  The
+    partial distinct collapses repeated ids (even one id holding a third of
+    the rows) on the map side, and its hash partitioning on the key is reused
+    by the semi join that follows."""
+    return services.where(F.col(service).isin(list(codes))).select(key).distinct()
 
 
 def readmission_gaps(spark: SparkSession, sf_dir: str, keep: Sequence[str] = ()) -> DataFrame:
@@ -73,11 +75,16 @@ def enriched(spark: SparkSession, sf_dir: str) -> DataFrame:
     from revisit.operators.joins import enrich_all
     gaps = readmission_gaps(spark, sf_dir)
     surg = surgeries(spark, sf_dir).select("HADM_ID", "NO_OF_SURGERIES")
+    # the one SUBJECT_ID-keyed join first; the four HADM_ID-keyed joins then
+    # run back to back on one hash partitioning of the left side
     out = enrich_all(gaps, [
+        (bound(spark, sf_dir, "patients"), "SUBJECT_ID", ["GENDER", "DOB"]),
         (surg, "HADM_ID", ["NO_OF_SURGERIES"]),
         (bound(spark, sf_dir, "admissions"), "HADM_ID", ADMISSION_ATTRS),
-        (bound(spark, sf_dir, "patients"), "SUBJECT_ID", ["GENDER", "DOB"]),
         (drg_means(spark, sf_dir), "HADM_ID", ["DRG_SEVERITY", "DRG_MORTALITY"]),
         (latest_icu(spark, sf_dir), "HADM_ID", ["LAST_CAREUNIT", "LOS"]),
     ])
-    return out.withColumn("NO_OF_SURGERIES", F.coalesce("NO_OF_SURGERIES", F.lit(0)).cast("long"))
+    out = out.withColumn("NO_OF_SURGERIES", F.coalesce("NO_OF_SURGERIES", F.lit(0)).cast("long"))
+    return out.select("SUBJECT_ID", "HADM_ID", "CURR_DISCHTIME", "NXT_ADMITTIME", "DAYS_TO_READMISSION",
+                      "NO_OF_SURGERIES", *ADMISSION_ATTRS, "GENDER", "DOB", "DRG_SEVERITY", "DRG_MORTALITY",
+                      "LAST_CAREUNIT", "LOS")
