@@ -21,6 +21,9 @@ that copy; after an executor loss the lost blocks are recomputed from the same
 shuffle dependency, i.e. with the same bounds.
 
 The join back is on (key, chunk), which is spread evenly even for a hot key.
+When the largest group is known to be small (one cheap partial aggregate
+checks it against ``max_group_rows``) the plain window is used instead: no
+task can then hold more than that many rows of one group.
 The order passed in must be total within a key (end it with a unique id) for
 the result to be deterministic.
 """
@@ -34,6 +37,16 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 _CHUNK = "_chunk"
+_PERSISTED: list[DataFrame] = []
+
+
+def release_intermediates() -> int:
+    """Unpersist the chunked copies made by ``ordered_scan`` so far (call once
+    the results that depend on them have been written).  Returns how many."""
+    n = len(_PERSISTED)
+    while _PERSISTED:
+        _PERSISTED.pop().unpersist(blocking=False)
+    return n
 
 
 def _as_col(c) -> Column:
@@ -46,24 +59,61 @@ def _chunks(df: DataFrame, n: int | None) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
 
 
+# Largest group one task may hold for the plain window (rows).  Above it the
+# chunked path splits the group; below it the plain window is cheaper.
+MAX_GROUP_ROWS = 2_000_000
+
+
+def largest_group(df: DataFrame, keys: Sequence[str]) -> int:
+    """Row count of the largest key group: a partial aggregate over the key
+    columns only (map-side combined, so a hot key costs nothing extra)."""
+    if not keys:
+        return df.count()
+    row = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).agg(F.max("_n")).first()
+    return int(row[0] or 0)
+
+
+def _plain(df, keys, order, rn, leads, has_next, running) -> DataFrame:
+    w = Window.partitionBy(*keys).orderBy(*order)
+    upto = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    out = [F.col(c) for c in df.columns]
+    if rn:
+        out.append(F.row_number().over(w).cast("long").alias(rn))
+    out += [F.lead(c).over(w).alias(name) for c, name in leads]
+    if has_next:
+        out.append(F.lead(F.lit(1)).over(w).isNotNull().alias(has_next))
+    out += [F.sum(c).over(upto).alias(name) for c, name in running]
+    return df.select(*out)
+
+
 def ordered_scan(df: DataFrame, keys: Sequence[str], order: Sequence,
                  rn: str | None = None,
                  leads: Sequence[tuple[str, str]] = (),
                  has_next: str | None = None,
                  running: Sequence[tuple[str, str]] = (),
-                 chunks: int | None = None) -> DataFrame:
+                 chunks: int | None = None,
+                 max_group_rows: int | None = None) -> DataFrame:
     """Add window results computed over ``keys`` ordered by ``order``.
 
     rn        name for the 1-based position within the key (long)
     leads     (column, output) pairs: value of ``column`` on the next row
     has_next  name for a boolean: a next row exists within the key
     running   (column, output) pairs: inclusive running sum of ``column``
+
+    The largest group is measured first; if it holds at most
+    ``max_group_rows`` rows (default ``MAX_GROUP_ROWS``) the plain window runs
+    (one shuffle on the key).  Otherwise - or when ``chunks`` is given - the
+    chunked path splits every group over range chunks.
     """
     keys = list(keys)
     order = [_as_col(c) for c in order]
+    bound = MAX_GROUP_ROWS if max_group_rows is None else max_group_rows
+    if chunks is None and largest_group(df, keys) <= bound:
+        return _plain(df, keys, order, rn, leads, has_next, running)
     n = _chunks(df, chunks)
     ranged = df.repartitionByRange(n, *[F.col(k) for k in keys], *order).withColumn(
         _CHUNK, F.spark_partition_id()).persist(StorageLevel.MEMORY_AND_DISK)
+    _PERSISTED.append(ranged)
 
     w = Window.partitionBy(*keys, _CHUNK).orderBy(*order)
     upto = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)

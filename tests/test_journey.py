@@ -87,3 +87,26 @@ def test_group_mean_fill(spark):
     df = spark.createDataFrame([(1, None), (1, None), (2, 1.0), (2, 3.0), (2, None)], "k long, v double")
     got = {r.k: r.v for r in JR.group_mean_fill(df, "k", ["v"]).collect()}
     assert got == {1: 0.0, 2: 2.0}
+
+
+def test_auto_choice_goes_chunked_above_bound(spark, monkeypatch):
+    from revisit.operators import ordered
+    rows = [(0, i, h(i), h(i + 1)) for i in range(300)] + [(1, 1000 + i, h(i), h(i + 1)) for i in range(20)]
+    df = adm(spark, rows)
+    plain = JR.next_event_gap(df)
+    monkeypatch.setattr(ordered, "MAX_GROUP_ROWS", 50)  # entity 0 is now "hot"
+    chunked = JR.next_event_gap(df)
+    assert "_chunk" in chunked._jdf.queryExecution().analyzed().toString()
+    assert sorted(map(tuple, plain.collect())) == sorted(map(tuple, chunked.collect()))
+
+
+def test_split_same_on_both_paths(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    from revisit.ml.features import stratified_split
+    from revisit.operators import ordered
+    df = spark.range(0, 600).withColumn("y", (F.col("id") % 4 == 0).cast("int"))
+    a = sorted(map(tuple, stratified_split(df, "id", "y").collect()))
+    monkeypatch.setattr(ordered, "MAX_GROUP_ROWS", 10)
+    b = sorted(map(tuple, stratified_split(df, "id", "y").collect()))
+    assert a == b
