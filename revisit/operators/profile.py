@@ -231,12 +231,23 @@ def corr_expr(a: str, b: str) -> Column:
 
 
 def corr_matrix(df: DataFrame, cols: Sequence[str]) -> DataFrame:
-    """Long correlation matrix (a, b, r) of every ordered pair, one pass."""
-    pairs = [(a, b) for a in cols for b in cols]
-    wide = df.agg(*[corr_expr(a, b).alias(f"{i}") for i, (a, b) in enumerate(pairs)])
+    """Long correlation matrix (a, b, r) of every ordered pair, one pass.
+    Only pairs a < b are aggregated (r is symmetric); the diagonal is 1, or
+    null for a constant column."""
+    upper = [(i, j) for i in range(len(cols)) for j in range(i + 1, len(cols))]
+    aggs = [corr_expr(cols[i], cols[j]).alias(f"r{i}_{j}") for i, j in upper]
+    aggs += [F.var_pop(c).alias(f"v{i}") for i, c in enumerate(cols)]
+    wide = df.agg(*aggs)
+
+    def cell(i: int, j: int):
+        if i == j:
+            return F.when(F.col(f"v{i}") > 0, F.lit(1.0))
+        a, b = min(i, j), max(i, j)
+        return F.col(f"r{a}_{b}")
+
     return wide.select(F.explode(F.array(*[
-        F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(f"{i}").alias("r"))
-        for i, (a, b) in enumerate(pairs)])).alias("s")).select("s.*")
+        F.struct(F.lit(cols[i]).alias("a"), F.lit(cols[j]).alias("b"), cell(i, j).cast("double").alias("r"))
+        for i in range(len(cols)) for j in range(len(cols))])).alias("s")).select("s.*")
 
 
 def variances(df: DataFrame, cols: Sequence[str]) -> DataFrame:

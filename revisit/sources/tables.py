@@ -87,10 +87,15 @@ def icu_stays(spark: SparkSession, sf_dir: str) -> DataFrame:
         "l_orderkey", "l_linenumber", "l_linestatus", "l_returnflag", "l_quantity")
     o = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
     j = li.join(o, li.l_orderkey == o.o_orderkey, "inner")
+    # max('U' || status || flag) over one-character codes, taken on the
+    # character codes so the aggregate stays a hash aggregate (a string max
+    # needs a sort-based one); the name is rebuilt afterwards
+    code = F.ascii("l_linestatus") * 65536 + F.ascii("l_returnflag")
     g = j.groupBy("l_orderkey", "o_custkey", "l_linenumber").agg(
-        F.max(F.concat(F.lit("U"), "l_linestatus", "l_returnflag")).alias("_unit"),
+        F.max(code).alias("_code"),
         F.sum("l_quantity").alias("_qty"),
-    )
+    ).withColumn("_unit", F.concat(F.lit("U"), F.char(F.floor(F.col("_code") / 65536)),
+                                   F.char(F.col("_code") % 65536)))
     k = F.col("l_orderkey") + F.col("l_linenumber")
     return g.select(
         F.col("l_orderkey").alias("HADM_ID"),
