@@ -41,7 +41,8 @@ def next_event_gap(df: DataFrame, entity: str = "SUBJECT_ID", event_id: str = "H
     be negative.  Output: entity, event_id, CURR_<end>, NXT_<start>,
     DAYS_TO_READMISSION plus ``keep`` columns of the current event."""
     order = list(order or [start, event_id])
-    scanned = ordered_scan(df, [entity], _order(order), leads=[(start, "_next_start")],
+    needed = list(dict.fromkeys([entity, event_id, start, end, *order, *keep]))
+    scanned = ordered_scan(df.select(*needed), [entity], _order(order), leads=[(start, "_next_start")],
                            has_next="_has_next", chunks=chunks)
     return scanned.where("_has_next").select(
         entity, event_id, *keep,

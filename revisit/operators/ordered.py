@@ -32,21 +32,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-_CHUNK = "_chunk"
-_PERSISTED: list[DataFrame] = []
-
+from revisit.session import keep, release_intermediates  # noqa: F401  (re-exported)
 
-def release_intermediates() -> int:
-    """Unpersist the chunked copies made by ``ordered_scan`` so far (call once
-    the results that depend on them have been written).  Returns how many."""
-    n = len(_PERSISTED)
-    while _PERSISTED:
-        _PERSISTED.pop().unpersist(blocking=False)
-    return n
+_CHUNK = "_chunk"
 
 
 def _as_col(c) -> Column:
@@ -111,9 +102,8 @@ def ordered_scan(df: DataFrame, keys: Sequence[str], order: Sequence,
     if chunks is None and largest_group(df, keys) <= bound:
         return _plain(df, keys, order, rn, leads, has_next, running)
     n = _chunks(df, chunks)
-    ranged = df.repartitionByRange(n, *[F.col(k) for k in keys], *order).withColumn(
-        _CHUNK, F.spark_partition_id()).persist(StorageLevel.MEMORY_AND_DISK)
-    _PERSISTED.append(ranged)
+    ranged = keep(df.repartitionByRange(n, *[F.col(k) for k in keys], *order).withColumn(
+        _CHUNK, F.spark_partition_id()))
 
     w = Window.partitionBy(*keys, _CHUNK).orderBy(*order)
     upto = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)

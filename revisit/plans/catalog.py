@@ -24,6 +24,7 @@ from revisit.operators import relational as R
 from revisit.operators import sets as ST
 from revisit.plans import cohort as C
 from revisit.plans.oracle import compose
+from revisit.session import keep
 from revisit.sources.tables import bound
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
@@ -183,7 +184,7 @@ SELECT HADM_ID,
        COALESCE(LAST_CAREUNIT, (SELECT v FROM m WHERE c = 'LAST_CAREUNIT')) AS LAST_CAREUNIT
 FROM enriched""", "enriched")
 def q_fill_mode(spark, d):
-    e = C.enriched(spark, d).select("HADM_ID", "RELIGION", "MARITAL_STATUS", "LAST_CAREUNIT")
+    e = keep(C.enriched(spark, d).select("HADM_ID", "RELIGION", "MARITAL_STATUS", "LAST_CAREUNIT"))
     return R.fill_mode(e, ["RELIGION", "MARITAL_STATUS", "LAST_CAREUNIT"])
 
 

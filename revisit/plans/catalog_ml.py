@@ -16,7 +16,7 @@ from revisit.ml import models as M
 from revisit.operators import profile as P
 from revisit.plans import cohort as C
 from revisit.plans.catalog import _b, query, r6
-from revisit.session import checkpoint_dir
+from revisit.session import checkpoint_dir, keep
 
 SEED = 2017
 
@@ -61,7 +61,7 @@ _ONE_HOT = {
     f"CAST({c} IS NOT DISTINCT FROM '{v}' AS INTEGER) AS \"{c}_{v}\""
     for c, vs in _ONE_HOT.items() for v in vs) + " FROM enriched", "enriched")
 def q_one_hot(spark, d):
-    e = C.enriched(spark, d).select("HADM_ID", *_ONE_HOT)
+    e = keep(C.enriched(spark, d).select("HADM_ID", *_ONE_HOT))
     vocab = P.fit_vocabs(e, list(_ONE_HOT))
     return FE.one_hot(e, vocab)
 

@@ -5,8 +5,29 @@ from __future__ import annotations
 import os
 import tempfile
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 
+_KEPT: list[DataFrame] = []
+
+
+def keep(df: DataFrame) -> DataFrame:
+    """Persist a frame that is read more than once (e.g. fitted on, then
+    transformed) - memory first, spilling to disk; lost blocks are recomputed
+    from lineage.  Released by ``release_intermediates``."""
+    kept = df.persist(StorageLevel.MEMORY_AND_DISK)
+    _KEPT.append(kept)
+    return kept
+
+
+def release_intermediates() -> int:
+    """Unpersist every frame kept so far (call once the results that depend on
+    them have been written).  Returns how many were released."""
+    n = len(_KEPT)
+    while _KEPT:
+        _KEPT.pop().unpersist(blocking=False)
+    return n
+
 
 def get_spark(app: str = "revisit", cores: str | int = "*",
               shuffle_partitions: int | None = None,
