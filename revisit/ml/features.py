@@ -201,21 +201,84 @@ def project(df: DataFrame, w: Sequence[float], features: str = "features", outpu
 # ---------------------------------------------------------------- oversampling
 
 
+def _projection_neighbours(pts: DataFrame, key: str, d: int, k: int, seed: int,
+                           projections: int, window: int) -> DataFrame:
+    """Approximate k nearest neighbours: candidates are the points within
+    ``window`` positions along each of ``projections`` seeded random
+    directions (an equi-join on position blocks, at most 3·window partners per
+    point and direction), ranked by exact distance."""
+    from pyspark.sql import Window
+    rng = np.random.default_rng(seed)
+    cands = None
+    for _ in range(projections):
+        v = rng.standard_normal(d)
+        proj = F.aggregate(F.zip_with(F.col("_x"), F.array(*[F.lit(float(t)) for t in v]),
+                                      lambda a, b: a * b), F.lit(0.0), lambda acc, t: acc + t)
+        ranked = ordered_scan(pts.withColumn("_p", proj), [], [F.col("_p"), F.col(key)], rn="_rn")
+        blk = F.floor((F.col("_rn") - 1) / window)
+        a = ranked.select(F.col(key).alias("_a"), F.col("_rn").alias("_ra"),
+                          F.explode(F.array(blk - 1, blk, blk + 1)).alias("_b"))
+        b = ranked.select(F.col(key).alias("_c"), blk.alias("_b"), F.col("_rn").alias("_rc"))
+        near = a.join(b, "_b")  # equi-join on block
+        near = near.where((F.col("_a") != F.col("_c")) & (F.abs(F.col("_ra") - F.col("_rc")) <= window))
+        cands = near.select("_a", "_c") if cands is None else cands.unionByName(near.select("_a", "_c"))
+    xa = pts.select(F.col(key).alias("_a"), F.col("_x").alias("_xa"))
+    xc = pts.select(F.col(key).alias("_c"), F.col("_x").alias("_xc2"))
+    dist = cands.distinct().join(xa, "_a").join(xc, "_c").withColumn(
+        "_d", F.aggregate(F.zip_with("_xa", "_xc2", lambda p, q: (p - q) * (p - q)), F.lit(0.0),
+                          lambda acc, t: acc + t))
+    w = Window.partitionBy("_a").orderBy("_d", "_c")  # group = one point's candidates (bounded)
+    return dist.withColumn("_j", F.row_number().over(w)).where(F.col("_j") <= k).select("_a", "_c", "_j")
+
+
+def _exact_neighbours(pts: DataFrame, key: str, k: int) -> DataFrame:
+    """Exact k nearest neighbours within a minority set of checked, bounded
+    size: the set is broadcast once as a matrix and every task computes its
+    rows' distances to it in numpy blocks (Spark partitions the query points)."""
+    import pandas as pd
+    rows = pts.select(key, "_x").collect()
+    ids = np.array([r[0] for r in rows])
+    mat = np.array([r[1] for r in rows], dtype=np.float64)
+    bc = pts.sparkSession.sparkContext.broadcast((ids, mat, (mat * mat).sum(axis=1)))
+    kk = min(k, len(ids) - 1)
+
+    def knn(batches):
+        all_ids, all_x, all_sq = bc.value
+        for pdf in batches:
+            if pdf.empty:
+                continue
+            q = np.stack(pdf["_x"].to_numpy()).astype(np.float64)
+            d2 = (q * q).sum(axis=1)[:, None] + all_sq[None, :] - 2.0 * q @ all_x.T
+            self_mask = pdf[key].to_numpy()[:, None] == all_ids[None, :]
+            d2[self_mask] = np.inf
+            # order by (distance, id) for a deterministic tie-break
+            order = np.lexsort((np.broadcast_to(all_ids, d2.shape), d2), axis=1)[:, :kk]
+            yield pd.DataFrame({
+                "_a": np.repeat(pdf[key].to_numpy(), kk),
+                "_c": all_ids[order].reshape(-1),
+                "_j": np.tile(np.arange(1, kk + 1, dtype=np.int32), len(pdf)),
+            })
+
+    key_type = pts.schema[key].dataType.simpleString()
+    return pts.select(key, "_x").mapInPandas(knn, f"_a {key_type}, _c {key_type}, _j int")
+
+
 def smote(df: DataFrame, key: str, label: str, features: str = "features", minority: int = 1,
-          k: int = 5, seed: int = 2017, projections: int = 8, window: int = 8) -> DataFrame:
+          k: int = 5, seed: int = 2017, projections: int = 8, window: int = 8,
+          exact_max: int = 50_000) -> DataFrame:
     """SMOTE: add synthetic minority rows until both classes have equal size.
 
-    Each minority point x gets neighbours among minority points; a synthetic
-    row is x + u·(x' − x) with x' one of its k nearest candidates and u in
-    [0, 1) derived from a hash of (seed, key, copy) - deterministic.
-
-    Neighbour search without all-pairs work: the minority points are ordered
-    along ``projections`` seeded random directions (skew-safe ordered scan);
-    the candidates of a point are the ``window`` points before and after it in
-    each order.  Exact distances rank the candidates.  This is an approximate
-    k-nearest-neighbour search; points that are close in space are close in
-    most random projections.
-    Output: the input rows plus synthetic rows (key = null, synthetic = 1)."""
+    Each synthetic row is x + u·(x' − x): x a minority point (points are
+    used in turn), x' one of its k nearest minority neighbours and u in
+    [0, 1) - both picked from a hash of (seed, key, copy), so the output is
+    deterministic.
+
+    Neighbours are exact when the minority class has at most ``exact_max``
+    points (broadcast after that size check, numpy distances per task).
+    Above that bound they come from ``_projection_neighbours``, an
+    approximate search with a bounded number of candidates per point.
+    Output: the input rows (synthetic = 0) plus synthetic rows (key = null,
+    synthetic = 1)."""
     mino = df.where(F.col(label) == minority).select(key, features)
     counts = df.groupBy(label).agg(F.count(F.lit(1)).alias("n")).collect()
     by = {r[label]: r["n"] for r in counts}
@@ -225,35 +288,14 @@ def smote(df: DataFrame, key: str, label: str, features: str = "features", minor
     base = df.withColumn("synthetic", F.lit(0))
     if need <= 0 or n_min < 2:
         return base
-    d = len(mino.first()[features])
-    rng = np.random.default_rng(seed)
     arr = vector_to_array(F.col(features))
     pts = mino.select(key, arr.alias("_x"))
-    cands = None
-    for r in range(projections):
-        v = rng.standard_normal(d)
-        proj = F.aggregate(F.zip_with(F.col("_x"), F.array(*[F.lit(float(t)) for t in v]),
-                                      lambda a, b: a * b), F.lit(0.0), lambda acc, t: acc + t)
-        ranked = ordered_scan(pts.withColumn("_p", proj), [], [F.col("_p"), F.col(key)], rn="_rn")
-        # block b holds positions [b·w, (b+1)·w); pair each point with its own
-        # and the next block: every point within `window` positions is covered
-        blk = (F.col("_rn") - 1) / window
-        a = ranked.select(F.col(key).alias("_a"), F.col("_rn").alias("_ra"),
-                          F.explode(F.array(F.floor(blk) - 1, F.floor(blk), F.floor(blk) + 1)).alias("_b"))
-        b = ranked.select(F.col(key).alias("_c"), F.floor(blk).alias("_b"), F.col("_rn").alias("_rc"))
-        near = a.join(b, "_b")  # equi-join on block: at most 3·window partners each
-        near = near.where((F.col("_a") != F.col("_c")) & (F.abs(F.col("_ra") - F.col("_rc")) <= window))
-        near = near.select("_a", "_c")
-        cands = near if cands is None else cands.unionByName(near)
-    cands = cands.distinct()
-    xa = pts.select(F.col(key).alias("_a"), F.col("_x").alias("_xa"))
-    xc = pts.select(F.col(key).alias("_c"), F.col("_x").alias("_xc"))
-    dist = cands.join(xa, "_a").join(xc, "_c").withColumn(
-        "_d", F.aggregate(F.zip_with("_xa", "_xc", lambda p, q: (p - q) * (p - q)), F.lit(0.0),
-                          lambda acc, t: acc + t))
-    from pyspark.sql import Window
-    w = Window.partitionBy("_a").orderBy("_d", "_c")
-    knn = dist.withColumn("_j", F.row_number().over(w)).where(F.col("_j") <= k)
+    if n_min <= exact_max:
+        knn = _exact_neighbours(pts, key, k)
+    else:
+        d = len(mino.first()[features])
+        knn = _projection_neighbours(pts, key, d, k, seed, projections, window)
+    knn = knn.join(pts.select(F.col(key).alias("_c"), F.col("_x").alias("_xc")), "_c")
     # copies: synthetic row number s = 0..need−1 goes to minority point s mod n_min
     ranked_min = ordered_scan(pts, [], [F.col(key)], rn="_m")
     reps = (need + n_min - 1) // n_min
@@ -262,7 +304,7 @@ def smote(df: DataFrame, key: str, label: str, features: str = "features", minor
     hsh = F.xxhash64(F.lit(seed), F.col(key), F.col("_copy"))
     copies = copies.withColumn("_pick", (F.abs(hsh) % k + 1).cast("int")).withColumn(
         "_u", (F.abs(F.xxhash64(hsh)) % 1_000_000) / 1_000_000.0)
-    # a point with fewer than k candidates uses its last one
+    # a point with fewer than k neighbours uses its last one
     nk = knn.groupBy("_a").agg(F.max("_j").alias("_kmax"))
     c2 = copies.join(nk, copies[key] == nk["_a"]).withColumn("_pick", F.least("_pick", "_kmax"))
     syn = c2.join(knn.select(F.col("_a").alias("_a2"), "_j", "_xc"),

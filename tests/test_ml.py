@@ -151,3 +151,25 @@ def test_stream_equals_batch(spark, tmp_dir):
     stream = sorted(map(tuple, spark.read.parquet(f"{tmp_dir}/out").collect()))
     batch = sorted(map(tuple, scored(model, df.select("id", "a", "b", "c"), "id", ["a", "b", "c"]).collect()))
     assert stream == batch
+
+
+def test_smote_exact_neighbours_match_bruteforce(spark):
+    from revisit.ml.features import _exact_neighbours, _projection_neighbours
+    rng = np.random.default_rng(11)
+    x = rng.normal(0, 1, (60, 3))
+    pts = spark.createDataFrame([(i, x[i].tolist()) for i in range(60)], "id long, _x array<double>")
+    got = {(r._a, r._j): r._c for r in _exact_neighbours(pts, "id", 3).collect()}
+    for i in range(60):
+        d = ((x - x[i]) ** 2).sum(axis=1)
+        d[i] = np.inf
+        assert [got[(i, j)] for j in (1, 2, 3)] == list(np.lexsort((np.arange(60), d))[:3])
+    approx = _projection_neighbours(pts, "id", 3, 3, 7, projections=6, window=8).collect()
+    hit = np.mean([got[(r._a, r._j)] == r._c for r in approx])
+    assert hit > 0.6  # the approximate search finds most true neighbours
+
+
+def test_smote_projection_path_balances(spark):
+    df = blobs(spark, n=100, minority_share=0.3)
+    out = FE.smote(df.select("id", "y", "features"), "id", "y", minority=1, k=3, seed=7, exact_max=10)
+    counts = {r.y: r["count"] for r in out.groupBy("y").count().collect()}
+    assert counts[0] == counts[1] == 70
