@@ -68,23 +68,37 @@ ADMISSION_ATTRS = ["ADMISSION_TYPE", "ADMITTIME", "ADMISSION_LOCATION", "DISCHAR
                    "INSURANCE", "RELIGION", "MARITAL_STATUS", "ETHNICITY"]
 
 
+def cardiac_surgeries(spark: SparkSession, sf_dir: str, codes: Sequence[str] = CARDIAC_SERVICES,
+                      surgical: str = "CSURG") -> DataFrame:
+    """One row per admission that used a cardiac service, with its number of
+    surgical service rows (0 if none): the cohort filter and the surgery count
+    in one partial aggregate over the services table."""
+    svc = bound(spark, sf_dir, "services")
+    return (svc.where(F.col("CURR_SERVICE").isin(list(codes))).groupBy("HADM_ID")
+            .agg(F.count_if(F.col("CURR_SERVICE") == surgical).alias("NO_OF_SURGERIES")))
+
+
 def enriched(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cardiac readmission gaps with surgeries, admission, patient, DRG and
-    ICU attributes: five left joins on unique keys, so the row count of the
-    gaps is kept."""
+    ICU attributes.
+
+    Equivalent to the gaps, semi-joined to cardiac services, then five left
+    joins on unique keys (surgeries, admissions, patients, DRG means, latest
+    ICU stay).  Written to read each source once: admission attributes ride
+    along through the gap computation, and the cardiac filter plus the
+    surgery count is one aggregate joined once (inner join = semi join, since
+    the aggregate has one row per cardiac admission)."""
     from revisit.operators.joins import enrich_all
-    gaps = readmission_gaps(spark, sf_dir)
-    surg = surgeries(spark, sf_dir).select("HADM_ID", "NO_OF_SURGERIES")
-    # the one SUBJECT_ID-keyed join first; the four HADM_ID-keyed joins then
-    # run back to back on one hash partitioning of the left side
-    out = enrich_all(gaps, [
+    gaps = next_event_gap(bound(spark, sf_dir, "admissions"), keep=ADMISSION_ATTRS)
+    cohort = gaps.join(cardiac_surgeries(spark, sf_dir), "HADM_ID", "inner")
+    # the one SUBJECT_ID-keyed join first; the HADM_ID-keyed joins then run
+    # back to back on one hash partitioning of the left side
+    out = enrich_all(cohort, [
         (bound(spark, sf_dir, "patients"), "SUBJECT_ID", ["GENDER", "DOB"]),
-        (surg, "HADM_ID", ["NO_OF_SURGERIES"]),
-        (bound(spark, sf_dir, "admissions"), "HADM_ID", ADMISSION_ATTRS),
         (drg_means(spark, sf_dir), "HADM_ID", ["DRG_SEVERITY", "DRG_MORTALITY"]),
         (latest_icu(spark, sf_dir), "HADM_ID", ["LAST_CAREUNIT", "LOS"]),
     ])
-    out = out.withColumn("NO_OF_SURGERIES", F.coalesce("NO_OF_SURGERIES", F.lit(0)).cast("long"))
+    out = out.withColumn("NO_OF_SURGERIES", F.col("NO_OF_SURGERIES").cast("long"))
     return out.select("SUBJECT_ID", "HADM_ID", "CURR_DISCHTIME", "NXT_ADMITTIME", "DAYS_TO_READMISSION",
                       "NO_OF_SURGERIES", *ADMISSION_ATTRS, "GENDER", "DOB", "DRG_SEVERITY", "DRG_MORTALITY",
                       "LAST_CAREUNIT", "LOS")
