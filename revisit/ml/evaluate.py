@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from revisit.operators.ordered import ordered_scan
+from revisit.session import keep as keep_frame
 
 
 def _c(c) -> Column:
@@ -41,7 +42,7 @@ def _per_score(df: DataFrame, y: str, s: str) -> DataFrame:
 
 def roc_auc(df: DataFrame, y: str, s: str) -> DataFrame:
     """Exact area under the ROC curve; tied scores count one half."""
-    per = _per_score(df, y, s)
+    per = keep_frame(_per_score(df, y, s))  # read by the size check and the scan
     run = ordered_scan(per, [], [F.col("score").asc()], running=[("neg", "cum_neg")])
     below = F.col("cum_neg") - F.col("neg")
     t = run.agg(F.sum(F.col("pos") * (below + 0.5 * F.col("neg"))).alias("_num"),
@@ -61,10 +62,10 @@ def confusion(df: DataFrame, y: str, p: str) -> DataFrame:
 def roc_points(df: DataFrame, y: str, s: str) -> DataFrame:
     """(threshold, fpr, tpr) at every distinct score, highest first, plus the
     origin (threshold +inf).  Collinear points are kept."""
-    per = _per_score(df, y, s)
+    per = keep_frame(_per_score(df, y, s))  # read by the totals, the size check and the scan
+    tot = per.agg(F.sum("pos").alias("P"), F.sum("neg").alias("N"), F.count(F.lit(1)).alias("D")).first()
     run = ordered_scan(per, [], [F.col("score").desc()],
-                       running=[("pos", "cum_pos"), ("neg", "cum_neg")])
-    tot = per.agg(F.sum("pos").alias("P"), F.sum("neg").alias("N")).first()
+                       running=[("pos", "cum_pos"), ("neg", "cum_neg")], largest=tot["D"])
     P, N = float(tot["P"] or 0), float(tot["N"] or 0)
     pts = run.select(F.col("score").alias("threshold"),
                      (F.col("cum_neg") / F.lit(N)).alias("fpr"), (F.col("cum_pos") / F.lit(P)).alias("tpr"))

@@ -8,6 +8,7 @@ the number of rows).  Applying a fit is a column expression.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Mapping, Sequence
 
 import numpy as np
@@ -60,13 +61,20 @@ def _hash_order(key: str, seed: int) -> Column:
     return F.md5(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string")))
 
 
-def _class_sizes(df: DataFrame, label: str, max_classes: int = 10_000) -> DataFrame:
-    sizes = df.groupBy(label).agg(F.count(F.lit(1)).alias("_class_n"))
-    # broadcast only with a checked bound: one row per class
-    n = sizes.count()
-    if n > max_classes:
-        raise ValueError(f"{n} classes exceed the broadcast bound {max_classes}")
-    return F.broadcast(sizes)
+def _class_sizes(df: DataFrame, label: str, max_classes: int = 10_000) -> dict:
+    """Rows per class: one partial aggregate, one row per class brought back
+    (the number of classes is checked against ``max_classes``)."""
+    rows = df.groupBy(label).agg(F.count(F.lit(1)).alias("_n")).limit(max_classes + 1).collect()
+    if len(rows) > max_classes:
+        raise ValueError(f"more than {max_classes} classes")
+    return {r[label]: r["_n"] for r in rows}
+
+
+def _ranked_in_class(df: DataFrame, key: str, label: str, seed: int) -> tuple[DataFrame, dict]:
+    sizes = _class_sizes(df, label)
+    ranked = ordered_scan(df.withColumn("_h", _hash_order(key, seed)), [label],
+                          [F.col("_h"), F.col(key)], rn="_rn", largest=max(sizes.values(), default=0))
+    return ranked, sizes
 
 
 def stratified_split(df: DataFrame, key: str, label: str, test_frac: float = 0.25,
@@ -75,21 +83,20 @@ def stratified_split(df: DataFrame, key: str, label: str, test_frac: float = 0.2
     md5(seed:key); the first round(test_frac · class size) go to test.
 
     Independent of partitioning and of row order, and reproducible in SQL.
-    The per-class order runs through ``ordered_scan`` (a class holds about
-    half of the rows; a plain window would put it in one task)."""
-    ranked = ordered_scan(df.withColumn("_h", _hash_order(key, seed)), [label],
-                          [F.col("_h"), F.col(key)], rn="_rn")
-    j = ranked.join(_class_sizes(df, label), label)
-    cut = F.round(F.col("_class_n") * F.lit(test_frac))
-    return j.withColumn(out, (F.col("_rn") <= cut).cast("int")).drop("_h", "_rn", "_class_n")
+    The per-class order runs through ``ordered_scan`` (a class may hold half
+    of the rows; a plain window would then put it in one task).  The per-class
+    cut-offs are a literal map (one entry per class)."""
+    ranked, sizes = _ranked_in_class(df, key, label, seed)
+    cuts = {c: int(math.floor(n * test_frac + 0.5)) for c, n in sizes.items()}  # round half up
+    cut = F.element_at(F.create_map(*[F.lit(x) for kv in cuts.items() for x in kv]), F.col(label))
+    return ranked.withColumn(out, (F.col("_rn") <= cut).cast("int")).drop("_h", "_rn")
 
 
 def fold_column(df: DataFrame, key: str, label: str, k: int = 10, seed: int = 2017,
                 out: str = "fold") -> DataFrame:
     """Class-balanced fold number 0..k−1: position in md5 order within the
     class, modulo k."""
-    ranked = ordered_scan(df.withColumn("_h", _hash_order(key, seed)), [label],
-                          [F.col("_h"), F.col(key)], rn="_rn")
+    ranked, _ = _ranked_in_class(df, key, label, seed)
     return ranked.withColumn(out, ((F.col("_rn") - 1) % k).cast("int")).drop("_h", "_rn")
 
 

@@ -83,7 +83,8 @@ def ordered_scan(df: DataFrame, keys: Sequence[str], order: Sequence,
                  has_next: str | None = None,
                  running: Sequence[tuple[str, str]] = (),
                  chunks: int | None = None,
-                 max_group_rows: int | None = None) -> DataFrame:
+                 max_group_rows: int | None = None,
+                 largest: int | None = None) -> DataFrame:
     """Add window results computed over ``keys`` ordered by ``order``.
 
     rn        name for the 1-based position within the key (long)
@@ -94,12 +95,13 @@ def ordered_scan(df: DataFrame, keys: Sequence[str], order: Sequence,
     The largest group is measured first; if it holds at most
     ``max_group_rows`` rows (default ``MAX_GROUP_ROWS``) the plain window runs
     (one shuffle on the key).  Otherwise - or when ``chunks`` is given - the
-    chunked path splits every group over range chunks.
+    chunked path splits every group over range chunks.  ``largest`` passes a
+    largest-group size the caller already knows (saves the measuring job).
     """
     keys = list(keys)
     order = [_as_col(c) for c in order]
     bound = MAX_GROUP_ROWS if max_group_rows is None else max_group_rows
-    if chunks is None and largest_group(df, keys) <= bound:
+    if chunks is None and (largest if largest is not None else largest_group(df, keys)) <= bound:
         return _plain(df, keys, order, rn, leads, has_next, running)
     n = _chunks(df, chunks)
     ranged = keep(df.repartitionByRange(n, *[F.col(k) for k in keys], *order).withColumn(

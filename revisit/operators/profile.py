@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from revisit.operators.ordered import ordered_scan
+from revisit.session import keep
 
 # ---------------------------------------------------------------- counting
 
@@ -130,10 +131,11 @@ def exact_quantiles(df: DataFrame, c: str, probs: Sequence[float]) -> list[float
     Values are counted per distinct value (partial aggregate), the running
     count over the sorted distinct values comes from ``ordered_scan``, and only
     the rows holding the needed order statistics are fetched."""
-    vals = df.where(F.col(c).isNotNull()).groupBy(F.col(c).cast("double").alias("v")).agg(
-        F.count(F.lit(1)).alias("n"))
-    run = ordered_scan(vals, [], [F.col("v").asc()], running=[("n", "cum")])
-    total = vals.agg(F.sum("n")).first()[0]
+    vals = keep(df.where(F.col(c).isNotNull()).groupBy(F.col(c).cast("double").alias("v")).agg(
+        F.count(F.lit(1)).alias("n")))  # read by the size check, the total and the scan
+    tot = vals.agg(F.sum("n"), F.count(F.lit(1))).first()
+    total = tot[0]
+    run = ordered_scan(vals, [], [F.col("v").asc()], running=[("n", "cum")], largest=tot[1])
     if not total:
         return [None for _ in probs]
     wanted = set()
