@@ -87,18 +87,27 @@ def repeat_entities(df: DataFrame, entity: str, min_events: int = 2,
     return df.join(counts.select(entity), entity, "left_semi")
 
 
+def exact_sum(c, scale: int = 10):
+    """Sum of doubles that does not depend on the order rows arrive in: each
+    value is taken at ``scale`` decimals and added exactly, then turned back
+    into a double.  (A plain double sum can end in different last bits on a
+    different partitioning, which flips values sitting on a bin edge.)"""
+    return F.sum(F.col(c).cast(f"decimal(38,{scale})")).cast("double")
+
+
 def latest_with_total(df: DataFrame, key: str = "HADM_ID", record_id: str = "ICUSTAY_ID",
                       total: str = "LOS", keep: Sequence[str] | None = None) -> DataFrame:
     """Keep, per key, the row with the largest ``record_id`` and replace its
     ``total`` column with the group sum (all-missing sums are 0, like pandas).
 
-    One partial aggregate: ``max_by`` picks the latest row's columns, ``sum``
-    the total - no join back, and a hot key is reduced on every map task."""
+    One partial aggregate: ``max_by`` picks the latest row's columns,
+    ``exact_sum`` the total - no join back, and a hot key is reduced on every
+    map task."""
     cols = [c for c in (keep or df.columns) if c not in (key, record_id, total)]
     agg = df.groupBy(key).agg(
         F.max(record_id).alias(record_id),
         F.max_by(F.struct(*[F.col(c) for c in cols]), F.col(record_id)).alias("_latest"),
-        F.coalesce(F.sum(total), F.lit(0.0)).alias(total))
+        F.coalesce(exact_sum(total), F.lit(0.0)).alias(total))
     return agg.select(key, *[F.col(f"_latest.{c}").alias(c) for c in cols], record_id, total)
 
 

@@ -818,3 +818,56 @@ def q_ordered_cat(spark, d):
 @query("to_string", "SELECT CAST(HADM_ID AS VARCHAR) AS HADM_ID FROM admissions", "admissions")
 def q_to_string(spark, d):
     return _b(spark, d, "admissions").select(S.to_string("HADM_ID").alias("HADM_ID"))
+
+
+# ------------------------------------------------------------------ the modelling table
+
+_BANDS = {"EarlyMorning": 0, "Evening": 1, "Morning": 2, "Noon": 3}
+
+
+def _band_code_sql(c):
+    return "CASE " + _BAND_SQL.format(c=c) + " " + " ".join(
+        f"WHEN '{k}' THEN {v}" for k, v in _BANDS.items()) + " END"
+
+
+_FINAL_SQL = f"""
+WITH m AS (
+  SELECT c, v FROM (
+    SELECT c, v, ROW_NUMBER() OVER (PARTITION BY c ORDER BY n DESC, v ASC) AS rk FROM (
+      SELECT 'RELIGION' AS c, RELIGION AS v, COUNT(*) AS n FROM enriched WHERE RELIGION IS NOT NULL GROUP BY 2
+      UNION ALL SELECT 'MARITAL_STATUS', MARITAL_STATUS, COUNT(*) FROM enriched WHERE MARITAL_STATUS IS NOT NULL GROUP BY 2
+      UNION ALL SELECT 'LAST_CAREUNIT', LAST_CAREUNIT, COUNT(*) FROM enriched WHERE LAST_CAREUNIT IS NOT NULL GROUP BY 2))
+  WHERE rk = 1),
+f AS (
+  SELECT e.*,
+         COALESCE(e.RELIGION, (SELECT v FROM m WHERE c = 'RELIGION')) AS RELIGION_F,
+         COALESCE(e.MARITAL_STATUS, (SELECT v FROM m WHERE c = 'MARITAL_STATUS')) AS MARITAL_STATUS_F,
+         COALESCE(e.LAST_CAREUNIT, (SELECT v FROM m WHERE c = 'LAST_CAREUNIT')) AS LAST_CAREUNIT_F,
+         COALESCE(e.LOS, 0.0) AS LOS_F,
+         CAST(ABS(ROUND_EVEN((epoch_us(e.ADMITTIME) - epoch_us(e.DOB)) / 86400e6 / 365.0, 0)) AS INTEGER) AS AGE
+  FROM enriched e),
+codes AS ({_code_matrix_sql(ICD_VOCAB)})
+SELECT f.SUBJECT_ID, f.HADM_ID, f.CURR_DISCHTIME, f.NXT_ADMITTIME,
+       ROUND(f.DAYS_TO_READMISSION, 6) AS DAYS_TO_READMISSION, f.NO_OF_SURGERIES,
+       f.ADMISSION_TYPE, f.ADMITTIME, f.ADMISSION_LOCATION, f.DISCHARGE_LOCATION, f.INSURANCE,
+       f.RELIGION_F AS RELIGION, f.MARITAL_STATUS_F AS MARITAL_STATUS, f.ETHNICITY, f.GENDER, f.DOB,
+       ROUND(f.DRG_SEVERITY, 6) AS DRG_SEVERITY, ROUND(f.DRG_MORTALITY, 6) AS DRG_MORTALITY,
+       f.LAST_CAREUNIT_F AS LAST_CAREUNIT, ROUND(f.LOS_F, 6) AS LOS,
+       CASE WHEN f.DAYS_TO_READMISSION <= 30 THEN 1 ELSE 0 END AS READMISSION_30dAYS,
+       CASE WHEN f.DAYS_TO_READMISSION <= 60 THEN 1 ELSE 0 END AS READMISSION_60dAYS,
+       {_BAND_SQL.format(c='f.CURR_DISCHTIME')} AS DISCH_HOUR_BAND,
+       {_BAND_SQL.format(c='f.ADMITTIME')} AS ADMIT_HOUR_BAND,
+       {_band_code_sql('f.CURR_DISCHTIME')} AS DISCH_HOUR_CODE,
+       {_band_code_sql('f.ADMITTIME')} AS ADMIT_HOUR_CODE,
+       f.AGE, ROUND(CASE WHEN f.AGE = 0 THEN -'inf'::DOUBLE ELSE LN(f.AGE) END, 6) AS LOG_AGE,
+       CASE WHEN f.LOS_F < 0.6 THEN 0 WHEN f.LOS_F > 0.6 AND f.LOS_F <= 1.3 THEN 1
+            WHEN f.LOS_F > 1.3 AND f.LOS_F <= 2.3 THEN 2 ELSE 3 END AS LOS_BIN,
+       {", ".join(f'COALESCE(codes."{v}", 0) AS "{v}"' for v in ICD_VOCAB)}
+FROM f LEFT JOIN codes ON f.HADM_ID = codes.HADM_ID"""
+
+
+@query("final_dataset", _FINAL_SQL, "enriched", "diagnoses")
+def q_final(spark, d):
+    out = C.final_dataset(spark, d)
+    return out.withColumns({c: r6(c) for c in ("DAYS_TO_READMISSION", "DRG_SEVERITY", "DRG_MORTALITY",
+                                                 "LOS", "LOG_AGE")})

@@ -388,3 +388,24 @@ def q_score_range(spark, d):
     ev = _b(spark, d, "events").select((F.col("value") / 250).alias("s"))
     r = EV.score_range(ev, "s", 0.6, 1.0)
     return r.select("n_above", "n_below", r6("max_score").alias("max_score"))
+
+
+# ------------------------------------------------------------------ the readmission model
+
+
+@query("readmission_model")
+def q_readmission_model(spark, d):
+    from revisit.plans.model import train_readmission_model
+    _, scored = train_readmission_model(spark, d, trees=50)
+    return scored
+
+
+@query("readmission_model_auc")
+def q_readmission_auc(spark, d):
+    from revisit.plans.model import train_readmission_model
+    _, scored = train_readmission_model(spark, d, trees=50)
+    auc = EV.roc_auc(scored, "READMISSION_30dAYS", "p1").select(
+        F.lit("roc_auc").alias("metric"), F.col("auc").alias("value"))
+    acc = EV.accuracy(scored, "READMISSION_30dAYS", "prediction").select(
+        F.lit("accuracy").alias("metric"), F.col("accuracy").alias("value"))
+    return auc.unionByName(acc)

@@ -85,7 +85,8 @@ FROM drg_codes GROUP BY HADM_ID""", ("drg_codes",)),
     "latest_icu": ("""
 SELECT i.HADM_ID, i.SUBJECT_ID, i.LAST_CAREUNIT, i.ICUSTAY_ID, t.LOS
 FROM icu_stays i JOIN (
-  SELECT HADM_ID, MAX(ICUSTAY_ID) AS ICUSTAY_ID, COALESCE(SUM(LOS), 0.0) AS LOS
+  SELECT HADM_ID, MAX(ICUSTAY_ID) AS ICUSTAY_ID,
+         COALESCE(CAST(SUM(CAST(LOS AS DECIMAL(38, 10))) AS DOUBLE), 0.0) AS LOS
   FROM icu_stays GROUP BY HADM_ID) t
 ON i.HADM_ID = t.HADM_ID AND i.ICUSTAY_ID = t.ICUSTAY_ID""", ("icu_stays",)),
     "enriched": ("""

@@ -173,3 +173,12 @@ def test_smote_projection_path_balances(spark):
     out = FE.smote(df.select("id", "y", "features"), "id", "y", minority=1, k=3, seed=7, exact_max=10)
     counts = {r.y: r["count"] for r in out.groupBy("y").count().collect()}
     assert counts[0] == counts[1] == 70
+
+
+def test_readmission_model_trains_on_train_part_without_leaks(spark):
+    from revisit.plans.model import EXCLUDED, train_readmission_model
+    model, scored = train_readmission_model(spark, "/root/testdata/sf0.001", trees=10)
+    used = set(model.stages[-2].getInputCols())
+    assert not used & EXCLUDED
+    rows = scored.collect()
+    assert rows and all(0.0 <= r.p1 <= 1.0 for r in rows)
