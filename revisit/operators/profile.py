@@ -89,12 +89,19 @@ def fit_vocab(df: DataFrame, col: str) -> list:
     return fit_vocabs(df, [col])[col]
 
 
-def fit_vocabs(df: DataFrame, cols: Sequence[str]) -> dict[str, list]:
+MAX_VOCAB = 100_000
+
+
+def fit_vocabs(df: DataFrame, cols: Sequence[str], max_values: int = MAX_VOCAB) -> dict[str, list]:
     """Vocabularies of several columns in one distributed pass: distinct
-    (column, value) pairs; only the vocabularies reach the driver."""
+    (column, value) pairs; only the vocabularies reach the driver.  Each value
+    becomes an output column, so the total is checked against ``max_values``
+    (an id-like column would otherwise be pulled to the driver whole)."""
     pairs = df.select(F.explode(F.array(*[
         F.struct(F.lit(c).alias("c"), F.col(c).cast("string").alias("v")) for c in cols])).alias("p"))
-    rows = pairs.select("p.*").where(F.col("v").isNotNull()).distinct().collect()
+    rows = pairs.select("p.*").where(F.col("v").isNotNull()).distinct().limit(max_values + 1).collect()
+    if len(rows) > max_values:
+        raise ValueError(f"more than {max_values} distinct values in {list(cols)}: not a vocabulary")
     out: dict[str, list] = {c: [] for c in cols}
     for r in rows:
         out[r["c"]].append(r["v"])

@@ -182,3 +182,18 @@ def test_readmission_model_trains_on_train_part_without_leaks(spark):
     assert not used & EXCLUDED
     rows = scored.collect()
     assert rows and all(0.0 <= r.p1 <= 1.0 for r in rows)
+
+
+@pytest.mark.parametrize("parts", [1, 4, 17])
+def test_seeded_operators_partition_independent(spark, parts):
+    df = blobs(spark, n=80, minority_share=0.25).repartition(parts)
+    folds = sorted(map(tuple, FE.fold_column(df.select("id", "y"), "id", "y", 5).collect()))
+    ref = sorted(map(tuple, FE.fold_column(blobs(spark, n=80, minority_share=0.25).select("id", "y"),
+                                           "id", "y", 5).collect()))
+    assert folds == ref
+    syn = FE.smote(df.select("id", "y", "features"), "id", "y", minority=1, k=3, seed=3).where("synthetic = 1")
+    got = sorted(tuple(np.round(r.f, 9)) for r in syn.select(vector_to_array("features").alias("f")).collect())
+    base = blobs(spark, n=80, minority_share=0.25).select("id", "y", "features")
+    syn0 = FE.smote(base, "id", "y", minority=1, k=3, seed=3).where("synthetic = 1")
+    want = sorted(tuple(np.round(r.f, 9)) for r in syn0.select(vector_to_array("features").alias("f")).collect())
+    assert got == want

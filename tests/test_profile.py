@@ -92,3 +92,10 @@ def test_kde_integrates_to_one(spark):
         dens = sorted((r.gi, r.density) for r in out if r.g == g)
         area = np.trapezoid([d for _, d in dens], grid)
         assert area == pytest.approx(1.0, abs=0.01)
+
+
+def test_vocab_size_is_checked(spark):
+    df = spark.range(0, 50).withColumn("c", F.col("id").cast("string"))
+    assert len(P.fit_vocab(df, "c")) == 50
+    with pytest.raises(ValueError):
+        P.fit_vocabs(df, ["c"], max_values=10)
