@@ -22,6 +22,28 @@ from pyspark.sql import functions as F
 
 from revisit.session import cut_lineage, keep
 
+# The tuning grids and chosen settings of the source analysis,
+# written with Spark parameter names (ranges as in the source: end exclusive).
+SEED = 2017
+CV_FOLDS = 10
+RF_GRID = {"numTrees": list(range(50, 750, 50)), "impurity": ["gini", "entropy"],
+           "featureSubsetStrategy": ["41", "42", "43", "44", "45"], "maxDepth": list(range(7, 12))}
+RF_CHOSEN = {"numTrees": 250, "impurity": "gini", "featureSubsetStrategy": "44", "maxDepth": 10}
+GBT_GRID = {"maxIter": list(range(50, 750, 50)), "maxDepth": [1, 2, 3, 4]}
+GBT_CHOSEN = {"maxIter": 100, "maxDepth": 3}
+BOOSTER_GRID = {"stepSize": [0.1, 0.01, 0.2, 0.3, 0.4, 0.5, 0.6], "maxDepth": [1, 2, 3],
+                "maxIter": list(range(50, 2000, 50))}
+BOOSTER_CHOSEN = {"stepSize": 0.3, "maxDepth": 1, "maxIter": 100}
+MLP_HIDDEN = [(20, 2), (25, 3)]
+STRENGTHS = [10.0 ** a for a in range(-6, 7)]  # SGD / Lasso alpha, logistic and stacking C
+STACK_C = 0.001
+VOTE_WEIGHTS = {"gb": 2.0, "rf": 1.0, "xb": 1.5}
+
+
+def mlp_grid(n_features: int) -> dict:
+    """The perceptron grid as Spark layer lists (input, hidden…, 2 classes)."""
+    return {"layers": [[n_features, *h, 2] for h in MLP_HIDDEN]}
+
 
 def class_weights(df: DataFrame, label: str, out: str = "weight", max_classes: int = 10_000) -> DataFrame:
     """Balanced weight n / (n_classes · n_class) on every row.  The per-class

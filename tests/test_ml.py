@@ -197,3 +197,15 @@ def test_seeded_operators_partition_independent(spark, parts):
     syn0 = FE.smote(base, "id", "y", minority=1, k=3, seed=3).where("synthetic = 1")
     want = sorted(tuple(np.round(r.f, 9)) for r in syn0.select(vector_to_array("features").alias("f")).collect())
     assert got == want
+
+
+def test_full_grids_are_valid_spark_params(spark):
+    from pyspark.ml.tuning import ParamGridBuilder
+    for est, grid in [(M.random_forest(), M.RF_GRID), (M.gradient_boosting(), M.GBT_GRID),
+                      (M.boosted_shallow(), M.BOOSTER_GRID), (M.perceptron(64), M.mlp_grid(64))]:
+        b = ParamGridBuilder()
+        for name, values in grid.items():
+            b = b.addGrid(est.getParam(name), values)
+        maps = b.build()
+        assert len(maps) == int(np.prod([len(v) for v in grid.values()]))
+    assert len(M.RF_GRID["numTrees"]) == 14 and M.STRENGTHS[0] == 1e-6 and M.STRENGTHS[-1] == 1e6
