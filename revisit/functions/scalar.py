@@ -32,11 +32,17 @@ def parse_ts(c, fmt: str | None = None) -> Column:
     """String to zone-free timestamp.  Unparseable values become null.
 
     With a format, values that do not fit it fall back to the ISO form
-    (a date-only pattern is used on full date-time strings in the source)."""
-    iso = F.try_to_timestamp(_c(c).cast("string"))
-    if fmt is None:
-        return F.to_timestamp_ntz(iso)
-    return F.to_timestamp_ntz(F.coalesce(F.try_to_timestamp(_c(c).cast("string"), F.lit(fmt)), iso))
+    (a date-only pattern is used on full date-time strings in the source).
+    The value is parsed straight to ``timestamp_ntz`` (no session time zone
+    involved); the ``try_`` parse only decides which form applies, so bad
+    input gives null instead of an error under ANSI mode."""
+    s = _c(c).cast("string")
+
+    def parsed(f):
+        ok = (F.try_to_timestamp(s, F.lit(f)) if f else F.try_to_timestamp(s)).isNotNull()
+        return F.when(ok, F.to_timestamp_ntz(s, F.lit(f)) if f else F.to_timestamp_ntz(s))
+
+    return parsed(None) if fmt is None else F.coalesce(parsed(fmt), parsed(None))
 
 
 def format_date(c) -> Column:
