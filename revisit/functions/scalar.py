@@ -17,9 +17,19 @@ def _c(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def micros_between(start, end) -> Column:
+    """Whole microseconds from ``start`` to ``end``.
+
+    Zone-free timestamps are subtracted directly (a day-time interval of wall
+    clock time); ``timestamp_diff`` would route them through the session
+    time zone, which shifts values inside a daylight-saving gap."""
+    iv = _c(end) - _c(start)
+    return (iv.cast("interval second").cast("decimal(38,6)") * F.lit(1_000_000)).cast("long")
+
+
 def days_between(start, end) -> Column:
     """Fractional days from ``start`` to ``end`` (negative if end is earlier)."""
-    return F.timestamp_diff("MICROSECOND", _c(start), _c(end)) / F.lit(MICROS_PER_DAY)
+    return micros_between(start, end) / F.lit(MICROS_PER_DAY)
 
 
 def julian_day(ts) -> Column:

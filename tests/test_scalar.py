@@ -87,3 +87,14 @@ def test_ordinal_encode_alphabetical_and_unseen_fails(spark):
 def test_cast_int_is_lenient(spark):
     got = [r[0] for r in one_col(spark, ["3", "x", None], "string").select(S.cast_int("x")).collect()]
     assert got == [3, None, None]
+
+
+def test_days_between_ignores_session_time_zone(spark):
+    spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+    try:
+        df = spark.createDataFrame([(dt.datetime(2024, 3, 10, 1, 30), dt.datetime(2024, 3, 10, 2, 30))],
+                                   "a timestamp_ntz, b timestamp_ntz")
+        # wall-clock hour inside the spring-forward gap: still one hour apart
+        assert df.select(S.days_between("a", "b")).first()[0] == pytest.approx(1 / 24)
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
