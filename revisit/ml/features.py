@@ -272,7 +272,7 @@ def _exact_neighbours(pts: DataFrame, key: str, k: int) -> DataFrame:
 
 def smote(df: DataFrame, key: str, label: str, features: str = "features", minority: int = 1,
           k: int = 5, seed: int = 2017, projections: int = 8, window: int = 8,
-          exact_max: int = 50_000) -> DataFrame:
+          exact_max: int = 50_000, provenance: bool = False) -> DataFrame:
     """SMOTE: add synthetic minority rows until both classes have equal size.
 
     Each synthetic row is x + u·(x' − x): x a minority point (points are
@@ -285,7 +285,8 @@ def smote(df: DataFrame, key: str, label: str, features: str = "features", minor
     Above that bound they come from ``_projection_neighbours``, an
     approximate search with a bounded number of candidates per point.
     Output: the input rows (synthetic = 0) plus synthetic rows (key = null,
-    synthetic = 1)."""
+    synthetic = 1).  With ``provenance`` three more columns tell, for a
+    synthetic row, its source point, the neighbour and the fraction u."""
     mino = df.where(F.col(label) == minority).select(key, features)
     counts = df.groupBy(label).agg(F.count(F.lit(1)).alias("n")).collect()
     by = {r[label]: r["n"] for r in counts}
@@ -314,7 +315,7 @@ def smote(df: DataFrame, key: str, label: str, features: str = "features", minor
     # a point with fewer than k neighbours uses its last one
     nk = knn.groupBy("_a").agg(F.max("_j").alias("_kmax"))
     c2 = copies.join(nk, copies[key] == nk["_a"]).withColumn("_pick", F.least("_pick", "_kmax"))
-    syn = c2.join(knn.select(F.col("_a").alias("_a2"), "_j", "_xc"),
+    syn = c2.join(knn.select(F.col("_a").alias("_a2"), "_j", "_c", "_xc"),
                   (c2["_a"] == F.col("_a2")) & (c2["_pick"] == F.col("_j")))
     new = F.zip_with("_x", "_xc", lambda p, q: p + (q - p) * F.col("_u"))
     out_cols = []
@@ -325,7 +326,12 @@ def smote(df: DataFrame, key: str, label: str, features: str = "features", minor
             out_cols.append(F.lit(minority).cast(f.dataType).alias(label))
         else:
             out_cols.append(F.lit(None).cast(f.dataType).alias(f.name))
-    synth = syn.select(*out_cols, F.lit(1).alias("synthetic"))
+    synth = syn.select(*out_cols, F.lit(1).alias("synthetic"),
+                       *([F.col(key).alias("_src"), F.col("_c").alias("_nbr"), F.col("_u")] if provenance else []))
+    if provenance:
+        kt = df.schema[key].dataType
+        base = base.select("*", F.lit(None).cast(kt).alias("_src"), F.lit(None).cast(kt).alias("_nbr"),
+                           F.lit(None).cast("double").alias("_u"))
     return base.unionByName(synth)
 
 

@@ -46,6 +46,15 @@ def scan_csv(spark: SparkSession, path: str, schema: T.StructType, limit: int |
     return df
 
 
+def ingest_csv(spark: SparkSession, path: str, schema: T.StructType, out: str,
+               partitions: int | None = None) -> DataFrame:
+    """Scan a (gzip) CSV once with ``scan_csv`` and keep it as parquet at
+    ``out``: later reads are columnar, splittable and pushdown-capable instead
+    of re-decompressing one unsplittable file."""
+    scan_csv(spark, path, schema, partitions=partitions).write.mode("overwrite").parquet(out)
+    return spark.read.parquet(out)
+
+
 def flatten_vectors(df: DataFrame) -> DataFrame:
     """ML vectors to arrays (CSV/JSON cannot hold a vector type)."""
     return df.select(*[vector_to_array(f.name).alias(f.name) if isinstance(f.dataType, VectorUDT)

@@ -91,10 +91,15 @@ def test_smote_balances_and_stays_on_segments(spark):
     out = FE.smote(df.select("id", "y", "features"), "id", "y", minority=1, k=3, seed=7, projections=4, window=4)
     counts = {r.y: r["count"] for r in out.groupBy("y").count().collect()}
     assert counts[0] == counts[1] == 96
-    syn = np.array([r.f for r in out.where("synthetic = 1").select(vector_to_array("features").alias("f")).collect()])
-    mino = np.array([r.f for r in df.where("y = 1").select(vector_to_array("features").alias("f")).collect()])
-    lo, hi = mino.min(axis=0), mino.max(axis=0)
-    assert np.all(syn >= lo - 1e-9) and np.all(syn <= hi + 1e-9)
+    prov = FE.smote(df.select("id", "y", "features"), "id", "y", minority=1, k=3, seed=7, provenance=True)
+    pts = {r.id: np.array(r.f) for r in df.where("y = 1").select("id", vector_to_array("features").alias("f"))
+           .collect()}
+    ids = np.array(sorted(pts))
+    for r in prov.where("synthetic = 1").select("_src", "_nbr", "_u", vector_to_array("features").alias("f")).collect():
+        a, b = pts[r._src], pts[r._nbr]
+        assert 0.0 <= r._u < 1.0 and np.allclose(r.f, a + r._u * (b - a))
+        d = np.array([((pts[i] - a) ** 2).sum() if i != r._src else np.inf for i in ids])
+        assert r._nbr in set(ids[np.lexsort((ids, d))[:3]])  # one of the 3 nearest minority points
 
 
 def test_discriminant_separates_blobs(spark):
@@ -209,3 +214,18 @@ def test_full_grids_are_valid_spark_params(spark):
         maps = b.build()
         assert len(maps) == int(np.prod([len(v) for v in grid.values()]))
     assert len(M.RF_GRID["numTrees"]) == 14 and M.STRENGTHS[0] == 1e-6 and M.STRENGTHS[-1] == 1e6
+
+
+
+def test_ingest_csv_to_parquet(spark, tmp_dir):
+    import gzip
+    import os
+
+    from pyspark.sql import types as T
+
+    from revisit.sources.files import ingest_csv
+    path = os.path.join(tmp_dir, "in.csv.gz")
+    with gzip.open(path, "wt") as f:
+        f.write("a,b\n1,x\n2,y,extra\n3\n")
+    out = ingest_csv(spark, path, T.StructType.fromDDL("a long, b string"), os.path.join(tmp_dir, "pq"))
+    assert sorted(map(tuple, out.collect())) == [(1, "x"), (3, None)]
