@@ -229,3 +229,18 @@ def test_ingest_csv_to_parquet(spark, tmp_dir):
         f.write("a,b\n1,x\n2,y,extra\n3\n")
     out = ingest_csv(spark, path, T.StructType.fromDDL("a long, b string"), os.path.join(tmp_dir, "pq"))
     assert sorted(map(tuple, out.collect())) == [(1, "x"), (3, None)]
+
+
+def test_pca_matches_numpy_up_to_sign(spark):
+    df = blobs(spark, n=150, d=5, shift=2.0)
+    mean, std, _ = FE.vector_stats(df)
+    s = FE.standardize_vector(df, mean, std)
+    model = FE.fit_pca(s, 3)
+    got = np.array([r.p for r in model.transform(s).orderBy("id").select(vector_to_array("pca").alias("p")).collect()])
+    x = np.array([r.f for r in s.orderBy("id").select(vector_to_array("scaled").alias("f")).collect()])
+    _, sv, vt = np.linalg.svd(x - x.mean(axis=0), full_matrices=False)
+    want = x @ vt[:3].T
+    for j in range(3):
+        assert abs(np.corrcoef(got[:, j], want[:, j])[0, 1]) == pytest.approx(1.0, abs=1e-6)
+    share = model.explainedVariance.toArray()
+    assert share == pytest.approx((sv ** 2 / (sv ** 2).sum())[:3], abs=1e-6)
