@@ -156,22 +156,46 @@ def best_params(cv_model) -> dict:
     return {p.name: v for p, v in params.items()} | {"cv_auc": cv_model.avgMetrics[best]}
 
 
-def stack(train: DataFrame, base: Mapping[str, object], label: str = "label",
-          features: str = "features", C: float = 0.001) -> PipelineModel:
-    """Stacking: base models fitted on all training rows; their hard class
-    labels are the inputs of an L2 logistic meta-model."""
-    stages = []
+def _base_estimators(base: Mapping[str, object]) -> list:
+    out = []
     for name, est in base.items():
         est = est.copy()
         est.setPredictionCol(f"{name}_pred").setRawPredictionCol(f"{name}_raw")
         if est.hasParam("probabilityCol"):
             est.setProbabilityCol(f"{name}_prob")
-        stages.append(est)
-    stages.append(VectorAssembler(inputCols=[f"{n}_pred" for n in base], outputCol="_stack"))
+        out.append(est)
+    return out
+
+
+def stack(train: DataFrame, base: Mapping[str, object], label: str = "label",
+          features: str = "features", C: float = 0.001, out_of_fold: int | None = None,
+          key: str | None = None) -> PipelineModel:
+    """Stacking: the base models' hard class labels are the inputs of an L2
+    logistic meta-model.
+
+    Default (as in the source): base models fitted on all training rows and
+    the meta-model trained on their in-sample predictions.  With
+    ``out_of_fold=k`` (needs a unique ``key``) the meta-model is trained on
+    predictions for each fold made by base models fitted on the other folds,
+    and the base models are then refitted on all rows for serving."""
+    ests = _base_estimators(base)
+    assembler = VectorAssembler(inputCols=[f"{n}_pred" for n in base], outputCol="_stack")
     train = keep(train)  # read by every base model and the meta-model
     n = train.count()
-    stages.append(logistic(C, n, label, "_stack"))
-    return Pipeline(stages=stages).fit(train)
+    if not out_of_fold:
+        return Pipeline(stages=[*ests, assembler, logistic(C, n, label, "_stack")]).fit(train)
+    if key is None:
+        raise ValueError("out-of-fold stacking needs a unique key column")
+    from revisit.ml.features import fold_column
+    folded = keep(fold_column(train, key, label, out_of_fold, out="_fold"))
+    held_out = None
+    for f in range(out_of_fold):
+        fitted = Pipeline(stages=list(ests)).fit(folded.where(F.col("_fold") != f))
+        pred = fitted.transform(folded.where(F.col("_fold") == f))
+        held_out = pred if held_out is None else held_out.unionByName(pred)
+    meta = logistic(C, n, label, "_stack").fit(assembler.transform(held_out))
+    full = Pipeline(stages=list(ests)).fit(train)
+    return PipelineModel(stages=[*full.stages, assembler, meta])
 
 
 def save_model(model, path: str) -> None:

@@ -244,3 +244,12 @@ def test_pca_matches_numpy_up_to_sign(spark):
         assert abs(np.corrcoef(got[:, j], want[:, j])[0, 1]) == pytest.approx(1.0, abs=1e-6)
     share = model.explainedVariance.toArray()
     assert share == pytest.approx((sv ** 2 / (sv ** 2).sum())[:3], abs=1e-6)
+
+
+def test_stack_out_of_fold(spark):
+    df = blobs(spark, n=120, d=3, shift=2.0)
+    base = {"rf": M.random_forest(trees=5, depth=3, max_features=2), "gb": M.gradient_boosting(trees=5)}
+    model = M.stack(df, base, out_of_fold=3, key="id")
+    scored = EV.score_batch(model, df, keep=["id", "y"])
+    assert scored.count() == 120
+    assert EV.roc_auc(scored, "y", "p1").first().auc > 0.8
