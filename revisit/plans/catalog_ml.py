@@ -351,7 +351,8 @@ def q_sweep(spark, d):
 @query("feature_importance")
 def q_importance(spark, d):
     model = _rf_model(spark, d)
-    return EV.importances(spark, model, [f"e{i}" for i in range(64)])
+    imp = EV.importances(spark, model, [f"e{i}" for i in range(64)])
+    return imp.where(F.col("importance") > 0)  # the non-zero ones, highest first
 
 
 @query("coefficients")

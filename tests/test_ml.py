@@ -253,3 +253,16 @@ def test_stack_out_of_fold(spark):
     scored = EV.score_batch(model, df, keep=["id", "y"])
     assert scored.count() == 120
     assert EV.roc_auc(scored, "y", "p1").first().auc > 0.8
+
+
+def test_end_to_end_run_writes_everything(spark, tmp_dir):
+    import os
+
+    from revisit.plans.run import run
+    metrics = {(r.metric, r.actual, r.predicted): r.value
+               for r in run(spark, "/root/testdata/sf0.001", tmp_dir, trees=10).collect()}
+    assert 0.0 <= metrics[("roc_auc", None, None)] <= 1.0
+    for sub in ("dataset", "dataset_csv", "train_ids", "test_ids", "model", "test_scores", "metrics"):
+        assert os.path.isdir(os.path.join(tmp_dir, sub)), sub
+    n_test = spark.read.parquet(os.path.join(tmp_dir, "test_scores")).count()
+    assert sum(v for (m, _, _), v in metrics.items() if m == "confusion") == n_test
