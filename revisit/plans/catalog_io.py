@@ -66,9 +66,14 @@ def q_sink_ids(spark, d):
     return IO.scan_csv(spark, path, ids.schema)
 
 
-@query("json_records_write")
+@query("json_records_write", """
+SELECT CAST(to_json(struct_pack(HADM_ID := HADM_ID, DRG_SEVERITY := ROUND(DRG_SEVERITY, 6),
+                                DRG_MORTALITY := ROUND(DRG_MORTALITY, 6))) AS VARCHAR) AS json
+FROM drg_means""", "drg_means")
 def q_json_write(spark, d):
-    return IO.to_json_records(C.drg_means(spark, d))
+    m = C.drg_means(spark, d)
+    return IO.to_json_records(m.select("HADM_ID", *[F.round(c, 6).alias(c) for c in ("DRG_SEVERITY",
+                                                                                  "DRG_MORTALITY")]))
 
 
 @query("json_records_read", "SELECT SUBJECT_ID, GENDER FROM patients", "patients")
