@@ -66,20 +66,36 @@ def q_one_hot(spark, d):
     return FE.one_hot(e, vocab)
 
 
-@query("assemble_features")
+def _rounded_array(v):
+    return F.transform(vector_to_array(v), lambda x: F.round(x, 6))
+
+
+@query("assemble_features", """
+SELECT HADM_ID, [CAST(NO_OF_SURGERIES AS DOUBLE), ROUND(COALESCE(DRG_SEVERITY, 0), 6),
+                 ROUND(COALESCE(DRG_MORTALITY, 0), 6)] AS features
+FROM enriched""", "enriched")
 def q_assemble(spark, d):
     e = C.enriched(spark, d).select("HADM_ID", "DAYS_TO_READMISSION", "NO_OF_SURGERIES",
                                     "DRG_SEVERITY", "DRG_MORTALITY").fillna(0.0)
     v = FE.assemble(e, exclude=["HADM_ID", "DAYS_TO_READMISSION"])
-    return v.select("HADM_ID", vector_to_array("features").alias("features"))
+    return v.select("HADM_ID", _rounded_array("features").alias("features"))
+
+
+def _code_vector_sql():
+    from revisit.plans.catalog import ICD_VOCAB
+    cells = ", ".join(f"CAST(COUNT(*) FILTER (WHERE ICD9_CODE = '{v}') AS DOUBLE)" for v in ICD_VOCAB)
+    return f"""
+SELECT HADM_ID, [{cells}] AS codes
+FROM diagnoses WHERE ICD9_CODE IS NOT NULL AND HADM_ID IN (SELECT HADM_ID FROM gaps)
+GROUP BY HADM_ID"""
 
 
-@query("crosstab_vector")
+@query("crosstab_vector", _code_vector_sql(), "diagnoses", "gaps")
 def q_crosstab_vector(spark, d):
     from revisit.plans.catalog import ICD_VOCAB, _code_matrix
     m = _code_matrix(spark, d, ICD_VOCAB)
     v = FE.assemble(m, exclude=["HADM_ID"], output="codes")
-    return v.select("HADM_ID", vector_to_array("codes").alias("codes"))
+    return v.select("HADM_ID", _rounded_array("codes").alias("codes"))
 
 
 @query("stratified_split", _SPLIT_SQL + """
