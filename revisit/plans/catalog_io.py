@@ -120,7 +120,20 @@ def q_stream(spark, d):
     return spark.read.parquet(out_dir)
 
 
-@query("frame_equality")
+@query("frame_equality", """
+WITH s AS (SELECT SUBJECT_ID, HADM_ID, ADMITTIME, DISCHTIME,
+                  ROW_NUMBER() OVER (PARTITION BY SUBJECT_ID ORDER BY ADMITTIME ASC NULLS LAST,
+                                     HADM_ID ASC NULLS LAST) AS SEQUENCE FROM admissions),
+by_join AS (SELECT a.SUBJECT_ID, a.HADM_ID, a.DISCHTIME AS CURR_DISCHTIME, b.ADMITTIME AS NXT_ADMITTIME
+            FROM s a JOIN s b ON a.SUBJECT_ID = b.SUBJECT_ID AND a.SEQUENCE = b.SEQUENCE - 1),
+by_lead AS (SELECT SUBJECT_ID, HADM_ID, CURR_DISCHTIME, NXT_ADMITTIME FROM (
+              SELECT SUBJECT_ID, HADM_ID, DISCHTIME AS CURR_DISCHTIME, LEAD(ADMITTIME) OVER w AS NXT_ADMITTIME,
+                     LEAD(HADM_ID) OVER w AS NXT_ID FROM admissions
+              WINDOW w AS (PARTITION BY SUBJECT_ID ORDER BY ADMITTIME ASC NULLS LAST, HADM_ID ASC NULLS LAST))
+            WHERE NXT_ID IS NOT NULL)
+SELECT (SELECT COUNT(*) FROM (SELECT * FROM by_lead EXCEPT ALL SELECT * FROM by_join))
+     + (SELECT COUNT(*) FROM (SELECT * FROM by_join EXCEPT ALL SELECT * FROM by_lead)) AS n_differences""",
+       "admissions")
 def q_frame_eq(spark, d):
     adm = _b(spark, d, "admissions")
     by_lead = JR.next_event_gap(adm)
