@@ -2,7 +2,6 @@ import datetime as dt
 import math
 
 import pytest
-from pyspark.sql import functions as F
 
 from revisit.functions import scalar as S
 
