@@ -258,6 +258,20 @@ def corr_matrix(df: DataFrame, cols: Sequence[str]) -> DataFrame:
         for i in range(len(cols)) for j in range(len(cols))])).alias("s")).select("s.*")
 
 
+def vector_corr(df: DataFrame, features: str, names: Sequence[str]) -> DataFrame:
+    """Long Pearson matrix (a, b, r) of a wide feature vector, computed by
+    ``ml.stat.Correlation`` (one distributed pass on the JVM; only the d×d
+    matrix comes back).  Rows must be complete - impute first; a constant
+    slot gives null."""
+    import math as _m
+
+    from pyspark.ml.stat import Correlation
+    mat = Correlation.corr(df.select(features), features).first()[0].toArray()
+    rows = [(names[i], names[j], None if _m.isnan(mat[i, j]) else float(mat[i, j]))
+            for i in range(len(names)) for j in range(len(names))]
+    return df.sparkSession.createDataFrame(rows, "a string, b string, r double")
+
+
 def variances(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """(column, variance) with population variance (ddof 0), one pass."""
     wide = df.agg(*[F.var_pop(c).alias(c) for c in cols])

@@ -99,3 +99,25 @@ def test_vocab_size_is_checked(spark):
     assert len(P.fit_vocab(df, "c")) == 50
     with pytest.raises(ValueError):
         P.fit_vocabs(df, ["c"], max_values=10)
+
+
+def test_vector_corr_matches_column_corr(spark):
+    from pyspark.ml.feature import VectorAssembler
+    rng = np.random.default_rng(9)
+    x = rng.normal(0, 1, (200, 3))
+    x[:, 2] = x[:, 0] * 0.5 + rng.normal(0, 0.1, 200)
+    df = spark.createDataFrame([tuple(map(float, r)) for r in x], "a double, b double, c double")
+    v = VectorAssembler(inputCols=["a", "b", "c"], outputCol="f").transform(df)
+    got = {(r.a, r.b): r.r for r in P.vector_corr(v, "f", ["a", "b", "c"]).collect()}
+    want = {(r.a, r.b): r.r for r in P.corr_matrix(df, ["a", "b", "c"]).collect()}
+    for k, val in want.items():
+        assert got[k] == pytest.approx(val, abs=1e-9)
+
+
+def test_checkpoint_dir_honours_cluster_setting(spark, tmp_dir):
+    from revisit.session import checkpoint_dir
+    from revisit.sources.files import scratch_path
+    # the session already has one (tests set it only where unset); it is reused, never replaced
+    current = spark.sparkContext.getCheckpointDir()
+    assert checkpoint_dir(spark) == current
+    assert scratch_path(spark, "x").startswith(current)
