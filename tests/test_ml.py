@@ -266,3 +266,26 @@ def test_end_to_end_run_writes_everything(spark, tmp_dir):
         assert os.path.isdir(os.path.join(tmp_dir, sub)), sub
     n_test = spark.read.parquet(os.path.join(tmp_dir, "test_scores")).count()
     assert sum(v for (m, _, _), v in metrics.items() if m == "confusion") == n_test
+
+
+def test_stream_restart_from_checkpoint_is_exactly_once(spark, tmp_dir):
+    from pyspark.ml import PipelineModel
+    from pyspark.ml.feature import VectorAssembler
+
+    from revisit.streaming.scoring import score_stream
+    rng = np.random.default_rng(4)
+    rows = [(i, int(i % 2), float(i % 2), *[float(v) for v in rng.normal(i % 2, 1, 2)]) for i in range(40)]
+    df = spark.createDataFrame(rows, "id long, y int, label double, a double, b double")
+    asm = VectorAssembler(inputCols=["a", "b"], outputCol="features")
+    model = PipelineModel(stages=[asm, M.random_forest(trees=3, depth=2, max_features=1).fit(asm.transform(df))])
+    M.save_model(model, f"{tmp_dir}/m")
+    recs = df.select("id", "a", "b")
+    recs.where("id < 20").write.json(f"{tmp_dir}/in/part1")
+    args = (spark, f"{tmp_dir}/in/*", recs.schema, f"{tmp_dir}/m", "id", ["a", "b"], f"{tmp_dir}/out",
+            f"{tmp_dir}/ckpt")
+    score_stream(*args).awaitTermination()
+    assert spark.read.parquet(f"{tmp_dir}/out").count() == 20
+    recs.where("id >= 20").write.json(f"{tmp_dir}/in/part2")   # new files arrive; the query restarts
+    score_stream(*args).awaitTermination()
+    out = spark.read.parquet(f"{tmp_dir}/out")
+    assert out.count() == 40 and out.select("id").distinct().count() == 40
