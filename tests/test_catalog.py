@@ -47,3 +47,15 @@ def test_flagship_known_answer(spark):
     assert got == {"1-URGENT": (1951, 0.169144, 108), "2-HIGH": (1991, 0.1778, 105),
                    "3-MEDIUM": (1979, 0.163719, 102), "4-NOT SPECIFIED": (1979, 0.180899, 91),
                    "5-LOW": (2029, 0.172006, 107)}
+
+
+ROWS_ONLY = sorted(set(E.queries()) - set(SQL))
+
+
+@pytest.mark.parametrize("key", ROWS_ONLY)
+def test_rows_only_query_runs(spark, key):
+    from revisit.session import release_intermediates
+    df = E.queries()[key](spark, SMALL)
+    n = df.count()
+    release_intermediates()
+    assert n > 0 and len(df.columns) == len(set(df.columns))
