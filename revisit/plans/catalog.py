@@ -327,8 +327,8 @@ def q_join_where(spark, d):
 
 
 @query("zip_columns", """
-SELECT HADM_ID, HOUR(ADMITTIME) AS ADMIT_HOUR, HOUR(DISCHTIME) AS DISCH_HOUR FROM admissions""",
-       "admissions")
+SELECT HADM_ID, CAST(HOUR(ADMITTIME) AS INTEGER) AS ADMIT_HOUR, CAST(HOUR(DISCHTIME) AS INTEGER) AS DISCH_HOUR
+FROM admissions""", "admissions")
 def q_zip(spark, d):
     adm = _b(spark, d, "admissions")
     left = adm.select("HADM_ID", S.hour_of_day("ADMITTIME").alias("ADMIT_HOUR"))
@@ -400,7 +400,7 @@ def q_group_nonnull(spark, d):
 
 @query("group_count_two_keys", """
 SELECT CASE WHEN DAYS_TO_READMISSION <= 30 THEN 1 ELSE 0 END AS READMISSION_30dAYS,
-       HOUR(CURR_DISCHTIME) AS DISCH_HOUR, COUNT(HADM_ID) AS n
+       CAST(HOUR(CURR_DISCHTIME) AS INTEGER) AS DISCH_HOUR, COUNT(HADM_ID) AS n
 FROM gaps GROUP BY 1, 2""", "gaps")
 def q_count_two(spark, d):
     g = C.readmission_gaps(spark, d).select(
@@ -551,7 +551,7 @@ def q_cat_label(spark, d):
 WITH m AS (SELECT MIN(l_extendedprice) AS lo, MAX(l_extendedprice) AS hi FROM lineitem),
 c AS (SELECT LEAST(CAST(FLOOR((l_extendedprice - lo) / ((hi - lo) / 10)) AS INTEGER), 9) AS bin, COUNT(*) AS n
       FROM lineitem, m GROUP BY 1)
-SELECT g.bin, ROUND(lo + g.bin * (hi - lo) / 10, 6) AS lower, ROUND(lo + (g.bin + 1) * (hi - lo) / 10, 6) AS upper,
+SELECT CAST(g.bin AS INTEGER) AS bin, ROUND(lo + g.bin * (hi - lo) / 10, 6) AS lower, ROUND(lo + (g.bin + 1) * (hi - lo) / 10, 6) AS upper,
        COALESCE(c.n, 0) AS count
 FROM (SELECT UNNEST(RANGE(0, 10)) AS bin) g CROSS JOIN m LEFT JOIN c ON g.bin = c.bin""")
 def q_hist(spark, d):
@@ -711,8 +711,8 @@ def q_format(spark, d):
 
 
 @query("hour_of_day", """
-SELECT HADM_ID, HOUR(ADMITTIME) AS ADMIT_HOUR, HOUR(DISCHTIME) AS DISCH_HOUR FROM admissions""",
-       "admissions")
+SELECT HADM_ID, CAST(HOUR(ADMITTIME) AS INTEGER) AS ADMIT_HOUR, CAST(HOUR(DISCHTIME) AS INTEGER) AS DISCH_HOUR
+FROM admissions""", "admissions")
 def q_hour(spark, d):
     a = _b(spark, d, "admissions")
     return a.select("HADM_ID", S.hour_of_day("ADMITTIME").alias("ADMIT_HOUR"),

@@ -345,7 +345,7 @@ def q_roc(spark, d):
 
 def _sens_spec_sql(ts):
     return f"""
-WITH e AS ({_EVENTS_SQL}), t AS (SELECT UNNEST([{', '.join(f'{float(x)}' for x in ts)}]) AS threshold)
+WITH e AS ({_EVENTS_SQL}), t AS (SELECT UNNEST([{', '.join(f'CAST({float(x)} AS DOUBLE)' for x in ts)}]) AS threshold)
 SELECT threshold,
        ROUND(COUNT(*) FILTER (WHERE y = 1 AND score > threshold) / COUNT(*) FILTER (WHERE y = 1), 6) AS sensitivity,
        ROUND(COUNT(*) FILTER (WHERE y <> 1 AND score <= threshold) / COUNT(*) FILTER (WHERE y <> 1), 6) AS specificity

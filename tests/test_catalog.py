@@ -59,3 +59,19 @@ def test_rows_only_query_runs(spark, key):
     n = df.count()
     release_intermediates()
     assert n > 0 and len(df.columns) == len(set(df.columns))
+
+
+SPARK_TO_DUCK = {"bigint": "BIGINT", "int": "INTEGER", "double": "DOUBLE", "string": "VARCHAR",
+                 "timestamp_ntz": "TIMESTAMP", "boolean": "BOOLEAN", "array<double>": "DOUBLE[]"}
+
+
+@pytest.mark.parametrize("key", sorted(SQL))
+def test_query_types_match_oracle(spark, con, key):
+    from revisit.session import release_intermediates
+    df = E.queries()[key](spark, SMALL)
+    release_intermediates()
+    rel = con.sql(SQL[key]).limit(0)
+    duck = {c: str(t) for c, t in zip(rel.columns, rel.types)}
+    for f in df.schema.fields:
+        s = f.dataType.simpleString()
+        assert duck[f.name] == SPARK_TO_DUCK.get(s, s), (f.name, s, duck[f.name])
