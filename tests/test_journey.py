@@ -110,3 +110,14 @@ def test_split_same_on_both_paths(spark, monkeypatch):
     monkeypatch.setattr(ordered, "MAX_GROUP_ROWS", 10)
     b = sorted(map(tuple, stratified_split(df, "id", "y").collect()))
     assert a == b
+
+
+def test_chunked_path_equals_window_on_real_hot_keys(spark):
+    from revisit.sources.tables import table
+    li = table(spark, "/root/testdata/sf0.001", "lineitem").select(
+        "l_returnflag", "l_shipdate", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
+    order = ["l_shipdate", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]  # total order
+    a = ordered_scan(li, ["l_returnflag"], order, rn="seq", leads=[("l_shipdate", "nxt")], max_group_rows=0)
+    w = Window.partitionBy("l_returnflag").orderBy(*order)
+    b = li.select("*", F.row_number().over(w).cast("long").alias("seq"), F.lead("l_shipdate").over(w).alias("nxt"))
+    assert a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0
