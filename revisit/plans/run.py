@@ -1,6 +1,7 @@
 """End-to-end run of the readmission analysis, as a job.
 
     python -m revisit.plans.run --data /path/to/tables --out /shared/folder [--days 30]
+    python -m revisit.plans.run --csv /path/to/exported/csv.gz --out /shared/folder
 
 Writes, under ``--out``:
   dataset/           the modelling table (parquet)
@@ -67,7 +68,8 @@ def run(spark: SparkSession, data: str, out: str, days: int = 30, trees: int = 2
 
 def main() -> None:
     ap = argparse.ArgumentParser(description=__doc__.split("\n")[0])
-    ap.add_argument("--data", required=True, help="folder with the source tables (<name>.parquet)")
+    ap.add_argument("--data", help="folder with the source tables (<name>.parquet)")
+    ap.add_argument("--csv", help="folder with the exported gzip CSV files; ingested to <out>/tables first")
     ap.add_argument("--out", required=True, help="shared output folder")
     ap.add_argument("--days", type=int, default=30)
     ap.add_argument("--trees", type=int, default=250)
@@ -77,7 +79,14 @@ def main() -> None:
     if args.master:
         builder = builder.master(args.master).config("spark.ui.enabled", "false")
     spark = builder.getOrCreate()
-    run(spark, args.data, args.out, args.days, args.trees).show(truncate=False)
+    data = args.data
+    if args.csv:
+        from revisit.sources.schemas import ingest_sources
+        data = f"{args.out}/tables"
+        ingest_sources(spark, args.csv, data)
+    if not data:
+        ap.error("give --data or --csv")
+    run(spark, data, args.out, args.days, args.trees).show(truncate=False)
 
 
 if __name__ == "__main__":

@@ -148,7 +148,11 @@ BINDINGS = {
 
 
 def bound(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A hospital-shaped view, or a driver table if ``name`` is one."""
+    """A hospital table: the real one when the folder holds ``<name>.parquet``
+    (see ``revisit.sources.schemas.ingest_sources``), otherwise the fixture
+    binding over the driver tables; a driver table if ``name`` is one."""
     if name in BINDINGS:
+        if os.path.exists(os.path.join(sf_dir, f"{name}.parquet")):
+            return table(spark, sf_dir, name)
         return BINDINGS[name](spark, sf_dir)
     return table(spark, sf_dir, name)

@@ -43,3 +43,20 @@ def test_json_records_nested_round_trip(spark):
     assert sorted(map(tuple, back.collect())) == sorted(map(tuple, df.collect()))
     rec = IO.to_json_records(df).collect()
     assert rec[0].json.startswith("{")
+
+
+def test_ingested_sources_replace_the_fixture_bindings(spark, tmp_dir):
+    from revisit.plans.cohort import readmission_rate_by_type
+    from revisit.sources.schemas import SOURCE_COLUMNS, SOURCE_FILES, ingest_sources
+    from revisit.sources.tables import bound
+    small = "/root/testdata/sf0.001"
+    csv_dir, out_dir = os.path.join(tmp_dir, "csv"), os.path.join(tmp_dir, "tables")
+    for name, file in SOURCE_FILES.items():
+        df = bound(spark, small, name)
+        # an export has more columns than the analysis uses, e.g. a leading row id
+        df = df.select(F.monotonically_increasing_id().alias("ROW_ID"), *SOURCE_COLUMNS[name])
+        df.coalesce(1).write.option("header", True).option("compression", "gzip").csv(os.path.join(csv_dir, file))
+    assert ingest_sources(spark, csv_dir, out_dir) == list(SOURCE_FILES)
+    a = sorted(map(tuple, readmission_rate_by_type(spark, out_dir).collect()))
+    b = sorted(map(tuple, readmission_rate_by_type(spark, small).collect()))
+    assert a == b
