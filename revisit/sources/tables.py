@@ -152,7 +152,19 @@ def bound(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     (see ``revisit.sources.schemas.ingest_sources``), otherwise the fixture
     binding over the driver tables; a driver table if ``name`` is one."""
     if name in BINDINGS:
-        if os.path.exists(os.path.join(sf_dir, f"{name}.parquet")):
+        if _exists(spark, os.path.join(sf_dir, f"{name}.parquet")):
             return table(spark, sf_dir, name)
         return BINDINGS[name](spark, sf_dir)
     return table(spark, sf_dir, name)
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    """Local paths are checked directly; other file systems by resolving the
+    parquet path (a listing, no data is read)."""
+    if "://" not in path or path.startswith("file:"):
+        return os.path.exists(path[len("file:"):] if path.startswith("file:") else path)
+    try:
+        spark.read.parquet(path).schema
+        return True
+    except Exception:  # noqa: BLE001 - a missing path raises an analysis error
+        return False
