@@ -25,6 +25,28 @@ def op1_curve_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), tokenizer_path(TOKENIZER))
 
 
+@query
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from revisit.llm.toxicity_ftrl import score, train
+    docs, fold = table(spark, sf_dir, "documents"), F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4
+    held_out = F.coalesce(fold == 2, F.lit(False))
+    weights = train(docs, table(spark, sf_dir, "labels").where(~held_out))
+    return score(docs, weights).select("doc_id", held_out.alias("held_out"), "score",
+                                       (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
+@query
+def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document is a file of its source's and language's directory; the
+    ones that open with a notice line are that directory's licence files when
+    their id is a multiple of 100."""
+    from revisit.llm.license_paths import scan_licenses
+    name = F.when(F.col("doc_id") % 100 == 0, F.concat(F.col("doc_id").cast("string"), F.lit("/LICENSE"))) \
+        .otherwise(F.concat((F.col("doc_id") - F.col("doc_id") % 100).cast("string"), F.lit("/src/"), F.col("doc_id").cast("string")))
+    docs = table(spark, sf_dir, "documents").withColumn("path", F.concat_ws("/", "source", name))
+    return scan_licenses(docs, "path").withColumnRenamed("id", "doc_id")
+
+
 @query
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from revisit.llm.quality_rules import quality_rules
@@ -32,6 +54,13 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "rules.*")
 
 
+@query
+def op5_url_aliases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from revisit.llm.url_aliases import judge_urls
+    shown = F.when(F.col("rule").isNotNull(), F.col("rule"))
+    return judge_urls(table(spark, sf_dir, "pages")).withColumn("rule", shown)
+
+
 @query
 def op6_simhash_pivots(spark: SparkSession, sf_dir: str) -> DataFrame:
     from revisit.llm.simhash_pivots import simhash_groups
@@ -39,6 +68,23 @@ def op6_simhash_pivots(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+@query
+def op7_html_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from revisit.llm.html_scoring import extract
+    out = table(spark, sf_dir, "pages").select("page_id", "url", extract(F.col("html")).alias("text"))
+    return out.withColumn("n_chars", F.length("text").cast("long"))
+
+
+@query
+def op8_pii_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from revisit.llm.pii_offsets import KINDS, personal_data
+    out = table(spark, sf_dir, "documents").select("doc_id", personal_data(F.col("text")).alias("p"))
+    listed = lambda c: F.array_join(F.transform(c, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+    count = lambda k: F.size(F.filter("p.base", lambda s: s["kind"] == k)).cast("long").alias(f"n_{k}")
+    return out.select("doc_id", *[count(k) for k in KINDS], F.sha2(listed(F.col("p.base")), 256).alias("base_sha256"),
+                      listed(F.col("p.spans")).alias("spans"))
+
+
 @query
 def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     from revisit.llm.decontaminate import decontaminate
