@@ -29,8 +29,8 @@ def features(text: str | None, bits: int) -> np.ndarray:
     return np.array([0, *sorted({1 + xxhash.xxh64_intdigest(g) % top for g in grams})], dtype=np.int64)
 
 
-def fit(rows: Iterator[tuple[str, int]], bits: int = 20, alpha: float = 0.3, beta: float = 1.0, l1: float = 0.5,
-        l2: float = 0.1, epochs: int = 3) -> tuple[np.ndarray, np.ndarray]:
+def fit(rows: Iterator[tuple[str, int]], bits: int = 20, alpha: float = 1.0, beta: float = 1.0, l1: float = 6.0,
+        l2: float = 0.1, epochs: int = 6) -> tuple[np.ndarray, np.ndarray]:
     """FTRL-proximal with per-coordinate rates (McMahan et al., 2013).
     Returns the indexes and values of the non-zero weights."""
     z, n = np.zeros(1 << bits), np.zeros(1 << bits)
