@@ -60,7 +60,7 @@ def hilbert(cell: list[int], order: int = ORDER) -> int:
     return sum(((x[i] >> b) & 1) << (b * n + n - 1 - i) for b in range(order) for i in range(n))
 
 
-def tokenized(text: Column, path: str, end_id: int, cache_words: int = 400_000) -> Column:
+def tokenized(text: Column, path: str, end_id: int, cache_words: int = 200_000) -> Column:
     """Struct (ids: little-endian 16-bit ids with the end id, key: Hilbert key).
 
     The tokenizer never joins pieces over an ASCII space or line break, so the
@@ -77,8 +77,8 @@ def tokenized(text: Column, path: str, end_id: int, cache_words: int = 400_000)
                 fresh = [p for p in set(parts) if p not in known]
                 if len(known) + len(fresh) > cache_words:
                     known, fresh = {}, list(set(parts))
-                for p, e in zip(fresh, tok.encode_batch(fresh, add_special_tokens=False)):
-                    known[p] = np.array(e.ids, dtype="<u2").tobytes()
+                for p in fresh:  # one at a time: a batch holds every part's offsets and strings at once
+                    known[p] = np.array(tok.encode(p, add_special_tokens=False).ids, dtype="<u2").tobytes()
                 ids = b"".join([known[p] for p in parts]) + end_id.to_bytes(2, "little")
                 a = np.frombuffer(ids, dtype="<u2")
                 v = np.bincount(a, minlength=1)

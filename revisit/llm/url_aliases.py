@@ -67,10 +67,10 @@ def judge_urls(pages: DataFrame, rules=RULES, id_col: str = "page_id", url_col:
     rows = staged(pages.select(F.col(id_col).alias("page_id"), host_of(url).alias("host"), path_of(url).alias("path"),
                                F.transform(alias_targets(url, html), lambda u: F.xxhash64(u)).alias("alias"))
                   .withColumn("own", rule_for(F.col("host"), F.col("path"), rules)), "urls")
-    links = (rows.where(F.size("alias") > 1).select(F.element_at("alias", 1).alias("a"), F.explode("alias").alias("b"))
+    links = (rows.where(F.size("alias") > 1).select(F.get("alias", F.lit(0)).alias("a"), F.explode("alias").alias("b"))
              .where("a <> b"))
     comp = components(links)
-    named = (rows.withColumn("url", F.element_at("alias", 1))
+    named = (rows.withColumn("url", F.get("alias", F.lit(0)))
              .join(comp, F.col("url") == F.col("node"), "left")
              .withColumn("class", F.coalesce("component", "url")).drop("alias", "node", "component", "url"))
     # redirect targets that are not pages themselves still carry their rule through the pages that name them
