@@ -96,25 +96,26 @@ PIECE = ("doc_id long, start long, length long, ids_crc32 long, doc_tokens long,
 def pack(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", length: int = 2048,
          end_id: int = 1) -> DataFrame:
     """Pieces of the packed sequences, one row per piece (see ``PIECE``)."""
-    tok = (docs.select(F.col(id_col).cast("long").alias("doc_id"), tokenized(F.col(text_col), path, end_id).alias("t"))
-           .select("doc_id", "t.ids", "t.key"))
+    tok = staged(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.monotonically_increasing_id().alias("row"),
+                             tokenized(F.col(text_col), path, end_id).alias("t"))
+                 .select("doc_id", "row", "t.ids", "t.key", (F.octet_length("t.ids") / 2).cast("long").alias("n")), "tokens")
 
     def place(batches):
         from pyspark import TaskContext
         part, at = TaskContext.get().partitionId(), 0
         for b in batches:
-            n = [len(x.as_py()) // 2 for x in b.column("ids")]
-            where = np.cumsum([at, *n])
+            where = np.cumsum([at, *b.column("n").to_pylist()])
             at = int(where[-1])
-            yield pa.RecordBatch.from_arrays(
-                [b.column("doc_id"), b.column("ids"), b.column("key"), pa.array([part] * len(n), pa.int32()),
-                 pa.array(where[:-1], pa.int64())], ["doc_id", "ids", "key", "part", "at"])
+            yield pa.RecordBatch.from_arrays([b.column("row"), pa.array([part] * len(b), pa.int32()),
+                                              pa.array(where[:-1], pa.int64()), pa.array(where[1:], pa.int64())],
+                                             ["row", "part", "at", "next"])
 
+    # only (key, id, length) are sorted; the ids stay in the written table
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    laid = staged(tok.repartitionByRange(parts, "key", "doc_id", F.xxhash64("ids"))
-                  .sortWithinPartitions("key", "doc_id").mapInArrow(
-                      place, "doc_id long, ids binary, key long, part int, at long"), "curve")
-    sums = laid.groupBy("part").agg(F.max(F.col("at") + F.octet_length("ids") / 2).cast("long").alias("n")).collect()
+    curve = staged(tok.select("key", "doc_id", "row", "n").repartitionByRange(parts, "key", "doc_id", "row")
+                   .sortWithinPartitions("key", "doc_id", "row").mapInArrow(
+                       place, "row long, part int, at long, next long"), "curve")
+    sums = curve.groupBy("part").agg(F.max("next").alias("n")).collect()
     base, total = {}, 0
     for r in sorted(sums):  # one row per partition of the plan
         base[r["part"]], total = total, total + r["n"]
@@ -136,4 +137,5 @@ def pack(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "te
                                              ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id",
                                               "offset", "hilbert_key"])
 
-    return laid.mapInArrow(cut, PIECE)
+    return (tok.select("row", "doc_id", "ids", "key").join(curve.select("row", "part", "at"), "row")
+            .select("doc_id", "ids", "key", "part", "at").mapInArrow(cut, PIECE))
