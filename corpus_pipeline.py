@@ -18,8 +18,8 @@ MAX_COVERAGE = 0.5
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    out = judge_quality(docs, table(spark, sf_dir, "labels").where("quality = 1"))
-    return out.where("rules.kept").select(docs.columns)
+    out = judge_quality(docs, table(spark, sf_dir, "labels").where("quality = 1"), out="__rules")
+    return out.where("__rules.kept").select(docs.columns)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -33,9 +33,9 @@ def simhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    out = decontaminate(docs, table(spark, sf_dir, "benchmark"))
-    out = out.where(F.col("leak.n_hit") <= MAX_COVERAGE * F.col("leak.n_words"))
-    return _counted(out.withColumn("text", without_spans(F.col("text"), F.col("leak.spans"))), docs)
+    out = decontaminate(docs, table(spark, sf_dir, "benchmark"), out="__leak")
+    out = out.where(F.col("__leak.n_hit") <= MAX_COVERAGE * F.col("__leak.n_words"))
+    return _counted(out.withColumn("text", without_spans(F.col("text"), F.col("__leak.spans"))), docs)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -140,8 +140,8 @@ class Automaton:
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_id: str = "item_id",
-                  item_text: str = "text", window: int = 10, shard_bytes: int = 32 << 20) -> DataFrame:
-    """``docs`` plus a struct column ``leak``: n_words, n_hit, items (ids with
+                  item_text: str = "text", window: int = 10, shard_bytes: int = 32 << 20, out: str = "leak") -> DataFrame:
+    """``docs`` plus a struct column ``out``: n_words, n_hit, items (ids with
     occurring windows) and spans (hit character ranges of the text, end
     exclusive, merged).  Every row is judged on its whole text.
 
@@ -152,14 +152,14 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, text_col: str = "text",
     spark = docs.sparkSession
     size = benchmark.agg(F.sum(F.octet_length(item_text))).first()[0] or 0
     shards = int(size // shard_bytes) + 1
-    out = docs
+    judged = docs
     for shard in range(shards):
         part = benchmark.where(F.coalesce(F.pmod(F.xxhash64(item_id, item_text), F.lit(shards)), F.lit(0)) == shard)
         items = [(r[0], r[1]) for r in part.select(item_id, item_text).collect()]
         shared = spark.sparkContext.broadcast(Automaton(items, window))
         leak = _judge(shared)(F.col(text_col))
-        out = out.withColumn("leak", leak if shard == 0 else _merge(F.col("leak"), leak, F.col(text_col)))
-    return out
+        judged = judged.withColumn(out, leak if shard == 0 else _merge(F.col(out), leak, F.col(text_col)))
+    return judged
 
 
 def _judge(shared):

@@ -12,7 +12,7 @@ import math
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from revisit.llm.common import SPACE, WORD, let
+from revisit.llm.common import SPACE, let
 
 #: Word and punctuation runs, the units of the hashed n-grams.
 TOKEN = r"[\p{L}\p{N}]+|[^\p{L}\p{N}\x20\x09-\x0D]+"
@@ -35,15 +35,15 @@ def fit_ratio(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_
     whose id is in ``trusted``.  Counts are combined map-side, and ``buckets``
     numbers (a parameter, not the data) come to the driver.
     """
+    ids = trusted.select(F.col(id_col).alias("__id"), F.lit(1).alias("__good")).distinct()
     text = F.coalesce(F.col(text_col), F.lit(""))
-    ids = trusted.select(F.col(id_col).alias("__id")).distinct()
-    counted = lambda df: (df.select(F.explode(_grams(text, buckets)).alias("g")).groupBy("g").count())
-    raw = counted(docs)
-    good = counted(docs.join(ids, docs[id_col] == ids["__id"], "left_semi"))
-    rows = raw.withColumn("t", F.lit(0)).union(good.withColumn("t", F.lit(1))).collect()
+    rows = (docs.select(F.col(id_col).alias("__doc"), text.alias("__text")).join(ids, F.col("__doc") == F.col("__id"), "left")
+            .select(F.explode(_grams(F.col("__text"), buckets)).alias("g"), F.coalesce("__good", F.lit(0)).alias("good"))
+            .groupBy("g").agg(F.count("*").alias("raw"), F.sum("good").alias("good")).collect())
     n = [[smoothing] * buckets, [smoothing] * buckets]
     for r in rows:
-        n[r["t"]][r["g"]] += r["count"]
+        n[0][r["g"]] += r["raw"]
+        n[1][r["g"]] += r["good"]
     total = [sum(x) for x in n]
     return [math.log(n[1][i] / total[1]) - math.log(n[0][i] / total[0]) for i in range(buckets)]
 
@@ -61,16 +61,22 @@ def base_counts(text: Column) -> Column:
     text = F.coalesce(text, F.lit(""))
 
     def repeats(w: Column) -> Column:
+        """Windows meet by a 64-bit hash; most texts have no equal pair, and
+        only the others sort their (hash, position) pairs."""
         n = F.greatest(F.size(w) - 2, F.lit(0))
-        wins = F.transform(F.slice(w, 1, n), lambda a, i: F.struct(
-            F.concat_ws(" ", a, F.element_at(w, i + 2), F.element_at(w, i + 3)).alias("g"), i.alias("i")))
-        again = let(F.sort_array(wins), lambda s: F.filter(s, lambda x, i: (
-            F.coalesce(F.get(s, i - 1)["g"] == x["g"], F.lit(False)) |
-            F.coalesce(F.get(s, i + 1)["g"] == x["g"], F.lit(False)))))
-        return F.size(F.array_distinct(F.flatten(F.transform(again, lambda x: F.array(x["i"], x["i"] + 1, x["i"] + 2)))))
+        wins = F.transform(F.slice(w, 1, n), lambda a, i: F.xxhash64(a, F.get(w, i + 1), F.get(w, i + 2)))
+
+        def spread(h: Column) -> Column:
+            pairs = F.sort_array(F.transform(h, lambda x, i: F.struct(x.alias("g"), i.alias("i"))))
+            again = let(pairs, lambda s: F.filter(s, lambda x, i: (
+                F.coalesce(F.get(s, i - 1)["g"] == x["g"], F.lit(False)) |
+                F.coalesce(F.get(s, i + 1)["g"] == x["g"], F.lit(False)))))
+            return F.size(F.array_distinct(F.flatten(F.transform(again, lambda x: F.array(x["i"], x["i"] + 1, x["i"] + 2)))))
+
+        return let(wins, lambda h: F.when(F.size(F.array_distinct(h)) == F.size(h), F.lit(0)).otherwise(spread(h)))
 
     lines = F.filter(F.split(text, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
-    return let(F.regexp_extract_all(text, F.lit(f"({WORD})"), F.lit(1)), lambda w: F.struct(
+    return let(F.filter(F.split(text, SPACE + "+"), lambda x: x != ""), lambda w: F.struct(
         F.size(w).cast("long").alias("n_words"),
         F.length(F.regexp_replace(text, SPACE, "")).cast("long").alias("word_chars"),
         (F.length(text) - F.length(F.translate(text, SYMBOLS, ""))).cast("long").alias("n_symbols"),
@@ -80,8 +86,8 @@ def base_counts(text: Column) -> Column:
 
 def quality_rules(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                   min_words: int = 50, max_repeat_percent: int = 50, threshold: float = -0.25,
-                  buckets: int = 10_000, weights: list[float] | None = None) -> DataFrame:
-    """``docs`` plus a struct column ``rules`` with the base counts,
+                  buckets: int = 10_000, weights: list[float] | None = None, out: str = "rules") -> DataFrame:
+    """``docs`` plus a struct column ``out`` with the base counts,
     base_failed, llr (nats per n-gram) and kept (llr >= threshold and not
     base_failed).  Every row is judged."""
     if weights is None:
@@ -91,5 +97,5 @@ def quality_rules(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", t
         *[b[c].alias(c) for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")],
         ((b["n_words"] < min_words) | (100 * b["n_repeat_words"] > max_repeat_percent * b["n_words"])).alias("base_failed"),
         s.alias("llr"))))
-    return docs.withColumn("rules", let(both, lambda r: r.withField(
+    return docs.withColumn(out, let(both, lambda r: r.withField(
         "kept", ~r["base_failed"] & (r["llr"] >= threshold))))
