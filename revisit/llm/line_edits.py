@@ -14,6 +14,8 @@ repeat a document id count as that document.  Extra columns pass through.
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 import numpy as np
 import pandas as pd
 import xxhash
@@ -35,24 +37,27 @@ def segments(n: int, edits: int) -> list[tuple[int, int]]:
     return out
 
 
-def line_keys(line: str, edits: int) -> tuple[list[int], list[int]]:
-    """Index keys of the line's segments, and probe keys of its substrings
-    against every indexed length from len - edits to len.  The start positions
-    are the multi-match-aware ones."""
-    n = len(line)
-
-    def key(i, length, s):
-        return xxhash.xxh64_intdigest(f"{i} {length} {s}".encode("utf-8", "replace"), 7) - (1 << 63)
-
-    index = [key(i, n, line[a:a + m]) for i, (a, m) in enumerate(segments(n, edits))]
-    probe = set()
+@lru_cache(4096)
+def key_plan(n: int, edits: int) -> list[tuple[int, int, int, bool]]:
+    """(start, end, seed, probe) of the keys of a line of ``n`` characters:
+    its own segments, and its substrings against every indexed length from
+    n - edits to n.  The start positions are the multi-match-aware ones.  The
+    seed stands for (indexed length, segment number)."""
+    seed = lambda length, i: length * (edits + 1) + i
+    plan = {(a, a + m, seed(n, i)): False for i, (a, m) in enumerate(segments(n, edits))}
     for length in range(max(n - edits, edits + 1), n + 1):
         gap = n - length
         for i, (a, m) in enumerate(segments(length, edits)):
             low = max(0, a - i, a + gap - (edits - i))
             high = min(n - m, a + i, a + gap + (edits - i))
-            probe.update(key(i, length, line[s:s + m]) for s in range(low, high + 1))
-    return index, sorted(probe)
+            for s in range(low, high + 1):
+                plan.setdefault((s, s + m, seed(length, i)), True)
+    return [(4 * a, 4 * b, s, probe) for (a, b, s), probe in plan.items()]
+
+
+def line_keys(line: str, edits: int) -> list[dict]:
+    raw = line.encode("utf-32-le", "replace")
+    return [{"key": xxhash.xxh64_intdigest(raw[a:b], s) - (1 << 63), "probe": p} for a, b, s, p in key_plan(len(line), edits)]
 
 
 def within(x: np.ndarray, ys: np.ndarray, edits: int) -> np.ndarray:
@@ -133,13 +138,7 @@ def line_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     @F.pandas_udf("array<struct<key:long,probe:boolean>>")
     def keys(texts: pd.Series) -> pd.Series:
-        out = []
-        for t in texts:
-            index, probe = line_keys(t, edits)
-            mine = set(index)
-            out.append([{"key": k, "probe": False} for k in index] +
-                       [{"key": k, "probe": True} for k in probe if k not in mine])
-        return pd.Series(out)
+        return pd.Series([line_keys(t, edits) for t in texts])
 
     pairs = (lines.select("h", "line", F.explode(keys("line")).alias("k"))
              .select("h", "line", F.col("k.key").alias("key"), F.col("k.probe").alias("probe")))
