@@ -41,13 +41,14 @@ def _per_score(df: DataFrame, y: str, s: str) -> DataFrame:
 
 
 def roc_auc(df: DataFrame, y: str, s: str) -> DataFrame:
-    """Exact area under the ROC curve; tied scores count one half."""
+    """Exact area under the ROC curve; tied scores count one half.  Null when
+    only one class is there."""
     per = keep_frame(_per_score(df, y, s))  # read by the size check and the scan
     run = ordered_scan(per, [], [F.col("score").asc()], running=[("neg", "cum_neg")])
     below = F.col("cum_neg") - F.col("neg")
     t = run.agg(F.sum(F.col("pos") * (below + 0.5 * F.col("neg"))).alias("_num"),
                 F.sum("pos").alias("_p"), F.sum("neg").alias("_n"))
-    return t.select((F.col("_num") / (F.col("_p") * F.col("_n"))).alias("auc"))
+    return t.select(F.try_divide(F.col("_num"), F.col("_p") * F.col("_n")).alias("auc"))
 
 
 def confusion(df: DataFrame, y: str, p: str) -> DataFrame:
@@ -68,7 +69,7 @@ def roc_points(df: DataFrame, y: str, s: str) -> DataFrame:
                        running=[("pos", "cum_pos"), ("neg", "cum_neg")], largest=tot["D"])
     P, N = float(tot["P"] or 0), float(tot["N"] or 0)
     pts = run.select(F.col("score").alias("threshold"),
-                     (F.col("cum_neg") / F.lit(N)).alias("fpr"), (F.col("cum_pos") / F.lit(P)).alias("tpr"))
+                     F.try_divide("cum_neg", F.lit(N)).alias("fpr"), F.try_divide("cum_pos", F.lit(P)).alias("tpr"))
     origin = per.agg(F.lit(float("inf")).alias("threshold"), F.lit(0.0).alias("fpr"), F.lit(0.0).alias("tpr"))
     return pts.unionByName(origin)
 
@@ -84,8 +85,8 @@ def at_thresholds(df: DataFrame, y: str, s: str, ts: Sequence[float]) -> DataFra
                   F.explode(F.array(*[F.lit(float(t)) for t in ts])).alias("threshold"))
     pos = F.col("_s") > F.col("threshold")
     return e.groupBy("threshold").agg(
-        (F.count_if((F.col("_y") == 1) & pos) / F.count_if(F.col("_y") == 1)).alias("sensitivity"),
-        (F.count_if((F.col("_y") != 1) & ~pos) / F.count_if(F.col("_y") != 1)).alias("specificity"))
+        F.try_divide(F.count_if((F.col("_y") == 1) & pos), F.count_if(F.col("_y") == 1)).alias("sensitivity"),
+        F.try_divide(F.count_if((F.col("_y") != 1) & ~pos), F.count_if(F.col("_y") != 1)).alias("specificity"))
 
 
 def importances(spark, model, names: Sequence[str]) -> DataFrame:

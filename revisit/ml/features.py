@@ -8,7 +8,6 @@ the number of rows).  Applying a fit is a column expression.
 
 from __future__ import annotations
 
-import math
 from collections.abc import Mapping, Sequence
 
 import numpy as np
@@ -61,19 +60,12 @@ def _hash_order(key: str, seed: int) -> Column:
     return F.md5(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string")))
 
 
-def _class_sizes(df: DataFrame, label: str, max_classes: int = 10_000) -> dict:
-    """Rows per class: one partial aggregate, one row per class brought back
-    (the number of classes is checked against ``max_classes``)."""
-    rows = df.groupBy(label).agg(F.count(F.lit(1)).alias("_n")).limit(max_classes + 1).collect()
-    if len(rows) > max_classes:
-        raise ValueError(f"more than {max_classes} classes")
-    return {r[label]: r["_n"] for r in rows}
-
-
-def _ranked_in_class(df: DataFrame, key: str, label: str, seed: int) -> tuple[DataFrame, dict]:
-    sizes = _class_sizes(df, label)
+def _ranked_in_class(df: DataFrame, key: str, label: str, seed: int) -> tuple[DataFrame, DataFrame]:
+    """Rows ranked within their class, and the class sizes (_class, _n)."""
+    sizes = df.groupBy(F.col(label).alias("_class")).agg(F.count(F.lit(1)).alias("_n"))
+    largest = sizes.agg(F.max("_n")).first()[0] or 0
     ranked = ordered_scan(df.withColumn("_h", _hash_order(key, seed)), [label],
-                          [F.col("_h"), F.col(key)], rn="_rn", largest=max(sizes.values(), default=0))
+                          [F.col("_h"), F.col(key)], rn="_rn", largest=largest)
     return ranked, sizes
 
 
@@ -84,12 +76,12 @@ def stratified_split(df: DataFrame, key: str, label: str, test_frac: float = 0.2
 
     Independent of partitioning and of row order, and reproducible in SQL.
     The per-class order runs through ``ordered_scan`` (a class may hold half
-    of the rows; a plain window would then put it in one task).  The per-class
-    cut-offs are a literal map (one entry per class)."""
+    of the rows; a plain window would then put it in one task).  Class sizes
+    are joined, so any number of classes works; null labels are a class."""
     ranked, sizes = _ranked_in_class(df, key, label, seed)
-    cuts = {c: int(math.floor(n * test_frac + 0.5)) for c, n in sizes.items()}  # round half up
-    cut = F.element_at(F.create_map(*[F.lit(x) for kv in cuts.items() for x in kv]), F.col(label))
-    return ranked.withColumn(out, (F.col("_rn") <= cut).cast("int")).drop("_h", "_rn")
+    cut = F.floor(F.col("_n") * F.lit(float(test_frac)) + 0.5)  # round half up
+    return (ranked.join(sizes, F.col(label).eqNullSafe(F.col("_class")))
+            .withColumn(out, (F.col("_rn") <= cut).cast("int")).drop("_h", "_rn", "_n", "_class"))
 
 
 def fold_column(df: DataFrame, key: str, label: str, k: int = 10, seed: int = 2017,

@@ -45,16 +45,13 @@ def mlp_grid(n_features: int) -> dict:
     return {"layers": [[n_features, *h, 2] for h in MLP_HIDDEN]}
 
 
-def class_weights(df: DataFrame, label: str, out: str = "weight", max_classes: int = 10_000) -> DataFrame:
-    """Balanced weight n / (n_classes · n_class) on every row.  The per-class
-    counts are broadcast after a size check (one row per class)."""
-    counts = df.groupBy(label).agg(F.count(F.lit(1)).alias("_nc"))
-    k = counts.count()
-    if k > max_classes:
-        raise ValueError(f"{k} classes exceed the broadcast bound {max_classes}")
-    total = counts.agg(F.sum("_nc")).first()[0]
-    w = counts.select(label, (F.lit(float(total)) / (F.lit(float(k)) * F.col("_nc"))).alias(out))
-    return df.join(F.broadcast(w), label)
+def class_weights(df: DataFrame, label: str, out: str = "weight") -> DataFrame:
+    """Balanced weight n / (n_classes · n_class) on every labelled row; rows
+    without a label are dropped."""
+    counts = df.where(F.col(label).isNotNull()).groupBy(label).agg(F.count(F.lit(1)).alias("_nc"))
+    k, total = counts.agg(F.count(F.lit(1)), F.sum("_nc")).first()
+    w = counts.select(label, (F.lit(float(total or 0)) / (F.lit(float(k)) * F.col("_nc"))).alias(out))
+    return df.join(w, label)
 
 
 def random_forest(label: str = "label", features: str = "features", trees: int = 250,

@@ -47,7 +47,7 @@ def n_distinct(df: DataFrame, c: str, null_counts: bool = True) -> DataFrame:
     """Number of distinct values; with ``null_counts`` a null counts as one."""
     n = F.count_distinct(c)
     if null_counts:
-        n = n + F.max(F.col(c).isNull().cast("long"))
+        n = n + F.coalesce(F.max(F.col(c).isNull().cast("long")), F.lit(0))
     return df.agg(n.alias("n_distinct"))
 
 
@@ -196,14 +196,14 @@ def _min_max(df: DataFrame, c: str) -> tuple:
 
 def equal_width_bins(df: DataFrame, c: str, n: int, out: str = "bin") -> DataFrame:
     """0-based bin of ``n`` equal-width, right-closed bins over [min, max];
-    the minimum falls into the first bin."""
+    the minimum falls into the first bin and a null stays null."""
     lo, hi = _min_max(df, c)
     if lo is None:
         return df.withColumn(out, F.lit(None).cast("int"))
     if hi == lo:
         return df.withColumn(out, F.when(F.col(c).isNotNull(), F.lit(0)))
     b = F.greatest(F.lit(0), F.ceil((F.col(c) - lo) / (hi - lo) * n).cast("int") - 1)
-    return df.withColumn(out, F.least(b, F.lit(n - 1)))
+    return df.withColumn(out, F.when(F.col(c).isNotNull(), F.least(b, F.lit(n - 1))))
 
 
 def histogram(df: DataFrame, c: str, n: int = 10) -> DataFrame:

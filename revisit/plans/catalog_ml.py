@@ -111,12 +111,13 @@ def q_folds(spark, d):
 
 
 @query("split_replay", _SPLIT_SQL + """
-SELECT vec_id, y FROM r WHERE vec_id NOT IN (SELECT vec_id FROM r WHERE rn <= ROUND(n * 0.25))""")
+SELECT vec_id, y, CASE WHEN rn <= ROUND(n * 0.25) THEN 1 ELSE 0 END AS replayed_test FROM r""")
 def q_split_replay(spark, d):
     split = _split(spark, d)
     saved_test_ids = split.where("is_test = 1").select("vec_id")
-    _, train = FE.split_by_ids(_emb(spark, d), saved_test_ids, "vec_id")
-    return train.select("vec_id", "y")
+    test, train = FE.split_by_ids(_emb(spark, d), saved_test_ids, "vec_id")
+    part = lambda df, flag: df.select("vec_id", "y", F.lit(flag).alias("replayed_test"))
+    return part(test, 1).unionByName(part(train, 0))
 
 
 _NUM = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]

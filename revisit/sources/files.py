@@ -25,17 +25,20 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 
 
 def scan_csv(spark: SparkSession, path: str, schema: T.StructType, limit: int | None = None,
-             order: list[str] | None = None, partitions: int | None = None) -> DataFrame:
+             order: list[str] | None = None, partitions: int | None = None,
+             multi_line: bool = True) -> DataFrame:
     """Header CSV (plain or .gz) with an explicit schema.
 
     Rows with too many fields are dropped; rows with too few are kept with
     nulls.  The schema gets one extra trailing string column: in PERMISSIVE
     mode a surplus field lands there, so ``overflow IS NULL`` keeps exactly
-    the rows that fit.  A gzip file is one split, so the result is
-    repartitioned before further work."""
+    the rows that fit.  A quoted field may hold line breaks
+    (``multi_line``; turn it off for large plain files without them, which
+    then split).  A gzip or multi-line file is one split, so the result of a
+    gzip file is repartitioned before further work."""
     wide = T.StructType(list(schema.fields) + [T.StructField(_OVERFLOW, T.StringType())])
     df = (spark.read.schema(wide).option("header", True).option("quote", '"').option("escape", '"')
-          .option("mode", "PERMISSIVE").csv(path))
+          .option("mode", "PERMISSIVE").option("multiLine", multi_line).csv(path))
     df = df.where(F.col(_OVERFLOW).isNull()).drop(_OVERFLOW)
     if path.endswith(".gz") or partitions:
         df = df.repartition(partitions or int(spark.conf.get("spark.sql.shuffle.partitions")))
@@ -67,7 +70,7 @@ def write_csv(df: DataFrame, path: str, compression: str | None = None) -> str:
     flat = flat.select(*[F.to_json(f.name).alias(f.name) if isinstance(f.dataType, (T.ArrayType, T.MapType,
                                                                                    T.StructType))
                          else F.col(f.name) for f in flat.schema.fields])
-    w = flat.write.mode("overwrite").option("header", True)
+    w = flat.write.mode("overwrite").option("header", True).option("escape", '"')
     if compression:
         w = w.option("compression", compression)
     w.csv(path)

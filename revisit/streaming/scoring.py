@@ -30,12 +30,24 @@ def scored(model: PipelineModel, records: DataFrame, key: str, feature_cols: Seq
 
 def score_stream(spark: SparkSession, in_dir: str, schema: T.StructType, model_path: str,
                  key: str, feature_cols: Sequence[str], out_dir: str, checkpoint: str,
-                 available_now: bool = True):
+                 available_now: bool = True, bad_dir: str | None = None, max_files: int = 1000):
     """Start the stream: JSON files under ``in_dir`` → scores as parquet in
-    ``out_dir``.  Returns the StreamingQuery."""
+    ``out_dir``.  Returns the StreamingQuery.
+
+    Malformed lines are not scored; with ``bad_dir`` a second query writes
+    them there as text.  A batch reads at most ``max_files`` files."""
     model = PipelineModel.load(model_path)
-    src = spark.readStream.schema(schema).json(in_dir)
-    q = (scored(model, src, key, feature_cols).writeStream.format("parquet")
+    wide = T.StructType([*schema.fields, T.StructField("_bad", T.StringType())])
+    src = (spark.readStream.schema(wide).option("columnNameOfCorruptRecord", "_bad")
+           .option("maxFilesPerTrigger", max_files).json(in_dir))
+
+    def trigger(q):
+        return q.trigger(availableNow=True) if available_now else q.trigger(processingTime="10 seconds")
+
+    if bad_dir:
+        trigger(src.where(F.col("_bad").isNotNull()).select(F.col("_bad").alias("value"), key)
+                .select("value").writeStream.format("text").option("path", bad_dir)
+                .option("checkpointLocation", f"{checkpoint}-bad").outputMode("append")).start()
+    q = (scored(model, src.where(F.col("_bad").isNull()).drop("_bad"), key, feature_cols).writeStream.format("parquet")
          .option("path", out_dir).option("checkpointLocation", checkpoint).outputMode("append"))
-    q = q.trigger(availableNow=True) if available_now else q.trigger(processingTime="10 seconds")
-    return q.start()
+    return trigger(q).start()
