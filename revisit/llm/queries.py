@@ -107,3 +107,63 @@ def op10_line_edits(spark: SparkSession, sf_dir: str) -> DataFrame:
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
     return corpus_pipeline.run(spark, sf_dir)
+
+
+UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+
+SQL["op9_decontaminate"] = rf"""
+WITH words AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[0-9a-z\x{{80}}-\x{{10FFFF}}]+') AS w
+  FROM documents),
+items AS (
+  SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[0-9a-z\x{{80}}-\x{{10FFFF}}]+') AS w
+  FROM benchmark),
+win AS (
+  SELECT DISTINCT item_id, least(len(w), 10) AS l, array_to_string(w[i:i + least(len(w), 10) - 1], ' ') AS g
+  FROM (SELECT item_id, w, unnest(range(1, greatest(len(w) - 9, 1) + 1)) AS i FROM items WHERE len(w) > 0)),
+grams AS (
+  SELECT doc_id, i, l, array_to_string(w[i:i + l - 1], ' ') AS g
+  FROM (SELECT doc_id, w, l, unnest(range(1, len(w) - l + 2)) AS i FROM words, (SELECT DISTINCT l FROM win))),
+met AS (SELECT doc_id, i, l, item_id FROM grams JOIN win USING (l, g)),
+hit AS (
+  SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT DISTINCT doc_id, unnest(range(i, i + l)) AS p FROM met) GROUP BY doc_id),
+found AS (
+  SELECT doc_id, count(*) AS n_items, string_agg(x, ',' ORDER BY x) AS ids
+  FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS x FROM met) GROUP BY doc_id)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+       sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM words LEFT JOIN hit USING (doc_id) LEFT JOIN found USING (doc_id)"""
+
+
+def _url_sql() -> str:
+    from revisit.llm.url_aliases import RULES
+    host = lambda u: f"translate(regexp_extract({u}, '(?s)^.*?://([^/?#]*)', 1), '{UPPER}', '{LOWER}')"
+    path = lambda u: f"regexp_extract({u}, '(?s)^.*?://[^/?#]*([^?#]*)', 1)"
+    plain = lambda u: (f"CASE WHEN contains({u}, '://') THEN {host(u)} || {path(u)} || '?' || array_to_string(list_filter(string_split("
+                       f"regexp_extract({u}, '(?s)^[^#?]*[?]([^#]*)', 1), '&'), "
+                       "lambda x: x <> '' AND NOT regexp_matches(x, '^(utm_[A-Za-z]+|ref|fbclid|gclid)=')), '&') END")
+    rules = ", ".join(f"('{v}', '{h}', '{p}')" for v, h, p in RULES)
+    tag = (r"(?i)<link\b[^>]*\brel\s*=\s*[\"'']?canonical\b[^>]*>|<meta\b[^>]*\bhttp-equiv\s*=\s*[\"'']?refresh\b[^>]*>")
+    href = r"(?i)\b(?:href\s*=\s*[\"'']?|url\s*=\s*[\"'']?)([^\"''>\s]+)"
+    return f"""
+WITH RECURSIVE rules(verdict, h, p) AS (VALUES {rules}),
+page AS (SELECT row_number() OVER () AS n, page_id, coalesce(url, '') AS url, coalesce(html, '') AS html FROM pages),
+named AS (SELECT n, page_id, html, {host('url')} AS host, {path('url')} AS path, {plain('url')} AS own FROM page),
+fits AS (SELECT n, arg_max(rules.verdict, length(h || p)) AS v, arg_max(h || p, length(h || p)) AS rule
+  FROM named JOIN rules ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p) GROUP BY n),
+target AS (SELECT own, host, replace(regexp_extract(t, '{href}', 1), '&amp;', '&') AS t
+  FROM (SELECT own, host, unnest(regexp_extract_all(html, '{tag}')) AS t FROM named WHERE own IS NOT NULL)),
+whole AS (SELECT own, CASE WHEN contains(t, '://') THEN t WHEN starts_with(t, '//') THEN 'http:' || t
+  WHEN starts_with(t, '/') THEN 'http://' || host || t END AS t FROM target),
+link AS (SELECT own AS a, {plain('t')} AS b FROM whole WHERE t IS NOT NULL),
+both_ways AS (SELECT a, b FROM link UNION SELECT b, a FROM link),
+reach(a, b) AS (SELECT DISTINCT own, own FROM named WHERE own IS NOT NULL
+  UNION SELECT reach.a, both_ways.b FROM reach JOIN both_ways ON reach.b = both_ways.a),
+class AS (SELECT a, max(CASE WHEN v = 'allow' THEN 1 ELSE 0 END) AS allowed, max(CASE WHEN v = 'block' THEN 1 ELSE 0 END) AS blocked
+  FROM reach JOIN named ON reach.b = named.own LEFT JOIN fits USING (n) GROUP BY a)
+SELECT page_id, host, path, rule,
+       coalesce(v, CASE WHEN blocked = 1 AND allowed = 0 THEN 'block' ELSE 'allow' END) AS verdict
+FROM named LEFT JOIN fits USING (n) LEFT JOIN class ON named.own = class.a"""
+
+
+SQL["op5_url_aliases"] = _url_sql()
