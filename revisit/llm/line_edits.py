@@ -130,7 +130,7 @@ def _lines(docs: DataFrame, id_col: str, text_col: str, min_chars: int) -> DataF
 
 def line_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", edits: int = 2,
                 min_chars: int = 30) -> DataFrame:
-    """(id, pos, group, kept) for every line that has a copy or a line within
+    """(id, pos, group, first_id, first_pos, kept) for every line that has a copy or a line within
     ``edits`` of it; ``kept`` marks the first line of its group."""
     lines = _lines(docs, id_col, text_col, min_chars)
     classes = staged(lines.groupBy("h", "h2").agg(F.count("*").alias("n"), F.min(F.struct("id", "pos")).alias("first")),
@@ -154,7 +154,8 @@ def line_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     group = (group.join(first, (F.col("group") == F.col("g")) & F.col("own").eqNullSafe(F.col("o")))
              .select("h", "h2", "group", F.col("least").alias("first")))
     return (lines.drop("line").join(group, ["h", "h2"])
-            .select("id", "pos", "group", (F.col("first.id").eqNullSafe(F.col("id")) & (F.col("first.pos") == F.col("pos")))
+            .select("id", "pos", "group", F.col("first.id").alias("first_id"), F.col("first.pos").alias("first_pos"),
+                    (F.col("first.id").eqNullSafe(F.col("id")) & (F.col("first.pos") == F.col("pos")))
                     .alias("kept")))
 
 
