@@ -103,14 +103,15 @@ def within(x: np.ndarray, ys: np.ndarray, edits: int) -> np.ndarray:
 def near_by_edits(lines: list[str], edits: int):
     order = [np.frombuffer(s.encode("utf-32-le", "replace"), dtype="<i4") for s in lines]
     lens = np.array([len(s) for s in lines])
-    bags = np.zeros((len(lines), 64), dtype=np.int32)
+    # letter counts by bucket, cut at 60: an edit moves their sum of differences by at most 2
+    bags = np.zeros((32, len(lines)), dtype=np.int8)
     for i, c in enumerate(order):
-        bags[i] = np.bincount(c & 63, minlength=64)
+        bags[:, i] = np.minimum(np.bincount(c & 31, minlength=32), 60)
 
     def near(u: int, rest: np.ndarray) -> np.ndarray:
         hit = np.zeros(len(rest), dtype=bool)
-        left = np.flatnonzero(np.abs(lens[rest] - lens[u]) <= edits)
-        left = left[np.abs(bags[rest[left]] - bags[u]).sum(1) <= 2 * edits]
+        close = (np.abs(bags - bags[:, u:u + 1]).sum(0, dtype=np.int16) <= 2 * edits) & (np.abs(lens - lens[u]) <= edits)
+        left = np.flatnonzero(close[rest])
         for part in np.array_split(left, max(1, len(left) // 1024)):
             if len(part):
                 ys = np.full((len(part), lens[rest[part]].max()), -1, dtype=np.int32)
