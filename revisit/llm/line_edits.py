@@ -14,50 +14,64 @@ repeat a document id count as that document.  Extra columns pass through.
 
 from __future__ import annotations
 
-from functools import lru_cache
+from os.path import commonprefix
 
 import numpy as np
-import pandas as pd
-import xxhash
 from pyspark.sql import DataFrame, functions as F
 
 from revisit.llm.common import staged
 from revisit.llm.linking import bounded_broadcast, components, link_blocks
 
 
-def segments(n: int, edits: int) -> list[tuple[int, int]]:
-    """(start, length) of the even partition of ``n`` characters."""
-    parts = edits + 1
-    short, longer = n // parts, n % parts
-    out, at = [], 0
-    for i in range(parts):
-        size = short + (i >= parts - longer)
-        out.append((at, size))
-        at += size
-    return out
-
-
-@lru_cache(4096)
-def key_plan(n: int, edits: int) -> list[tuple[int, int, int, bool]]:
-    """(start, end, seed, probe) of the keys of a line of ``n`` characters:
-    its own segments, and its substrings against every indexed length from
-    n - edits to n.  The start positions are the multi-match-aware ones.  The
-    seed stands for (indexed length, segment number)."""
-    seed = lambda length, i: length * (edits + 1) + i
-    plan = {(a, a + m, seed(n, i)): False for i, (a, m) in enumerate(segments(n, edits))}
-    for length in range(max(n - edits, edits + 1), n + 1):
-        gap = n - length
-        for i, (a, m) in enumerate(segments(length, edits)):
-            low = max(0, a - i, a + gap - (edits - i))
-            high = min(n - m, a + i, a + gap + (edits - i))
-            for s in range(low, high + 1):
-                plan.setdefault((s, s + m, seed(length, i)), True)
-    return [(4 * a, 4 * b, s, probe) for (a, b, s), probe in plan.items()]
-
-
-def line_keys(line: str, edits: int) -> list[dict]:
-    raw = line.encode("utf-32-le", "replace")
-    return [{"key": xxhash.xxh64_intdigest(raw[a:b], s) - (1 << 63), "probe": p} for a, b, s, p in key_plan(len(line), edits)]
+def line_keys(lines: DataFrame, edits: int) -> DataFrame:
+    """``lines`` plus an array ``keys`` of (key, probe): a line's own segments,
+    and its substrings against every indexed length from n - edits to n.  The
+    start positions are the multi-match-aware ones; the hash covers (substring,
+    indexed length, segment number).  Lengths and segment sizes are columns of
+    their own, so that they are computed once per line."""
+    parts, kept, out = edits + 1, [F.col(c) for c in lines.columns], []
+    lines = lines.select(*kept, F.length("line").alias("__n"))
+    lines = lines.select(*kept, "__n", *[c for g in range(parts) for c in (
+        F.floor((F.col("__n") - g) / parts).cast("int").alias(f"__short{g}"),
+        F.pmod(F.col("__n") - g, F.lit(parts)).alias(f"__longer{g}"))])
+    for gap in range(parts):
+        length, short, longer = F.col("__n") - gap, F.col(f"__short{gap}"), F.col(f"__longer{gap}")
+        for i in range(parts):  # an even partition: the last `longer` segments have one character more
+            size = short + F.when(longer >= parts - i, 1).otherwise(0)
+            start = short * i + F.greatest(longer - (parts - i), F.lit(0))
+            for shift in range(max(-i, gap - (edits - i)), min(i, gap + (edits - i)) + 1):
+                at = start + shift
+                key = F.xxhash64(F.substr("line", at + 1, size), length * parts + i)
+                fits = (at >= 0) & (at + size <= F.col("__n")) & (length >= parts)
+                out.append(F.struct(F.when(fits, key).alias("key"), F.lit(gap != 0 or shift != 0).alias("probe")))
+    return lines.select(*kept, F.array(*out).alias("keys"))
+
+
+def pair_within(x: str, y: str, edits: int) -> bool:
+    """Whether two strings are within ``edits`` of each other: the common ends
+    are cut off, which keeps the distance, and a band of 2 * edits + 1
+    diagonals, one integer per error count, moves along the rest."""
+    if abs(len(x) - len(y)) > edits:
+        return False
+    a = len(commonprefix((x, y)))
+    x, y = x[a:], y[a:]
+    b = len(commonprefix((x[::-1], y[::-1])))
+    x, y = x[:len(x) - b], y[:len(y) - b]
+    full = (1 << (2 * edits + 1)) - 1
+    spots: dict[str, int] = {}
+    for i, c in enumerate(x):
+        spots[c] = spots.get(c, 0) | 1 << (i + edits)
+    # state[e] bit k: prefix of y matched to the prefix of x at diagonal k - edits with <= e errors
+    state = [sum(1 << k for k in range(edits, edits + e + 1)) for e in range(edits + 1)]
+    for j, c in enumerate(y):
+        same, low, last = spots.get(c, 0) >> j, 0, 0
+        for e, s in enumerate(state):
+            # both advance; substitute or y advances alone; x advances alone
+            low = ((s & same) | last | last >> 1 | low << 1) & full if e else s & same & full
+            last, state[e] = s, low
+        if not low:
+            return False
+    return bool(state[edits] >> (len(x) - len(y) + edits) & 1)
 
 
 def within(x: np.ndarray, ys: np.ndarray, edits: int) -> np.ndarray:
@@ -100,7 +114,11 @@ def within(x: np.ndarray, ys: np.ndarray, edits: int) -> np.ndarray:
     return ok
 
 
-def near_by_edits(lines: list[str], edits: int):
+def near_by_edits(lines: list[str], edits: int, few: int = 16):
+    """``near`` of a block: pair by pair where there are few lines to compare,
+    else along all of them at once after a filter on letter counts."""
+    if len(lines) <= few:
+        return lambda u, rest: np.fromiter((pair_within(lines[u], lines[i], edits) for i in rest), bool, len(rest))
     order = [np.frombuffer(s.encode("utf-32-le", "replace"), dtype="<i4") for s in lines]
     lens = np.array([len(s) for s in lines])
     # letter counts by bucket, cut at 60: an edit moves their sum of differences by at most 2
@@ -112,6 +130,9 @@ def near_by_edits(lines: list[str], edits: int):
         hit = np.zeros(len(rest), dtype=bool)
         close = (np.abs(bags - bags[:, u:u + 1]).sum(0, dtype=np.int16) <= 2 * edits) & (np.abs(lens - lens[u]) <= edits)
         left = np.flatnonzero(close[rest])
+        if len(left) <= few:
+            hit[left] = [pair_within(lines[u], lines[i], edits) for i in rest[left]]
+            return hit
         for part in np.array_split(left, max(1, len(left) // 1024)):
             if len(part):
                 ys = np.full((len(part), lens[rest[part]].max()), -1, dtype=np.int32)
@@ -137,12 +158,9 @@ def line_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     classes = staged(lines.groupBy("h", "h2").agg(F.count("*").alias("n"), F.min(F.struct("id", "pos")).alias("first")),
                      "lines")
 
-    @F.pandas_udf("array<struct<key:long,probe:boolean>>")
-    def keys(texts: pd.Series) -> pd.Series:
-        return pd.Series([line_keys(t, edits) for t in texts])
-
-    pairs = (lines.select("h", "line", F.explode(keys("line")).alias("k"))
-             .select("h", "line", F.col("k.key").alias("key"), F.col("k.probe").alias("probe")))
+    # outer: a plain inline would make the optimizer filter on size(keys), which builds the array twice
+    pairs = (line_keys(lines.select("h", "line"), edits).select("h", "line", F.inline_outer("keys"))
+             .where("key is not null"))
     met = staged(pairs.groupBy("key").agg(F.min("h").alias("x"), F.max("h").alias("y"), F.min("probe").alias("only"))
                  .where("x <> y and not only").select("key"), "met-keys")
     rows = staged(pairs.join(bounded_broadcast(met), "key", "left_semi")
