@@ -200,6 +200,12 @@ def project(df: DataFrame, w: Sequence[float], features: str = "features", outpu
 # ---------------------------------------------------------------- oversampling
 
 
+#: Bytes of vectors that the exact neighbour search may broadcast.
+EXACT_BYTES = 256 << 20
+#: Distances that a task of the exact neighbour search holds at once (32 MB).
+KNN_CELLS = 4 << 20
+
+
 def _projection_neighbours(pts: DataFrame, key: str, d: int, k: int, seed: int,
                            projections: int, window: int) -> DataFrame:
     """Approximate k nearest neighbours: candidates are the points within
@@ -233,7 +239,8 @@ def _projection_neighbours(pts: DataFrame, key: str, d: int, k: int, seed: int,
 def _exact_neighbours(pts: DataFrame, key: str, k: int) -> DataFrame:
     """Exact k nearest neighbours within a minority set of checked, bounded
     size: the set is broadcast once as a matrix and every task computes its
-    rows' distances to it in numpy blocks (Spark partitions the query points)."""
+    rows' distances to it, ``KNN_CELLS`` distances at a time (Spark partitions
+    the query points)."""
     import pandas as pd
     rows = pts.select(key, "_x").collect()
     ids = np.array([r[0] for r in rows])
@@ -243,9 +250,8 @@ def _exact_neighbours(pts: DataFrame, key: str, k: int) -> DataFrame:
 
     def knn(batches):
         all_ids, all_x, all_sq = bc.value
-        for pdf in batches:
-            if pdf.empty:
-                continue
+        step = max(1, KNN_CELLS // max(1, len(all_ids)))
+        for pdf in (whole[i:i + step] for whole in batches for i in range(0, len(whole), step)):
             q = np.stack(pdf["_x"].to_numpy()).astype(np.float64)
             d2 = (q * q).sum(axis=1)[:, None] + all_sq[None, :] - 2.0 * q @ all_x.T
             self_mask = pdf[key].to_numpy()[:, None] == all_ids[None, :]
@@ -264,7 +270,7 @@ def _exact_neighbours(pts: DataFrame, key: str, k: int) -> DataFrame:
 
 def smote(df: DataFrame, key: str, label: str, features: str = "features", minority: int = 1,
           k: int = 5, seed: int = 2017, projections: int = 8, window: int = 8,
-          exact_max: int = 50_000, provenance: bool = False) -> DataFrame:
+          neighbours: str = "projections", provenance: bool = False) -> DataFrame:
     """SMOTE: add synthetic minority rows until both classes have equal size.
 
     Each synthetic row is x + u·(x' − x): x a minority point (points are
@@ -272,10 +278,11 @@ def smote(df: DataFrame, key: str, label: str, features: str = "features", minor
     [0, 1) - both picked from a hash of (seed, key, copy), so the output is
     deterministic.
 
-    Neighbours are exact when the minority class has at most ``exact_max``
-    points (broadcast after that size check, numpy distances per task).
-    Above that bound they come from ``_projection_neighbours``, an
-    approximate search with a bounded number of candidates per point.
+    The caller chooses the neighbour search, the size of the data never does.
+    ``projections``: ``_projection_neighbours``, an approximate search with
+    ``3 * window`` candidates per point and direction, at any size.  ``exact``:
+    the minority points are broadcast and every distance is computed; more
+    than ``EXACT_BYTES`` of vectors raise.
     Output: the input rows (synthetic = 0) plus synthetic rows (key = null,
     synthetic = 1).  With ``provenance`` three more columns tell, for a
     synthetic row, its source point, the neighbour and the fraction u."""
@@ -290,10 +297,12 @@ def smote(df: DataFrame, key: str, label: str, features: str = "features", minor
         return base
     arr = vector_to_array(F.col(features))
     pts = mino.select(key, arr.alias("_x"))
-    if n_min <= exact_max:
+    d = len(mino.first()[features])
+    if neighbours == "exact":
+        if 8 * n_min * d > EXACT_BYTES:
+            raise ValueError(f"{n_min} points of {d} features exceed the broadcast bound; use neighbours='projections'")
         knn = _exact_neighbours(pts, key, k)
     else:
-        d = len(mino.first()[features])
         knn = _projection_neighbours(pts, key, d, k, seed, projections, window)
     knn = knn.join(pts.select(F.col(key).alias("_c"), F.col("_x").alias("_xc")), "_c")
     # copies: synthetic row number s = 0..need−1 goes to minority point s mod n_min

@@ -58,11 +58,17 @@ def get_spark(app: str = "revisit", cores: str | int = "*",
     return spark
 
 
+def one_machine(master: str) -> bool:
+    """Whether the driver runs the tasks itself (``local`` or ``local[...]``)."""
+    return master == "local" or master.startswith("local[")
+
+
 def checkpoint_dir(spark: SparkSession) -> str:
     """Shared checkpoint folder named by the cluster in ``spark.checkpoint.dir``.
 
-    Only when the setting is absent (local tests) a fresh scratch folder is
-    created and registered; a cluster always names a shared folder.
+    Where it is absent a local session (one machine: tests, the bench) gets a
+    fresh scratch folder; on a cluster that raises, since executors would each
+    write to their own disk.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
@@ -71,6 +77,8 @@ def checkpoint_dir(spark: SparkSession) -> str:
     configured = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get(
         "spark.checkpoint.dir", None)
     if not configured:
+        if not one_machine(sc.master):
+            raise ValueError("spark.checkpoint.dir is not set: name a folder that all executors share")
         configured = tempfile.mkdtemp(prefix="revisit-ckpt-")
     sc.setCheckpointDir(configured)
     return sc.getCheckpointDir() or configured

@@ -91,7 +91,8 @@ def test_smote_balances_and_stays_on_segments(spark):
     out = FE.smote(df.select("id", "y", "features"), "id", "y", minority=1, k=3, seed=7, projections=4, window=4)
     counts = {r.y: r["count"] for r in out.groupBy("y").count().collect()}
     assert counts[0] == counts[1] == 96
-    prov = FE.smote(df.select("id", "y", "features"), "id", "y", minority=1, k=3, seed=7, provenance=True)
+    prov = FE.smote(df.select("id", "y", "features"), "id", "y", minority=1, k=3, seed=7, neighbours="exact",
+                    provenance=True)
     pts = {r.id: np.array(r.f) for r in df.where("y = 1").select("id", vector_to_array("features").alias("f"))
            .collect()}
     ids = np.array(sorted(pts))
@@ -175,11 +176,18 @@ def test_smote_exact_neighbours_match_bruteforce(spark):
 
 def test_smote_projection_path_balances(spark):
     df = blobs(spark, n=100, minority_share=0.3)
-    out = FE.smote(df.select("id", "y", "features"), "id", "y", minority=1, k=3, seed=7, exact_max=10)
+    out = FE.smote(df.select("id", "y", "features"), "id", "y", minority=1, k=3, seed=7)
     counts = {r.y: r["count"] for r in out.groupBy("y").count().collect()}
     assert counts[0] == counts[1] == 70
 
 
+def test_smote_exact_raises_above_its_broadcast_bound(spark, monkeypatch):
+    df = blobs(spark, n=100, minority_share=0.3).select("id", "y", "features")
+    monkeypatch.setattr(FE, "EXACT_BYTES", 100)
+    with pytest.raises(ValueError, match="broadcast bound"):
+        FE.smote(df, "id", "y", minority=1, k=3, seed=7, neighbours="exact")
+
+
 def test_readmission_model_trains_on_train_part_without_leaks(spark):
     from revisit.plans.model import EXCLUDED, train_readmission_model
     model, scored = train_readmission_model(spark, "/root/testdata/sf0.001", trees=10)

@@ -114,6 +114,17 @@ def test_vector_corr_matches_column_corr(spark):
         assert got[k] == pytest.approx(val, abs=1e-9)
 
 
+def test_kde_takes_any_number_of_groups(spark):
+    df = spark.range(0, 24_000).select((F.col("id") % 12_000).alias("g"), F.col("id").cast("double").alias("x"))
+    assert P.kde(df, "x", "g", [0.0], bandwidth=1.0).count() == 12_000
+
+
+def test_scratch_folder_only_on_one_machine():
+    from revisit.session import one_machine
+    assert one_machine("local") and one_machine("local[8]") and one_machine("local[*]")
+    assert not any(map(one_machine, ("yarn", "local-cluster[3,2,1024]", "k8s://https://host", "spark://host:7077")))
+
+
 def test_checkpoint_dir_honours_cluster_setting(spark, tmp_dir):
     from revisit.session import checkpoint_dir
     from revisit.sources.files import scratch_path
