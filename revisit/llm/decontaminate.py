@@ -157,7 +157,8 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, text_col: str = "text",
         part = benchmark.where(F.coalesce(F.pmod(F.xxhash64(item_id, item_text), F.lit(shards)), F.lit(0)) == shard)
         items = [(r[0], r[1]) for r in part.select(item_id, item_text).collect()]
         shared = spark.sparkContext.broadcast(Automaton(items, window))
-        leak = _judge(shared)(F.col(text_col))
+        # marked so that a filter on the result does not repeat the call
+        leak = _judge(shared).asNondeterministic()(F.col(text_col))
         judged = judged.withColumn(out, leak if shard == 0 else _merge(F.col(out), leak, F.col(text_col)))
     return judged
 
