@@ -4,11 +4,15 @@ Lines of at least ``min_chars`` characters are cut into ``edits`` + 1 segments.
 Two lines within ``edits`` edit operations share a segment at nearly the same
 place, so length-aware substring probes of one line meet the segment index of
 the other.  Lines that share a key are verified by a banded bit-parallel edit
-distance.  Exact copies form one class first; classes linked by verified
-distances form a group, and its first line (least document id, then line
-number) is kept.
+distance.  Two lines are also linked when few enough whole words are inserted,
+dropped or replaced; that number grows with the words of the shorter line
+(``word_edits``), and the same index, probes and band run over words.  Exact
+copies form one class first; classes linked by verified distances form a group,
+and its first line (least document id, then line number) is kept.
 
-Null texts have no lines; empty and shorter lines are never removed.  Rows that
+Null texts have no lines; blank lines and lines of fewer than ``copy_chars``
+characters (``min_chars`` if null) are never removed; between the two sizes
+only exact copies are.  Rows that
 repeat a document id count as that document.  Extra columns pass through.
 """
 
@@ -17,9 +21,9 @@ from __future__ import annotations
 from os.path import commonprefix
 
 import numpy as np
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
-from revisit.llm.common import staged
+from revisit.llm.common import let, staged
 from revisit.llm.linking import bounded_broadcast, components, link_blocks
 
 
@@ -47,8 +51,45 @@ def line_keys(lines: DataFrame, edits: int) -> DataFrame:
     return lines.select(*kept, F.array(*out).alias("keys"))
 
 
-def pair_within(x: str, y: str, edits: int) -> bool:
-    """Whether two strings are within ``edits`` of each other: the common ends
+#: One word edit for so many words of a line.
+WORDS_PER_EDIT = 30
+
+
+def word_edits(n):
+    """Word edits allowed for lines of ``n`` words, a column or an array of
+    numbers: one in 30, from 164 words on the cube root of n, as the keys of a
+    line grow with the cube of its edits and thus with its words."""
+    if isinstance(n, Column):
+        return F.least(F.floor(n / WORDS_PER_EDIT), F.floor(F.cbrt(n) + 1e-9)).cast("int")
+    return np.minimum(n // WORDS_PER_EDIT, np.floor(np.cbrt(n) + 1e-9).astype(np.int64))
+
+
+def word_keys(line: Column) -> Column:
+    """The (key, probe) array of ``line_keys`` over words; the indexed length
+    gives the number of segments."""
+    def segments(w: Column, n: Column, gap: Column) -> Column:
+        def at(length: Column, edits: Column) -> Column:
+            short, longer = F.floor(length / (edits + 1)).cast("int"), F.pmod(length, edits + 1)
+
+            def one(i: Column) -> Column:
+                plain = edits + 1 - longer  # segments before the longer ones
+                size = short + F.when(i >= plain, 1).otherwise(0)
+                start = short * i + F.greatest(i - plain, F.lit(0))
+                return F.transform(F.sequence(F.greatest(-i, gap - (edits - i)), F.least(i, gap + edits - i)), lambda shift: F.struct(
+                    F.xxhash64(F.slice(w, start + shift + 1, size), length, i, F.lit("words")).alias("key"),
+                    ((gap != 0) | (shift != 0)).alias("probe")))
+            return F.flatten(F.transform(F.sequence(F.lit(0), edits), one))
+        return let(n - gap, lambda length: let(word_edits(length), lambda edits: at(length, edits)))
+
+    def keys(w: Column) -> Column:
+        n = F.size(w)
+        gaps = F.filter(F.sequence(F.lit(0), word_edits(n)), lambda gap: gap <= word_edits(n - gap))
+        return F.when(word_edits(n) > 0, F.flatten(F.transform(gaps, lambda gap: segments(w, n, gap))))
+    return let(F.split(line, " "), keys)
+
+
+def pair_within(x, y, edits: int) -> bool:
+    """Whether two strings or lists are within ``edits`` of each other: the common ends
     are cut off, which keeps the distance, and a band of 2 * edits + 1
     diagonals, one integer per error count, moves along the rest."""
     if abs(len(x) - len(y)) > edits:
@@ -58,7 +99,7 @@ def pair_within(x: str, y: str, edits: int) -> bool:
     b = len(commonprefix((x[::-1], y[::-1])))
     x, y = x[:len(x) - b], y[:len(y) - b]
     full = (1 << (2 * edits + 1)) - 1
-    spots: dict[str, int] = {}
+    spots: dict = {}
     for i, c in enumerate(x):
         spots[c] = spots.get(c, 0) | 1 << (i + edits)
     # state[e] bit k: prefix of y matched to the prefix of x at diagonal k - edits with <= e errors
@@ -144,28 +185,72 @@ def near_by_edits(lines: list[str], edits: int, few: int = 16):
     return near
 
 
+def near_by_words(lines: list[str], few: int = 16):
+    """``near`` of a block by word edits, as ``near_by_edits`` does it by
+    characters; words are numbered."""
+    ids: dict[str, int] = {}
+    order = [[ids.setdefault(w, len(ids)) for w in s.split(" ")] for s in lines]
+    lens = np.array([len(s) for s in order])
+    allowed = word_edits(lens)
+    arrays = [np.array(s, dtype=np.int32) for s in order] if len(lines) > few else []
+    bags = np.array([np.bincount(a & 63, minlength=64) for a in arrays])
+
+    def near(u: int, rest: np.ndarray) -> np.ndarray:
+        hit = np.zeros(len(rest), dtype=bool)
+        edits = np.minimum(allowed[rest], allowed[u])
+        left = np.flatnonzero((edits > 0) & (np.abs(lens[rest] - lens[u]) <= edits))
+        if len(arrays) and len(left):
+            left = left[np.abs(bags[rest[left]] - bags[u]).sum(1) <= 2 * edits[left]]
+        for e in np.unique(edits[left]):
+            same = left[edits[left] == e]
+            if len(same) <= few or e > 30:  # 2 * e + 1 diagonals have to fit in 63 bits
+                hit[same] = [pair_within(order[u], order[i], int(e)) for i in rest[same]]
+                continue
+            for part in np.array_split(same, max(1, len(same) // 1024)):
+                ys = np.full((len(part), lens[rest[part]].max()), -1, dtype=np.int32)
+                for r, i in enumerate(rest[part]):
+                    ys[r, :lens[i]] = order[i]
+                hit[part] = within(arrays[u], ys, int(e))
+        return hit
+
+    return near
+
+
+def near_lines(lines: list[str], edits: int):
+    """``near`` of a block: by characters or by words."""
+    chars, by_words = near_by_edits(lines, edits), near_by_words(lines)
+
+    def near(u: int, rest: np.ndarray) -> np.ndarray:
+        hit = by_words(u, rest)
+        hit[~hit] = chars(u, rest[~hit])
+        return hit
+
+    return near
+
+
 def _lines(docs: DataFrame, id_col: str, text_col: str, min_chars: int) -> DataFrame:
     return (docs.select(F.col(id_col).alias("id"), F.posexplode(F.split(F.col(text_col), "\n")).alias("pos", "line"))
-            .where(F.length("line") >= min_chars)
+            .where((F.length("line") >= min_chars) & F.col("line").rlike(r"\S"))
             .withColumn("h", F.xxhash64("line")).withColumn("h2", F.xxhash64(F.lit(1), "line")))
 
 
 def line_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", edits: int = 2,
-                min_chars: int = 30) -> DataFrame:
+                min_chars: int = 30, copy_chars: int | None = None) -> DataFrame:
     """(id, pos, group, first_id, first_pos, kept) for every line that has a copy or a line within
-    ``edits`` of it; ``kept`` marks the first line of its group."""
-    lines = _lines(docs, id_col, text_col, min_chars)
+    ``edits`` or its word edits of it; ``kept`` marks the first line of its group."""
+    lines = _lines(docs, id_col, text_col, min_chars if copy_chars is None else min(copy_chars, min_chars))
     classes = staged(lines.groupBy("h", "h2").agg(F.count("*").alias("n"), F.min(F.struct("id", "pos")).alias("first")),
                      "lines")
 
     # outer: a plain inline would make the optimizer filter on size(keys), which builds the array twice
-    pairs = (line_keys(lines.select("h", "line"), edits).select("h", "line", F.inline_outer("keys"))
-             .where("key is not null"))
+    by_words = F.coalesce(word_keys(F.col("line")), F.array().cast("array<struct<key:bigint,probe:boolean>>"))
+    pairs = (line_keys(lines.where(F.length("line") >= min_chars).select("h", "line"), edits)
+             .select("h", "line", F.inline_outer(F.concat("keys", by_words))).where("key is not null"))
     met = staged(pairs.groupBy("key").agg(F.min("h").alias("x"), F.max("h").alias("y"), F.min("probe").alias("only"))
                  .where("x <> y and not only").select("key"), "met-keys")
     rows = staged(pairs.join(bounded_broadcast(met), "key", "left_semi")
                   .groupBy("key", F.col("h").alias("node")).agg(F.first("line").alias("line")), "line-blocks")
-    comp = components(link_blocks(rows, "line", lambda v: near_by_edits(v, edits)))
+    comp = components(link_blocks(rows, "line", lambda v: near_lines(v, edits)))
     group = classes.join(comp, classes["h"] == comp["node"], "left").where("n > 1 or component is not null")
     group = staged(group.select("h", "h2", "first", F.coalesce("component", "h").alias("group"),
                                 F.when(F.col("component").isNull(), F.col("h2")).alias("own")), "line-groups")
@@ -179,10 +264,10 @@ def line_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", edits: int = 2,
-                min_chars: int = 30) -> DataFrame:
+                min_chars: int = 30, copy_chars: int | None = None) -> DataFrame:
     """``docs`` with later copies and near copies of lines removed from the
     text; every row stays."""
-    gone = (line_groups(docs, id_col, text_col, edits, min_chars).where("not kept")
+    gone = (line_groups(docs, id_col, text_col, edits, min_chars, copy_chars).where("not kept")
             .groupBy(F.col("id").alias("__id")).agg(F.collect_set("pos").alias("__gone")))
     joined = docs.join(gone, docs[id_col].eqNullSafe(gone["__id"]), "left")
     kept = F.array_join(F.filter(F.transform(F.split(F.col(text_col), "\n"), lambda x, i: F.struct(

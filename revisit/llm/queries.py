@@ -99,7 +99,7 @@ def op10_line_edits(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per line that has a copy or near copy, with the first line of
     its group and whether it is that line; all other lines are alone."""
     from revisit.llm.line_edits import line_groups
-    return line_groups(table(spark, sf_dir, "documents")).select(
+    return line_groups(table(spark, sf_dir, "documents"), copy_chars=1).select(
         F.col("id").alias("doc_id"), F.col("pos").alias("line_no"), F.col("first_id").alias("group_doc_id"),
         F.col("first_pos").alias("group_line_no"), "kept")
 

@@ -215,6 +215,42 @@ def test_line_groups_equal_brute_force(spark):
     assert dedup_lines(frame(spark, [])).count() == 0
 
 
+def test_line_word_edits_equal_brute_force(spark):
+    """Whole words of long lines inserted, dropped or replaced."""
+    from revisit.llm.line_edits import dedup_lines, line_groups, near_by_words
+    r = np.random.default_rng(7)
+    lines = []
+    for n in (15, 29, 30, 60, 66, 130, 300):
+        base = prose(n, n, 5000).split()
+        lines.append(" ".join(base))
+        for k in range(8):
+            w = list(base)
+            for _ in range(k):
+                at = int(r.integers(0, len(w)))
+                w[at:at + int(r.integers(0, 2))] = ["inserted"] * int(r.integers(0, 2))
+            lines.append(" ".join(w))
+    allowed = lambda n: max(e for e in range(n // 30 + 1) if e ** 3 <= n)
+    close = lambda a, b: abs(len(a) - len(b)) <= 2 and edit_distance(a, b) <= 2 or edit_distance(a.split(), b.split()) <= allowed(min(len(a.split()), len(b.split())))
+    lines = list(dict.fromkeys(lines))
+    for few in (16, 1000):
+        near = near_by_words(lines, few)
+        for u in (0, 20, 45, len(lines) - 1):
+            rest = np.array([v for v in range(len(lines)) if v != u])
+            assert near(u, rest).tolist() == [edit_distance(lines[u].split(), lines[v].split()) <= allowed(
+                min(len(lines[u].split()), len(lines[v].split()))) for v in rest]
+    first = list(range(len(lines)))
+    for a in range(len(lines)):
+        for b in range(a):
+            if close(lines[a], lines[b]):
+                x, y = sorted((first[a], first[b]))
+                first = [x if f == y else f for f in first]
+    got = {x["id"]: x["first_id"] for x in line_groups(frame(spark, list(enumerate(lines)))).collect()}
+    assert {i: got.get(i, i) for i in range(len(lines))} == dict(enumerate(first))
+    whole = prose(66, 3)
+    docs = [(1, whole + "\nshort\n\n "), (2, whole.replace(whole.split()[30] + " ", "", 1) + "\nshort\n\n \nother")]
+    assert [x["text"] for x in dedup_lines(frame(spark, docs), copy_chars=1).orderBy("doc_id").collect()] == [docs[0][1], "\n \nother"]
+
+
 def test_packing_round_trip(spark, texts):
     from tokenizers import Tokenizer
     from revisit.llm.curve_packing import TOKENIZER, hilbert, pack
