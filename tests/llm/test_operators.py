@@ -326,6 +326,24 @@ def test_url_rules_and_aliases(spark):
     assert judge_urls(df.limit(0)).count() == 0
 
 
+def test_url_targets_that_are_no_pages(spark):
+    from pyspark.sql import functions as F
+    from revisit.llm.url_aliases import judge_urls, resolve
+    go = '<meta http-equiv="refresh" content="0; url={}">'
+    pages = [(1, "http://a.org/1", go.format("http://x.net/es/1"), "block"),  # a blocked target that was not crawled
+             (2, "http://b.org/2", go.format("http://x.net/es/2") + go.format("http://shop.com/2"), "allow"),
+             (3, "http://c.org/3", go.format("http://a.org/1"), "block"), (4, "http://d.org/x/4", go.format("new.html"), "block"),
+             (5, "http://d.org/x/new.html", go.format("//x.net/fr/5"), "block"), (6, "http://e.org/6", go.format("mailto:a"), "allow"),
+             (7, "http://f.org/7", None, "allow"), (8, None, go.format("http://x.net/es/1"), "allow")]
+    df = spark.createDataFrame([x[:3] for x in pages], "page_id long, url string, html string")
+    assert {r["page_id"]: r["verdict"] for r in judge_urls(df).collect()} == {x[0]: x[3] for x in pages}
+    cases = {"new.html": "/a/b/new.html", "../n?q=1": "/a/n?q=1", "./": "/a/b/", "../../../n": "/n", "..": "/a/", "/r/./s": "/r/s",
+             "?q": "/a/b/c?q", "#f": "/a/b/c?p", "n?u=http://z.com/": "/a/b/n?u=http://z.com/"}
+    df = spark.createDataFrame([(t,) for t in cases], "t string")
+    got = {r["t"]: r["u"] for r in df.select("t", resolve(F.col("t"), F.lit("https://H.org/a/b/c?p#x")).alias("u")).collect()}
+    assert got == {t: "http://h.org" + u for t, u in cases.items()}
+
+
 def test_toxicity_held_out_accuracy(spark):
     from revisit.llm.toxicity_ftrl import score, train
     rows = [(i, prose(40, i) + (" vile scum" if i % 3 == 0 else "")) for i in range(600)] + [(900, None), (901, "")]
