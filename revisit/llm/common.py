@@ -23,7 +23,9 @@ def staged(df: DataFrame, label: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{checkpoint_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.staged_path = path
+    return out
 
 
 def let(value: Column, body) -> Column:
@@ -35,3 +37,16 @@ def let(value: Column, body) -> Column:
 def words(text: str | None) -> list[bytes]:
     """Words of a text as UTF-8 bytes; ``bytes.split`` cuts at exactly SPACE."""
     return text.encode("utf-8", "replace").split() if text else []
+
+
+def drop_staged(df: DataFrame) -> None:
+    """Delete the files of a frame that ``staged`` returned, once what was made
+    of it is itself written."""
+    spark = df.sparkSession
+    path = spark._jvm.org.apache.hadoop.fs.Path(df.staged_path)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def finite(vector: Column) -> Column:
+    """Whether no component of a vector is null, NaN or infinite."""
+    return F.coalesce(F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf"))), F.lit(False))

@@ -104,6 +104,25 @@ def op10_line_edits(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("first_pos").alias("group_line_no"), "kept")
 
 
+@query
+def op11_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from revisit.llm.multi_index import search
+    return search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
+@query
+def op12_lemp_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from revisit.llm.lemp_rank import search
+    return search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query
+def op13_shallot_means(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from revisit.llm.shallot import shallot_means, with_inertia
+    return with_inertia(*shallot_means(table(spark, sf_dir, "embeddings"))).select(
+        F.col("id").alias("vec_id"), "cluster", "distance", "cluster_inertia", "inertia", "centroid_sha256")
+
+
 @query
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
@@ -168,3 +187,53 @@ FROM named LEFT JOIN fits USING (n) LEFT JOIN class ON named.own = class.a"""
 
 
 SQL["op5_url_aliases"] = _url_sql()
+
+
+SQL["op12_lemp_rank"] = rf"""
+WITH words AS (
+  SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[0-9a-z\x{{80}}-\x{{10FFFF}}]+') AS w
+  FROM documents),
+size AS (SELECT count(*) FILTER (len(w) > 0) AS n, CAST(coalesce(sum(len(w)), 0) AS BIGINT) AS l FROM words),
+asked AS (
+  SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[0-9a-z\x{{80}}-\x{{10FFFF}}]+')) AS t
+  FROM benchmark),
+tf AS (SELECT r, doc_id, len(w) AS n, t, count(*) AS f FROM (SELECT r, doc_id, w, unnest(w) AS t FROM words) GROUP BY r, doc_id, len(w), t),
+weight AS (
+  SELECT t, CAST(floor(1000 * ln(CAST(2 * size.n + 2 AS DOUBLE) / (2 * count(*) + 1))) AS BIGINT) AS w
+  FROM tf, size GROUP BY t, size.n),
+scored AS (
+  SELECT item_id, r, doc_id,
+         CAST(sum(w * ((1000000000 * f) // (1000 * f + 20 * (100 - 50 + (50 * tf.n * size.n) // size.l)))) AS BIGINT) AS score
+  FROM asked JOIN tf USING (t) JOIN weight USING (t), size GROUP BY item_id, r, doc_id)
+SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score FROM (
+  SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM scored WHERE score > 0)
+WHERE rank <= 50"""
+
+
+def _means_sql(rounds: int = 3) -> str:
+    """Each round as two steps: nearest centroid, then floored means."""
+    near = lambda n: f"""a{n} AS (
+  SELECT vec_id, v, arg_min(c, ROW(d, c)) AS c, min(d) AS d FROM (
+    SELECT vec_id, x.v, y.c, list_sum(list_transform(range(1, 65), lambda i: (x.v[i] - y.v[i]) * (x.v[i] - y.v[i]))) AS d
+    FROM x, c{n} y) GROUP BY vec_id, v)"""
+    mean = lambda n: f"""c{n + 1} AS (
+  SELECT c{n}.c, coalesce(m.v, c{n}.v) AS v FROM c{n} LEFT JOIN (
+    SELECT c, list(CAST(floor(CAST(s AS DOUBLE) / n) AS BIGINT) ORDER BY i) AS v FROM (
+      SELECT c, i, sum(v[i]) AS s, count(*) AS n FROM (SELECT c, v, unnest(range(1, 65)) AS i FROM a{n}) GROUP BY c, i) GROUP BY c) m USING (c))"""
+    steps = ",\n".join(f"{near(n)},\n{mean(n)}" for n in range(rounds))
+    return f"""
+WITH x AS (
+  SELECT vec_id, list_transform(embedding, lambda e: CAST(floor(64 * CAST(e AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+  WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda e: e IS NULL OR NOT isfinite(e))) = 0),
+c0 AS (
+  SELECT row_number() OVER (ORDER BY h) - 1 AS c, v FROM (
+    SELECT sha256('1:' || CAST(vec_id AS VARCHAR)) AS h, v FROM x ORDER BY h LIMIT 16)),
+{steps},
+{near(rounds)},
+sums AS (SELECT c, CAST(sum(d) AS BIGINT) AS cluster_inertia FROM a{rounds} GROUP BY c)
+SELECT vec_id, CAST(c AS INTEGER) AS cluster, CAST(d AS BIGINT) AS distance, cluster_inertia,
+       (SELECT CAST(sum(d) AS BIGINT) FROM a{rounds}) AS inertia, sha256(array_to_string(c{rounds}.v, ',')) AS centroid_sha256
+FROM a{rounds} JOIN sums USING (c) JOIN c{rounds} USING (c)"""
+
+
+SQL["op13_shallot_means"] = _means_sql()
