@@ -12,6 +12,7 @@ documents of their own.  Extra columns are ignored.
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -34,58 +35,86 @@ def projection(vocabulary: int = 65536, buckets: int = 256) -> np.ndarray:
     return rows[(h % np.uint64(buckets)).astype(int)] * np.where(h >> np.uint64(63), 1.0, -1.0)[:, None]
 
 
-def hilbert(cell: list[int], order: int = ORDER) -> int:
-    """Hilbert index of a cell: Gray-decode the transposed coordinates
-    (J. Skilling, Programming the Hilbert curve, 2004)."""
-    x, n = list(cell), len(cell)
-    q = 1 << (order - 1)
-    while q > 1:
-        p = q - 1
+def hilbert_keys(cells: np.ndarray, order: int = ORDER) -> np.ndarray:
+    """Hilbert index of each row of cells: Gray-decode the transposed
+    coordinates (J. Skilling, Programming the Hilbert curve, 2004)."""
+    x, n = [c.astype(np.int64) for c in cells.T], cells.shape[1]
+    for b in range(order - 1, 0, -1):
+        p = (1 << b) - 1
         for i in range(n):
-            if x[i] & q:
-                x[0] ^= p
-            else:
-                t = (x[0] ^ x[i]) & p
-                x[0] ^= t
-                x[i] ^= t
-        q >>= 1
+            on = x[i] >> b & 1 == 1
+            t = np.where(on, 0, (x[0] ^ x[i]) & p)
+            x[0] = x[0] ^ np.where(on, p, t)
+            x[i] = x[i] ^ t
     for i in range(1, n):
-        x[i] ^= x[i - 1]
-    t, q = 0, 1 << (order - 1)
-    while q > 1:
-        if x[n - 1] & q:
-            t ^= q - 1
-        q >>= 1
-    x = [v ^ t for v in x]
-    return sum(((x[i] >> b) & 1) << (b * n + n - 1 - i) for b in range(order) for i in range(n))
+        x[i] = x[i] ^ x[i - 1]
+    t = np.zeros_like(x[0])
+    for b in range(order - 1, 0, -1):
+        t = np.where(x[n - 1] >> b & 1 == 1, t ^ ((1 << b) - 1), t)
+    return sum(((x[i] ^ t) >> b & 1) << (b * n + n - 1 - i) for b in range(order) for i in range(n))
+
+
+def hilbert(cell: list[int], order: int = ORDER) -> int:
+    return int(hilbert_keys(np.array([cell]), order)[0])
 
 
-def tokenized(text: Column, path: str, end_id: int, cache_words: int = 200_000) -> Column:
+class Parts(dict):
+    """Ids, as little-endian 16-bit bytes, of space-free parts of a text.  A
+    part is cut into the tokenizer's own pre-tokens, whose ids are remembered
+    too; both memories are emptied at ``limit`` entries."""
+
+    #: The split rule of the tokenizer for printable ASCII, where normalising is lower-casing.
+    ASCII = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^a-z0-9]+")
+
+    def __init__(self, path: str, limit: int = 300_000):
+        from tokenizers import Tokenizer
+        tok = Tokenizer.from_file(path)
+        self.normalize, self.cut, self.model = tok.normalizer.normalize_str, tok.pre_tokenizer.pre_tokenize_str, tok.model
+        self.special = tuple(t.content for t in tok.get_added_tokens_decoder().values())
+        self.whole, self.limit, self.words = tok, limit, {}
+
+    def __missing__(self, part: str) -> bytes:
+        if len(self) >= self.limit:
+            self.clear()
+        if len(self.words) >= self.limit:
+            self.words.clear()
+        if any(s in part for s in self.special):
+            ids = np.array(self.whole.encode(part, add_special_tokens=False).ids, dtype="<u2").tobytes()
+        else:
+            plain = part.isascii() and part.isprintable()
+            words = self.ASCII.findall(part.lower()) if plain else [w for w, _ in self.cut(self.normalize(part))]
+            ids = b"".join([self.words.get(w) or self.word(w) for w in words])
+        self[part] = ids
+        return ids
+
+    def word(self, word: str) -> bytes:
+        ids = b"".join([t.id.to_bytes(2, "little") for t in self.model.tokenize(word)])
+        self.words[word] = ids
+        return ids
+
+
+#: One memory per tokenizer file and Python worker, shared by the worker's tasks.
+_PARTS: dict[str, Parts] = {}
+
+
+def tokenized(text: Column, path: str, end_id: int) -> Column:
     """Struct (ids: little-endian 16-bit ids with the end id, key: Hilbert key).
 
     The tokenizer never joins pieces over an ASCII space or line break, so the
-    ids of a text are those of its parts; parts are remembered per worker, up
-    to ``cache_words``."""
+    ids of a text are those of its parts."""
     @F.pandas_udf("ids binary, key long")
     def udf(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        from tokenizers import Tokenizer
-        tok, known, table = Tokenizer.from_file(path), {}, projection()
+        from revisit.llm import curve_packing
+        if path not in curve_packing._PARTS:
+            curve_packing._PARTS[path] = Parts(path)
+        known = curve_packing._PARTS[path]
+        table, end = projection(), end_id.to_bytes(2, "little")
         for texts in batches:
-            rows = []
-            for text in texts:
-                parts = (text or "").replace("\n", " ").split(" ")
-                fresh = [p for p in set(parts) if p not in known]
-                if len(known) + len(fresh) > cache_words:
-                    known, fresh = {}, list(set(parts))
-                for p in fresh:  # one at a time: a batch holds every part's offsets and strings at once
-                    known[p] = np.array(tok.encode(p, add_special_tokens=False).ids, dtype="<u2").tobytes()
-                ids = b"".join([known[p] for p in parts]) + end_id.to_bytes(2, "little")
-                a = np.frombuffer(ids, dtype="<u2")
-                v = np.bincount(a, minlength=1)
-                v = v @ table[:len(v)] / np.sqrt(len(a))
-                cell = np.clip((np.arctan(v) / np.pi + 0.5) * (1 << ORDER), 0, (1 << ORDER) - 1).astype(int)
-                rows.append((ids, hilbert(cell.tolist())))
-            yield pd.DataFrame(rows, columns=["ids", "key"])
+            ids = [b"".join([known[p] for p in (text or "").replace("\n", " ").split(" ")]) + end for text in texts]
+            spots = [np.frombuffer(x, dtype="<u2") for x in ids]
+            points = np.array([table[a].sum(0) / np.sqrt(len(a)) for a in spots]).reshape(-1, DIMS)
+            cells = np.clip((np.arctan(points) / np.pi + 0.5) * (1 << ORDER), 0, (1 << ORDER) - 1).astype(np.int64)
+            yield pd.DataFrame({"ids": ids, "key": hilbert_keys(cells)})
     return udf(text)
 
 
