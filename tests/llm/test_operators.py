@@ -111,7 +111,7 @@ def test_decontamination_equals_brute_force(spark, texts):
 
 
 def test_quality_base_counts_and_threshold(spark, texts):
-    from revisit.llm.quality_rules import quality_rules
+    from revisit.llm.quality_rules import THRESHOLD, quality_rules
     trusted = spark.createDataFrame([(4,), (7,), (4,)], "doc_id long")
     rows = quality_rules(frame(spark, texts).drop("rules"), trusted).collect()
     assert len(rows) == len(texts)
@@ -126,11 +126,36 @@ def test_quality_base_counts_and_threshold(spark, texts):
         assert (x["n_words"], x["word_chars"], x["n_symbols"], x["n_dup_lines"], x["n_repeat_words"]) == (
             len(w), sum(map(len, w)), sum(c in "#*$%&|<>" for c in t), len(lines) - len(set(lines)), repeat)
         assert x["base_failed"] == (len(w) < 50 or 100 * repeat > 50 * len(w))
-        assert x["kept"] == (not x["base_failed"] and x["llr"] >= -0.25)
+        assert x["kept"] == (not x["base_failed"] and x["llr"] >= THRESHOLD)
     none = frame(spark, []).drop("rules")
     assert quality_rules(none, trusted).count() == 0
 
 
+def test_quality_ratio_equals_brute_force(spark, texts):
+    """Counts of hashed n-grams, one bucket each at this size, against counts
+    of the n-grams themselves; trusted ids that repeat, are null or absent."""
+    import math
+    from collections import Counter
+    import regex
+    from revisit.llm.quality_rules import quality_rules
+    token, buckets = regex.compile(r"[\p{L}\p{N}]+|[^\p{L}\p{N}\x20\x09-\x0D]+"), 1 << 18
+    docs = texts + [(None, "null ids are never trusted"), (4, "another text of a trusted id, once more")]
+    trusted = spark.createDataFrame([(4,), (7,), (4,), (None,), (1000,)], "doc_id long")
+
+    def grams(t):
+        w = token.findall(t or "")
+        return [(x,) for x in w] + list(zip(w, w[1:]))
+    raw, good = Counter(), Counter()
+    for i, t in docs:
+        raw.update(grams(t))
+        good.update(grams(t) if i in (4, 7) else [])
+    a, b = raw.total() + buckets, good.total() + buckets
+    for r in quality_rules(frame(spark, docs).drop("rules"), trusted, buckets=buckets).collect():
+        g = grams(r["text"])
+        want = sum(math.log((good[x] + 1) / b) - math.log((raw[x] + 1) / a) for x in g) / len(g) if g else 0
+        assert abs(r["rules"]["llr"] - want) < 2e-3  # a few of the 1,500 n-grams share a bucket
+
+
 def test_quality_plan_is_native(spark, texts):
     from revisit.llm.quality_rules import quality_rules
     out = quality_rules(frame(spark, texts).drop("rules"), spark.createDataFrame([(4,)], "doc_id long"))
