@@ -58,59 +58,78 @@ def hilbert(cell: list[int], order: int = ORDER) -> int:
     return int(hilbert_keys(np.array([cell]), order)[0])
 
 
-class Parts(dict):
-    """Ids, as little-endian 16-bit bytes, of space-free parts of a text.  A
-    part is cut into the tokenizer's own pre-tokens, whose ids are remembered
-    too; both memories are emptied at ``limit`` entries."""
+class Words(dict):
+    """Ids, as little-endian 16-bit bytes, of pre-tokens; emptied at ``limit``
+    entries."""
 
-    #: The split rule of the tokenizer for printable ASCII, where normalising is lower-casing.
-    ASCII = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^a-z0-9]+")
+    def __init__(self, model, spelled: dict[int, str], limit: int):
+        self.model, self.spelled, self.limit = model, spelled, limit
 
-    def __init__(self, path: str, limit: int = 300_000):
-        from tokenizers import Tokenizer
-        tok = Tokenizer.from_file(path)
-        self.normalize, self.cut, self.model = tok.normalizer.normalize_str, tok.pre_tokenizer.pre_tokenize_str, tok.model
-        self.special = tuple(t.content for t in tok.get_added_tokens_decoder().values())
-        self.whole, self.limit, self.words = tok, limit, {}
-
-    def __missing__(self, part: str) -> bytes:
+    def __missing__(self, word: str) -> bytes:
         if len(self) >= self.limit:
             self.clear()
-        if len(self.words) >= self.limit:
-            self.words.clear()
-        if any(s in part for s in self.special):
-            ids = np.array(self.whole.encode(part, add_special_tokens=False).ids, dtype="<u2").tobytes()
-        else:
-            plain = part.isascii() and part.isprintable()
-            words = self.ASCII.findall(part.lower()) if plain else [w for w, _ in self.cut(self.normalize(part))]
-            ids = b"".join([self.words.get(w) or self.word(w) for w in words])
-        self[part] = ids
+        ids = b"".join([t.id.to_bytes(2, "little") for t in self.model.tokenize(word.translate(self.spelled))])
+        self[word] = ids
         return ids
 
-    def word(self, word: str) -> bytes:
-        ids = b"".join([t.id.to_bytes(2, "little") for t in self.model.tokenize(word)])
-        self.words[word] = ids
-        return ids
 
+class Cutter:
+    """Ids of whole texts, pre-token by pre-token.
 
-#: One memory per tokenizer file and Python worker, shared by the worker's tasks.
-_PARTS: dict[str, Parts] = {}
+    Where a text has only printable ASCII, usual white space and the accented
+    letters of Latin-1, the tokenizer's normalising is lower-casing and its cut
+    is ``CUT``.  It never joins pieces over an ASCII space or line break, so a
+    space-free part with any other character goes through the tokenizer's own
+    normaliser and cut, and so does a text with a special token's string."""
 
+    LETTERS = "a-z\xdf-\xf6\xf8-\xff"
+    OTHER = re.compile("[^\t\n\r -~\xc0-\xd6\xd8-\xf6\xf8-\xff]")
+    CUT = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{LETTERS}]+|[0-9]|[^{LETTERS}0-9\t\n\r ]+")
 
-def tokenized(text: Column, path: str, end_id: int) -> Column:
-    """Struct (ids: little-endian 16-bit ids with the end id, key: Hilbert key).
+    def __init__(self, path: str, limit: int = 500_000):
+        from tokenizers import Tokenizer
+        self.tok = tok = Tokenizer.from_file(path)
+        spelled = {c: tok.pre_tokenizer.pre_tokenize_str(chr(c))[0][0] for c in range(0xDF, 0x100) if c != 0xF7}
+        self.words, self.cut_words = Words(tok.model, spelled, limit), Words(tok.model, {}, limit)
+        self.special = [t.content for t in tok.get_added_tokens_decoder().values()]
+
+    def plain(self, text: str) -> bytes:
+        words = self.words
+        return b"".join([words[w] for w in self.CUT.findall(text.lower())])
 
-    The tokenizer never joins pieces over an ASCII space or line break, so the
-    ids of a text are those of its parts."""
+    def part(self, part: str) -> bytes:
+        words = self.cut_words
+        return b"".join([words[w] for w, _ in self.tok.pre_tokenizer.pre_tokenize_str(self.tok.normalizer.normalize_str(part))])
+
+    def ids(self, text: str) -> bytes:
+        if any(s in text for s in self.special):
+            return np.array(self.tok.encode(text, add_special_tokens=False).ids, dtype="<u2").tobytes()
+        if not self.OTHER.search(text):
+            return self.plain(text)
+        text, at, out = text.replace("\n", " "), 0, []
+        while m := self.OTHER.search(text, at):
+            start, end = text.rfind(" ", at, m.start()) + 1 or at, text.find(" ", m.end())
+            end = len(text) if end < 0 else end
+            out += [self.plain(text[at:start]), self.part(text[start:end])]
+            at = end
+        return b"".join([*out, self.plain(text[at:])])
+
+
+#: One per tokenizer file and Python worker, shared by the worker's tasks.
+_CUTTERS: dict[str, Cutter] = {}
+
+
+def tokenized(text: Column, path: str, end_id: int) -> Column:
+    """Struct (ids: little-endian 16-bit ids with the end id, key: Hilbert key)."""
     @F.pandas_udf("ids binary, key long")
     def udf(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         from revisit.llm import curve_packing
-        if path not in curve_packing._PARTS:
-            curve_packing._PARTS[path] = Parts(path)
-        known = curve_packing._PARTS[path]
+        if path not in curve_packing._CUTTERS:
+            curve_packing._CUTTERS[path] = Cutter(path)
+        cutter = curve_packing._CUTTERS[path]
         table, end = projection(), end_id.to_bytes(2, "little")
         for texts in batches:
-            ids = [b"".join([known[p] for p in (text or "").replace("\n", " ").split(" ")]) + end for text in texts]
+            ids = [cutter.ids(text or "") + end for text in texts]
             spots = [np.frombuffer(x, dtype="<u2") for x in ids]
             points = np.array([table[a].sum(0) / np.sqrt(len(a)) for a in spots]).reshape(-1, DIMS)
             cells = np.clip((np.arctan(points) / np.pi + 0.5) * (1 << ORDER), 0, (1 << ORDER) - 1).astype(np.int64)
