@@ -8,84 +8,184 @@ distance.  Two lines are also linked when few enough whole words are inserted,
 dropped or replaced; that number grows with the words of the shorter line
 (``word_edits``), and the same index, probes and band run over words.  Exact
 copies form one class first; classes linked by verified distances form a group,
-and its first line (least document id, then line number) is kept.
+and its first line (least document id, then text hash and line number) is kept.
+
+The keys of a batch of lines are substring hashes from one prefix sum, cut for
+all lines at once.  Keys are shuffled without texts; a pass over the sorted keys
+keeps those that two different lines share, and the texts of those lines alone
+are fetched to verify them.
 
 Null texts have no lines; blank lines and lines of fewer than ``copy_chars``
 characters (``min_chars`` if null) are never removed; between the two sizes
-only exact copies are.  Rows that
-repeat a document id count as that document.  Extra columns pass through.
+only exact copies are.  A row is known by its id and a hash of its text: rows
+that repeat both count as one document, different texts under one id, or under
+null ids, as different ones.  Extra columns pass through.
 """
 
 from __future__ import annotations
 
+from functools import cache
 from os.path import commonprefix
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, functions as F
+import pyarrow as pa
+from pyspark.sql import DataFrame, functions as F
 
-from revisit.llm.common import let, staged
+from revisit.llm.common import drop_staged, staged
 from revisit.llm.linking import bounded_broadcast, components, link_blocks
 
-
-def line_keys(lines: DataFrame, edits: int) -> DataFrame:
-    """``lines`` plus an array ``keys`` of (key, probe): a line's own segments,
-    and its substrings against every indexed length from n - edits to n.  The
-    start positions are the multi-match-aware ones; the hash covers (substring,
-    indexed length, segment number).  Lengths and segment sizes are columns of
-    their own, so that they are computed once per line."""
-    parts, kept, out = edits + 1, [F.col(c) for c in lines.columns], []
-    lines = lines.select(*kept, F.length("line").alias("__n"))
-    lines = lines.select(*kept, "__n", *[c for g in range(parts) for c in (
-        F.floor((F.col("__n") - g) / parts).cast("int").alias(f"__short{g}"),
-        F.pmod(F.col("__n") - g, F.lit(parts)).alias(f"__longer{g}"))])
-    for gap in range(parts):
-        length, short, longer = F.col("__n") - gap, F.col(f"__short{gap}"), F.col(f"__longer{gap}")
-        for i in range(parts):  # an even partition: the last `longer` segments have one character more
-            size = short + F.when(longer >= parts - i, 1).otherwise(0)
-            start = short * i + F.greatest(longer - (parts - i), F.lit(0))
-            for shift in range(max(-i, gap - (edits - i)), min(i, gap + (edits - i)) + 1):
-                at = start + shift
-                key = F.xxhash64(F.substr("line", at + 1, size), length * parts + i)
-                fits = (at >= 0) & (at + size <= F.col("__n")) & (length >= parts)
-                out.append(F.struct(F.when(fits, key).alias("key"), F.lit(gap != 0 or shift != 0).alias("probe")))
-    return lines.select(*kept, F.array(*out).alias("keys"))
-
-
 #: One word edit for so many words of a line.
-WORDS_PER_EDIT = 30
-
-
-def word_edits(n):
-    """Word edits allowed for lines of ``n`` words, a column or an array of
-    numbers: one in 30, from 164 words on the cube root of n, as the keys of a
-    line grow with the cube of its edits and thus with its words."""
-    if isinstance(n, Column):
-        return F.least(F.floor(n / WORDS_PER_EDIT), F.floor(F.cbrt(n) + 1e-9)).cast("int")
+WORDS_PER_EDIT = 20
+#: Characters whose keys are cut at once, and rows of one key held back at most.
+CHARS, HELD = 2_000_000, 65_536
+LOW = np.uint64(0x7FFF_FFFF_FFFF_FFFF)
+OWN = np.uint64(0x8000_0000_0000_0000)
+
+
+def word_edits(n: np.ndarray) -> np.ndarray:
+    """Word edits allowed for lines of ``n`` words: one in 20, from 90 words on
+    the cube root of n, as the keys of a line grow with the cube of its edits
+    and thus with its words."""
+    n = np.maximum(n, 0)
     return np.minimum(n // WORDS_PER_EDIT, np.floor(np.cbrt(n) + 1e-9).astype(np.int64))
 
 
-def word_keys(line: Column) -> Column:
-    """The (key, probe) array of ``line_keys`` over words; the indexed length
-    gives the number of segments."""
-    def segments(w: Column, n: Column, gap: Column) -> Column:
-        def at(length: Column, edits: Column) -> Column:
-            short, longer = F.floor(length / (edits + 1)).cast("int"), F.pmod(length, edits + 1)
-
-            def one(i: Column) -> Column:
-                plain = edits + 1 - longer  # segments before the longer ones
-                size = short + F.when(i >= plain, 1).otherwise(0)
-                start = short * i + F.greatest(i - plain, F.lit(0))
-                return F.transform(F.sequence(F.greatest(-i, gap - (edits - i)), F.least(i, gap + edits - i)), lambda shift: F.struct(
-                    F.xxhash64(F.slice(w, start + shift + 1, size), length, i, F.lit("words")).alias("key"),
-                    ((gap != 0) | (shift != 0)).alias("probe")))
-            return F.flatten(F.transform(F.sequence(F.lit(0), edits), one))
-        return let(n - gap, lambda length: let(word_edits(length), lambda edits: at(length, edits)))
-
-    def keys(w: Column) -> Column:
-        n = F.size(w)
-        gaps = F.filter(F.sequence(F.lit(0), word_edits(n)), lambda gap: gap <= word_edits(n - gap))
-        return F.when(word_edits(n) > 0, F.flatten(F.transform(gaps, lambda gap: segments(w, n, gap))))
-    return let(F.split(line, " "), keys)
+def mixed(x: np.ndarray) -> np.ndarray:
+    """Bits of 64-bit integers spread over all places."""
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+class Slices:
+    """Hashes, modulo 2^64, of any slices of one sequence of integers."""
+
+    BASE = 0x9E3779B97F4A7C15
+
+    def __init__(self, values: np.ndarray):
+        self.up, self.down = self.powers(1 << max(len(values), 1).bit_length())
+        self.sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(values * self.up[:len(values)], dtype=np.uint64)])
+
+    @staticmethod
+    @cache
+    def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+        run = lambda b: np.multiply.accumulate(np.append(np.ones(1, np.uint64), np.full(n, b, np.uint64)))
+        return run(Slices.BASE), run(pow(Slices.BASE, -1, 1 << 64))
+
+    def at(self, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+        return (self.sums[start + size] - self.sums[start]) * self.down[start]
+
+
+def segment_keys(seq: Slices, first: np.ndarray, n: np.ndarray, allowed, kind: int):
+    """(row, key, probe) arrays: each row's own segments, and its substrings
+    against every indexed length from n - edits to n.  Row r is the slice of
+    ``seq`` from ``first[r]`` with ``n[r]`` items; ``allowed`` gives the edits of
+    an indexed length.  The start positions are the multi-match-aware ones;
+    the key covers the substring, the indexed length and the segment number."""
+    gap, last = 0, int(allowed(n).max(initial=0))
+    while gap <= last:
+        length = n - gap
+        edits = allowed(length)
+        for e in np.unique(edits[(edits >= max(gap, 1)) & (length > edits)]).tolist():
+            rows = np.flatnonzero((edits == e) & (length > e))
+            spots = [(i, shift) for i in range(e + 1) for shift in range(max(-i, gap - (e - i)), min(i, gap + e - i) + 1)]
+            i, shift = np.array(spots).T
+            whole = length[rows, None]
+            short, plain = whole // (e + 1), e + 1 - whole % (e + 1)  # the last segments have one item more
+            size = short + (i >= plain)
+            at = short * i + np.maximum(i - plain, 0) + shift
+            r, c = np.nonzero((at >= 0) & (at + size <= n[rows, None]))
+            salt = mixed((whole[r, 0].astype(np.uint64) << np.uint64(20)) + (2 * i[c] + kind).astype(np.uint64))
+            yield rows[r], mixed(seq.at(first[rows[r]] + at[r, c], size[r, c]) ^ salt), (gap != 0) | (shift[c] != 0)
+        gap += 1
+
+
+def line_keys(lines: list[str], edits: int):
+    """(row, key, probe) arrays of lines, by characters and by words.  A line
+    with so many word edits that they cover all character edits has no keys of
+    its characters."""
+    codes = np.frombuffer((" ".join(lines) + " ").encode("utf-32-le", "replace"), dtype="<u4")
+    n = np.array([len(x) for x in lines], dtype=np.int64)
+    first = np.append(0, np.cumsum(n + 1)[:-1])
+    chars = Slices(codes.astype(np.uint64) + np.uint64(1))
+    ends = np.flatnonzero(codes == 32)
+    starts = np.append(0, ends[:-1] + 1)
+    first_word = np.searchsorted(starts, first)
+    n_words = np.append(first_word[1:], len(starts)) - first_word
+    words = Slices(mixed(chars.at(starts, ends - starts) + (ends - starts).astype(np.uint64)))
+    short = np.flatnonzero(word_edits(n_words - 2 * edits) < 2 * edits)
+    found = [(short[r], k, p) for r, k, p in segment_keys(chars, first[short], n[short], lambda x: np.full(len(x), edits), 0)]
+    found += list(segment_keys(words, first_word, n_words, word_edits, 1))
+    join = lambda at, kind: np.concatenate([np.zeros(0, kind), *[x[at] for x in found]])
+    return join(0, np.int64), join(1, np.uint64), join(2, bool)
+
+
+def _keyed(edits: int):
+    """Batches (h, line) to (key, v): ``v`` is the low 63 bits of the line hash,
+    with the sign bit for a segment of its own, so that those sort first."""
+    def batches(rows):
+        for b in rows:
+            h, first = np.unique(b.column("h").to_numpy(), return_index=True)
+            lines = b.column("line").take(pa.array(first)).to_pylist()
+            size = np.cumsum([len(x) for x in lines])
+            cuts = np.searchsorted(size, np.arange(CHARS, (size[-1] if len(size) else 0) + CHARS, CHARS)) + 1
+            for at, to in zip(np.append(0, cuts), cuts):
+                if part := lines[at:to]:
+                    row, key, probe = line_keys(part, edits)
+                    v = (h[at:to][row].view(np.uint64) & LOW) | np.where(probe, np.uint64(0), OWN)
+                    yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(v.view(np.int64))], ["key", "v"])
+    return batches
+
+
+def shared_keys(batches):
+    """From rows sorted by (key, v) the (key, node) rows of the keys that an
+    indexed line shares with another line.  A group is renamed to the sum of
+    its mixed nodes, so that groups of the same lines become equal; a group of
+    more than ``HELD`` rows is passed on as it comes, under its own key."""
+    out = lambda key, node: pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(node.view(np.int64))], ["key", "node"])
+    key = v = np.zeros(0, np.uint64)
+    passing = None  # the large group that is being passed on
+
+    def closed(key, v):
+        """Of whole groups."""
+        node, starts = v & LOW, np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+        good = (v[starts] >= OWN) & (np.minimum.reduceat(node, starts) != np.maximum.reduceat(node, starts))
+        keep = np.repeat(good, np.diff(np.append(starts, len(key))))
+        key, node = key[keep], node[keep]
+        order = np.lexsort((node, key))
+        key, node = key[order], node[order]
+        fresh = np.append(True, (key[1:] != key[:-1]) | (node[1:] != node[:-1]))[:len(key)]
+        key, node = key[fresh], node[fresh]
+        if not len(key):
+            return out(key, node)
+        starts = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+        name = np.add.reduceat(mixed(node), starts)
+        return out(np.repeat(name, np.diff(np.append(starts, len(key)))), node)
+
+    for b in batches:
+        key = np.concatenate([key, b.column("key").to_numpy().view(np.uint64)])
+        v = np.concatenate([v, b.column("v").to_numpy().view(np.uint64)])
+        if passing is not None and len(key):
+            n = len(key) if key[-1] == passing else int(np.argmax(key != passing))
+            yield out(key[:n], v[:n] & LOW)
+            key, v = key[n:], v[n:]
+            if len(key):
+                passing = None
+        if not len(key):
+            continue
+        last = len(key) - int(np.argmax((key != key[-1])[::-1])) if key[0] != key[-1] else 0
+        if last:
+            yield closed(key[:last], v[:last])
+            key, v = key[last:], v[last:]
+        if len(key) > HELD:
+            if v[0] >= OWN:
+                passing = key[0]
+                yield out(key, v & LOW)
+                key = v = key[:0]
+            else:  # probes alone: nothing is indexed under this key
+                key, v = key[:1], v[:1]
+    if len(key):
+        yield closed(key, v)
 
 
 def pair_within(x, y, edits: int) -> bool:
@@ -229,38 +329,49 @@ def near_lines(lines: list[str], edits: int):
 
 
 def _lines(docs: DataFrame, id_col: str, text_col: str, min_chars: int) -> DataFrame:
-    return (docs.select(F.col(id_col).alias("id"), F.posexplode(F.split(F.col(text_col), "\n")).alias("pos", "line"))
+    return (docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("text_hash"),
+                        F.posexplode(F.split(F.col(text_col), "\n")).alias("pos", "line"))
             .where((F.length("line") >= min_chars) & F.col("line").rlike(r"\S"))
             .withColumn("h", F.xxhash64("line")).withColumn("h2", F.xxhash64(F.lit(1), "line")))
 
 
+def near_classes(lines: DataFrame, edits: int) -> DataFrame:
+    """(h, h2, component) of the lines that are linked to a different one.
+    Should two lines have the same 64-bit hash ``h``, the one of the least ``h2``
+    is compared and the other keeps its exact copies alone."""
+    spark, low = lines.sparkSession, (1 << 63) - 1
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    keys = lines.select("h", "line").mapInArrow(_keyed(edits), "key long, v long")
+    met = staged(keys.repartition(parts, "key").sortWithinPartitions("key", "v").mapInArrow(shared_keys, "key long, node long")
+                 .distinct(), "met-lines")
+    nodes = met.select("node").distinct()
+    texts = staged(lines.withColumn("node", F.col("h").bitwiseAND(F.lit(low))).join(bounded_broadcast(nodes), "node", "left_semi")
+                   .groupBy("node").agg(F.min(F.struct("h2", "h", "line")).alias("t")).select("node", "t.*"), "line-texts")
+    rows = staged(met.join(texts.select("node", "line"), "node"), "line-blocks")
+    drop_staged(met)
+    comp = components(link_blocks(rows, "line", lambda v: near_lines(v, edits)))
+    out = staged(comp.join(texts.select("node", "h", "h2"), "node").select("h", "h2", "component"), "near-classes")
+    drop_staged(rows)
+    drop_staged(texts)
+    return out
+
+
 def line_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", edits: int = 2,
                 min_chars: int = 30, copy_chars: int | None = None) -> DataFrame:
-    """(id, pos, group, first_id, first_pos, kept) for every line that has a copy or a line within
+    """(id, text_hash, pos, group, first_id, first_pos, kept) for every line that has a copy or a line within
     ``edits`` or its word edits of it; ``kept`` marks the first line of its group."""
     lines = _lines(docs, id_col, text_col, min_chars if copy_chars is None else min(copy_chars, min_chars))
-    classes = staged(lines.groupBy("h", "h2").agg(F.count("*").alias("n"), F.min(F.struct("id", "pos")).alias("first")),
-                     "lines")
-
-    # outer: a plain inline would make the optimizer filter on size(keys), which builds the array twice
-    by_words = F.coalesce(word_keys(F.col("line")), F.array().cast("array<struct<key:bigint,probe:boolean>>"))
-    pairs = (line_keys(lines.where(F.length("line") >= min_chars).select("h", "line"), edits)
-             .select("h", "line", F.inline_outer(F.concat("keys", by_words))).where("key is not null"))
-    met = staged(pairs.groupBy("key").agg(F.min("h").alias("x"), F.max("h").alias("y"), F.min("probe").alias("only"))
-                 .where("x <> y and not only").select("key"), "met-keys")
-    rows = staged(pairs.join(bounded_broadcast(met), "key", "left_semi")
-                  .groupBy("key", F.col("h").alias("node")).agg(F.first("line").alias("line")), "line-blocks")
-    comp = components(link_blocks(rows, "line", lambda v: near_lines(v, edits)))
-    group = classes.join(comp, classes["h"] == comp["node"], "left").where("n > 1 or component is not null")
+    classes = lines.groupBy("h", "h2").agg(F.count("*").alias("n"), F.min(F.struct("id", "text_hash", "pos")).alias("first"))
+    near = near_classes(lines.where(F.length("line") >= min_chars), edits)
+    group = classes.join(near, ["h", "h2"], "left").where("n > 1 or component is not null")
     group = staged(group.select("h", "h2", "first", F.coalesce("component", "h").alias("group"),
                                 F.when(F.col("component").isNull(), F.col("h2")).alias("own")), "line-groups")
     first = group.groupBy(F.col("group").alias("g"), F.col("own").alias("o")).agg(F.min("first").alias("least"))
     group = (group.join(first, (F.col("group") == F.col("g")) & F.col("own").eqNullSafe(F.col("o")))
              .select("h", "h2", "group", F.col("least").alias("first")))
     return (lines.drop("line").join(group, ["h", "h2"])
-            .select("id", "pos", "group", F.col("first.id").alias("first_id"), F.col("first.pos").alias("first_pos"),
-                    (F.col("first.id").eqNullSafe(F.col("id")) & (F.col("first.pos") == F.col("pos")))
-                    .alias("kept")))
+            .select("id", "text_hash", "pos", "group", F.col("first.id").alias("first_id"), F.col("first.pos").alias("first_pos"),
+                    F.col("first").eqNullSafe(F.struct("id", "text_hash", "pos")).alias("kept")))
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", edits: int = 2,
@@ -268,9 +379,9 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """``docs`` with later copies and near copies of lines removed from the
     text; every row stays."""
     gone = (line_groups(docs, id_col, text_col, edits, min_chars, copy_chars).where("not kept")
-            .groupBy(F.col("id").alias("__id")).agg(F.collect_set("pos").alias("__gone")))
-    joined = docs.join(gone, docs[id_col].eqNullSafe(gone["__id"]), "left")
+            .groupBy(F.col("id").alias("__id"), F.col("text_hash").alias("__hash")).agg(F.collect_set("pos").alias("__gone")))
+    joined = docs.join(gone, docs[id_col].eqNullSafe(gone["__id"]) & (F.xxhash64(docs[text_col]) == gone["__hash"]), "left")
     kept = F.array_join(F.filter(F.transform(F.split(F.col(text_col), "\n"), lambda x, i: F.struct(
         x.alias("x"), F.array_contains(F.col("__gone"), i).alias("out"))), lambda s: ~s["out"])["x"], "\n")
     return joined.withColumn(text_col, F.when(F.col("__gone").isNull(), F.col(text_col)).otherwise(kept)) \
-        .drop("__id", "__gone")
+        .drop("__id", "__hash", "__gone")

@@ -13,7 +13,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from revisit.llm.common import staged
+from revisit.llm.common import drop_staged, staged
 
 #: Broadcasts of key lists stop at this many rows (16 bytes each, 16 MB).
 BROADCAST_ROWS = 1_000_000
@@ -102,8 +102,9 @@ def components(edges: DataFrame) -> DataFrame:
                  .where("a <> b").distinct())
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(low, "a")
-        edges = staged(small.where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-                       .union(low.select("a", F.col("m").alias("b"))).where("a <> b").distinct(), "edges")
+        before, edges = edges, staged(small.where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+                                      .union(low.select("a", F.col("m").alias("b"))).where("a <> b").distinct(), "edges")
+        drop_staged(before)
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if now == last:
             return edges.select(F.col("a").alias("node"), F.col("b").alias("component")).union(

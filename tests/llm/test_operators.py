@@ -254,7 +254,7 @@ def test_line_word_edits_equal_brute_force(spark):
                 at = int(r.integers(0, len(w)))
                 w[at:at + int(r.integers(0, 2))] = ["inserted"] * int(r.integers(0, 2))
             lines.append(" ".join(w))
-    allowed = lambda n: max(e for e in range(n // 30 + 1) if e ** 3 <= n)
+    allowed = lambda n: max(e for e in range(n // 20 + 1) if e ** 3 <= n)
     close = lambda a, b: abs(len(a) - len(b)) <= 2 and edit_distance(a, b) <= 2 or edit_distance(a.split(), b.split()) <= allowed(min(len(a.split()), len(b.split())))
     lines = list(dict.fromkeys(lines))
     for few in (16, 1000):
@@ -276,6 +276,107 @@ def test_line_word_edits_equal_brute_force(spark):
     assert [x["text"] for x in dedup_lines(frame(spark, docs), copy_chars=1).orderBy("doc_id").collect()] == [docs[0][1], "\n \nother"]
 
 
+def test_line_keys_meet_for_every_close_pair():
+    """Any two lines within the character or word edits share a key that the
+    shorter one, or either of equal lines, indexes."""
+    from revisit.llm.line_edits import line_keys, word_edits
+    r = np.random.default_rng(11)
+    lines = []
+    for n in (4, 9, 19, 20, 45, 70, 95, 130):
+        base = prose(n, n, 300).split()
+        for _ in range(12):
+            w = list(base)
+            for _ in range(int(r.integers(0, 6))):
+                at = int(r.integers(0, len(w)))
+                w[at:at + int(r.integers(0, 2))] = ["new"] * int(r.integers(0, 2))
+            s = list(" ".join(w))
+            for _ in range(int(r.integers(0, 3))):
+                at = int(r.integers(0, len(s)))
+                s[at:at + int(r.integers(0, 2))] = [" é"[int(r.integers(0, 2))]] * int(r.integers(0, 2))
+            lines.append("".join(s))
+    lines = list(dict.fromkeys(lines))
+    row, key, probe = line_keys(lines, 2)
+    own, every = [set() for _ in lines], [set() for _ in lines]
+    for i, k, p in zip(row.tolist(), key.tolist(), probe.tolist()):
+        every[i].add(k)
+        if not p:
+            own[i].add(k)
+    close = met = 0
+    for a in range(len(lines)):
+        for b in range(a):
+            x, y = lines[a].split(" "), lines[b].split(" ")
+            allowed = int(word_edits(np.array([min(len(x), len(y))]))[0])
+            if abs(len(lines[a]) - len(lines[b])) <= 2 and edit_distance(lines[a], lines[b]) <= 2 or allowed and edit_distance(x, y) <= allowed:
+                close += 1
+                met += bool(own[a] & every[b] or own[b] & every[a])
+    assert close > 100 and met == close
+
+
+def test_shared_keys_stream(monkeypatch):
+    """Groups over many batches, held back or passed on, against a dictionary."""
+    import pyarrow as pa
+    from revisit.llm import line_edits
+    r = np.random.default_rng(2)
+    own = lambda i: i - (1 << 63)
+    groups = {k: [own(i) if r.random() < 0.4 else i for i in r.integers(0, 30, int(r.integers(1, 7))).tolist()] for k in range(200)}
+    groups |= {300: [own(1)] + list(range(400)), 301: list(range(500)), 302: [own(7), 7, own(7)], 303: [own(i) for i in range(90)]}
+    rows = sorted((k, v) for k, g in groups.items() for v in g)
+    want = {frozenset(v % (1 << 63) for v in g) for g in groups.values() if min(g) < 0 and len({v % (1 << 63) for v in g}) > 1}
+    for held, size in ((1000, 7), (50, 7), (50, 3000), (5, 2)):
+        monkeypatch.setattr(line_edits, "HELD", held)
+        batches = [pa.RecordBatch.from_arrays([pa.array([x[i] for x in rows[at:at + size]], pa.int64()) for i in (0, 1)], ["key", "v"])
+                   for at in range(0, len(rows), size)]
+        got = {}
+        for b in line_edits.shared_keys(iter(batches)):
+            for k, n in zip(*[c.to_pylist() for c in b.columns]):
+                got.setdefault(k, set()).add(n)
+        assert {frozenset(g) for g in got.values()} == want
+
+
+def test_lines_of_null_and_repeated_ids(spark):
+    """Different texts under one id or null ids are different documents; rows
+    that repeat id and text are one."""
+    from revisit.llm.line_edits import dedup_lines, line_groups
+    a, b, c = (prose(12, s) for s in (1, 2, 3))
+    docs = [(None, f"{a}\n{b}"), (None, f"{c}\n{a}"), (1, f"{b}\nfirst line that stands nowhere else at all"),
+            (1, f"second line that stands nowhere else\n{c}"), (2, a), (2, a)]
+    out = [r["text"] for r in dedup_lines(frame(spark, docs)).collect()]
+    assert len(out) == len(docs)
+    left = [x for t in out for x in t.split("\n") if x]
+    assert "first line that stands nowhere else at all" in left and "second line that stands nowhere else" in left
+    assert sorted(left) == sorted([a, b, c, "first line that stands nowhere else at all", "second line that stands nowhere else"])
+    firsts = line_groups(frame(spark, docs)).where("kept").count()
+    assert firsts == 3
+    twice = [(5, f"{a}\n{b}"), (5, f"{a}\n{b}"), (6, b)]
+    assert [r["text"] for r in dedup_lines(frame(spark, twice)).orderBy("doc_id").collect()] == [f"{a}\n{b}"] * 2 + [""]
+
+
+def test_near_line_recall(spark):
+    """Lines of 30 words or more whose sets of 5-word shingles have a Jaccard
+    similarity of 0.8 or more: the share of such pairs that is grouped."""
+    from collections import Counter, defaultdict
+    from revisit.llm.common import table
+    from revisit.llm.line_edits import line_groups
+    docs = table(spark, "/root/testdata/sf0.01", "documents")
+    where = {}
+    for r in docs.select("doc_id", "text").collect():
+        for k, s in enumerate((r["text"] or "").split("\n")):
+            if len(s.split(" ")) >= 30:
+                where.setdefault(s, (r["doc_id"], k))
+    grams = [{tuple(w[i:i + 5]) for i in range(len(w) - 4)} for w in (s.split(" ") for s in where)]
+    index, common = defaultdict(list), Counter()
+    for i, g in enumerate(grams):
+        for x in g:
+            index[x].append(i)
+    for same in index.values():
+        common.update((a, b) for k, b in enumerate(same) for a in same[:k])
+    pairs = [(a, b) for (a, b), n in common.items() if n >= 0.8 * (len(grams[a]) + len(grams[b]) - n)]
+    group = {(r["id"], r["pos"]): r["group"] for r in line_groups(docs, copy_chars=1).collect()}
+    at = list(where.values())
+    found = sum(at[a] in group and group[at[a]] == group.get(at[b]) for a, b in pairs)
+    assert len(pairs) > 30 and found >= 0.9 * len(pairs)
+
+
 def test_packing_round_trip(spark, texts):
     from tokenizers import Tokenizer
     from revisit.llm.curve_packing import TOKENIZER, hilbert, pack
