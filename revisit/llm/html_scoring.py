@@ -3,7 +3,14 @@
 Paragraph-like blocks give points for length and commas to their ancestors (all
 to the parent, half to the grandparent, then less); a container's points are
 discounted by its link density.  The text of the best container and of its
-related siblings is kept, in page order.
+related siblings is kept, in page order.  Text that lies directly in a container
+counts as a paragraph of it.
+
+Comments and raw elements are cut out first, in one pass, and what follows the
+last ``>`` is text, so that the time grows with the page.  Marked sections and
+unknown declarations are comments.  A form, or a part named after search or a
+widget, is left out unless it wraps the article: holds a ``main``, an ``article``
+with the page's ``h1``, or more than half of the page's text.
 
 Null, empty and text-less pages give an empty text.  Repeated rows get equal
 results; extra columns pass through.
@@ -19,25 +26,32 @@ from pyspark.sql import Column, functions as F
 
 # Element names of HTML.
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
-SKIP = set("script style noscript template head title nav header footer aside form button select textarea iframe svg "
+SKIP = set("script style noscript template head title nav header footer aside button select textarea iframe svg "
            "object canvas menu dialog".split())
+IN_HEAD = set("head title meta link script style base noscript template html".split())
+HEADINGS = set("h1 h2 h3 h4 h5 h6".split())
 BLOCK = set("address article blockquote body center dd details div dl dt fieldset figcaption figure h1 h2 h3 h4 h5 h6 hr "
             "html li main ol p pre section summary table tbody td tfoot th thead tr ul br".split())
 PARAGRAPH = set("p pre blockquote td dd li h1 h2 h3 h4 h5 h6 figcaption".split())
 CLOSES_P = BLOCK - {"br", "html", "body"}
 # Class, id and role words of parts that are not the article.
-BOILERPLATE = re.compile(r"(?:^|[\s_-])(?:ad|ads|advert\w*|banner|breadcrumbs?|comments?|cookies?|consent|disclaimer|disqus|"
-                         r"footer|header|masthead|menu|modal|nav|navbar|navigation|newsletter|notice|popup|promo\w*|related|"
-                         r"replies|share|sharing|sidebar|social|sponsor\w*|subscribe|toolbar|widget|complementary|"
-                         r"contentinfo|search)(?=$|[\s_-])", re.I)
+BOILERPLATE = re.compile(r"(?:^|[\s_-])(?:ad(?!-hoc)|ads|advert\w*|banner|breadcrumbs?|comments?|cookies?|consent|disclaimer|disqus|"
+                         r"footer|header|masthead|menu|nav|navbar|navigation|newsletter|notice|popup|promo\w*|related|"
+                         r"replies|share|sharing|sidebar|social|sponsor\w*|subscribe|complementary|"
+                         r"contentinfo)(?=$|[\s_-])", re.I)
+WRAPPER = re.compile(r"(?:^|[\s_-])(?:search|widget|modal|toolbar)(?=$|[\s_-])", re.I)
+HEADER = re.compile(r"(?:^|[\s_-])(?:header|masthead|banner)(?=$|[\s_-])", re.I)
+RAW = re.compile(r"<!--|<(script|style|textarea|title)(?=[\s/>])", re.I)
 SPACES = re.compile(r"\s+")
+#: Characters from which text directly in a container counts as a paragraph.
+LEAST_RUN = 25
 
 
 class Node:
-    __slots__ = ("tag", "parent", "children", "skip", "points", "chars", "linked")
+    __slots__ = ("tag", "parent", "children", "skip", "wraps", "points", "chars", "linked")
 
-    def __init__(self, tag, parent, skip):
-        self.tag, self.parent, self.skip = tag, parent, skip
+    def __init__(self, tag, parent, skip, wraps=False):
+        self.tag, self.parent, self.skip, self.wraps = tag, parent, skip, wraps
         self.children, self.points, self.chars, self.linked = [], 0.0, 0, 0
 
 
@@ -54,19 +68,27 @@ class Tree(HTMLParser):
         self.open[self.at.tag] -= 1
         self.at = self.at.parent
 
+    def parse_marked_section(self, i, report=1):
+        end = self.rawdata.find("]]>" if self.rawdata.startswith("<![CDATA[", i) else ">", i)
+        return self.rawdata.find(">", max(end, i)) + 1 or -1
+
     def handle_starttag(self, tag, attrs):
         if tag in ("html", "body") and self.open.get(tag):
             return
+        if self.open.get("head") and tag not in IN_HEAD:
+            self._close("head")  # its end tag may be left out
         if tag in CLOSES_P and self.open.get("p"):
             self._close("p")
         if tag == "li" and self.at.tag == "li":
             self._pop()
         label = " ".join(v for k, v in attrs if v and k in ("class", "id", "role"))
         hidden = any(k == "hidden" or (k == "aria-hidden" and v == "true") for k, v in attrs)
-        skip = tag in SKIP or hidden or (tag not in ("body", "article", "main") and bool(BOILERPLATE.search(label)))
+        named = HEADER.sub(" ", label) if tag in HEADINGS else label
+        skip = tag in SKIP or hidden or (tag not in ("body", "article", "main") and bool(BOILERPLATE.search(named)))
         if tag == "header" and self.at.tag in ("article", "main"):
             skip = hidden
-        node = Node(tag, self.at, self.at.skip or skip)
+        wraps = tag == "form" or (tag not in ("body", "article", "main") and bool(WRAPPER.search(named)))
+        node = Node(tag, self.at, self.at.skip or skip, wraps)
         self.at.children.append(node)
         if tag not in VOID:
             self.at = node
@@ -101,7 +123,41 @@ def _walk(node: Node):
         todo += [c for c in reversed(n.children) if isinstance(c, Node) and not c.skip]
 
 
+def _cut_raw(html: str) -> str:
+    """A page without comments and raw elements; what follows the last ``>`` can
+    hold no whole tag."""
+    out, at = [], 0
+    while m := RAW.search(html, at):
+        out.append(html[at:m.start()])
+        if m.group(1):
+            end = re.compile(f"</{m.group(1)}(?=[\\s/>])[^>]*>", re.I).search(html, m.end())
+            at = end.end() if end else len(html)
+        else:
+            end = html.find("-->", m.start() + 2)  # <!--> is a whole comment
+            at = end + 3 if end >= 0 else len(html)
+    html = "".join([*out, html[at:]])
+    last = html.rfind(">") + 1
+    return html[:last] + html[last:].replace("<", "&lt;")
+
+
+def _drop_wrappers(root: Node) -> None:
+    """Skip the forms and the like that do not wrap the article."""
+    nodes = list(_walk(root))
+    if not any(n.wraps for n in nodes):
+        return
+    chars, tags = {}, {}
+    for n in reversed(nodes):
+        kids = [c for c in n.children if isinstance(c, Node) and not c.skip]
+        chars[n] = sum(len(c.strip()) for c in n.children if isinstance(c, str)) + sum(chars[k] for k in kids)
+        tags[n] = {n.tag} & {"main", "article", "h1"}
+        tags[n].update(*[tags[k] for k in kids])
+    for n in nodes:
+        if n.wraps and not ("main" in tags[n] or {"article", "h1"} <= tags[n] or 2 * chars[n] > chars[root]):
+            n.skip = True
+
+
 def _score(root: Node) -> list[Node]:
+    _drop_wrappers(root)
     nodes = list(_walk(root))
     for n in reversed(nodes):  # children before parents
         own = sum(len(c.strip()) for c in n.children if isinstance(c, str))
@@ -109,10 +165,12 @@ def _score(root: Node) -> list[Node]:
         n.chars = own + sum(k.chars for k in kids)
         n.linked = n.chars if n.tag == "a" else sum(k.linked for k in kids)
     for n in nodes:
-        if n.tag in PARAGRAPH and n.chars:
-            own = SPACES.sub(" ", "".join(_inline(n)))
+        run = "".join(c for c in n.children if isinstance(c, str)) if n.tag not in PARAGRAPH else ""
+        direct = n.tag in BLOCK and len(run.strip()) >= LEAST_RUN
+        if n.chars and (n.tag in PARAGRAPH or direct):
+            own = SPACES.sub(" ", run if direct else "".join(_inline(n)))
             gain = (1 + own.count(",") + min(len(own) / 100, 3)) * (1 - n.linked / n.chars)
-            up, share = n.parent, 1.0
+            up, share = n if direct else n.parent, 1.0
             for level in range(4):
                 if up is None:
                     break
@@ -159,7 +217,7 @@ def _blocks(node: Node) -> list[str]:
 
 def main_text(html: str | None) -> str:
     tree = Tree()
-    tree.feed(html or "")
+    tree.feed(_cut_raw(html or ""))
     tree.close()
     nodes = _score(tree.root)
     value = lambda n: n.points * (1 - n.linked / n.chars) if n.chars else 0.0
@@ -174,14 +232,14 @@ def main_text(html: str | None) -> str:
             break
     if best.parent is None:
         return " ".join(_blocks(best))
-    bar = max(10.0, 0.2 * value(best))
+    bar = 0.2 * value(best)
     keep = []
     for c in best.parent.children:
         if c is best:
             keep += _blocks(c)
         elif isinstance(c, Node) and not c.skip and c.chars:
             density = c.linked / c.chars
-            if c.tag not in ("ul", "ol") and (value(c) >= bar or (c.tag == "p" and c.chars > 80 and density < 0.25)):
+            if c.tag not in ("ul", "ol") and (value(c) >= bar or c.tag in HEADINGS or (c.tag == "p" and (not c.linked or (c.chars > 80 and density < 0.25)))):
                 keep += _blocks(c)
     return " ".join(keep)
 

@@ -1,10 +1,13 @@
 """Personal data with offset-preserving deobfuscation.
 
 Small transducers rewrite a text to a normal form (full-width and look-alike
-characters, spelled digits, ``at`` / ``dot`` disguises) and keep, for every
-character of the normal form, the source span it came from.  Detectors run on
-the source (base spans) and on the normal form; spans of the normal form are
-mapped back and added where they overlap no base span.
+characters, digits spelled in four languages, ``at`` and ``dot`` disguises, each
+by itself) and keep, for every character of the normal form, the source span it
+came from and whether it was rewritten.  Detectors run on the source (base
+spans) and on the normal form; a span of the normal form with a rewritten
+character is mapped back and added.  It replaces nothing, and may cover a base
+span: ``john@mail.example [dot] com`` has both the base span up to ``example``
+and the whole one.
 
 Null and empty texts have no spans.  Repeated rows get equal results; extra
 columns pass through.
@@ -30,17 +33,24 @@ PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 
 # Cyrillic and Greek letters that look like Latin ones.
 LOOKALIKES = dict(zip("аеорсухіјѕһԁԛԝАВЕКМНОРСТХУІЈЅαορν", "aeopcyxijshdqwABEKMHOPCTXYIJSaopv"))
-# Spelled digits.
-DIGITS = {"zero": "0", "one": "1", "two": "2", "three": "3", "four": "4", "five": "5", "six": "6", "seven": "7",
-          "eight": "8", "nine": "9"}
-_digit = "|".join(DIGITS)
-SPELLED = re.compile(rf"(?<![^\W_])(?:{_digit})(?:[ -](?:{_digit}))+(?![^\W_])", re.I)
-ONE_DIGIT = re.compile(_digit, re.I)
-DISGUISE = re.compile(r"\s?[(\[{<]\s?(?:(at)|(dot|punkt|punto|point))\s?[)\]}>]\s?", re.I)
-#: Bare ``name at host dot tld``: the host must end in a dotted known suffix.
-BARE = re.compile(r"(?<=[A-Za-z0-9])( at )(?=[A-Za-z0-9-]{1,63}(?: dot [A-Za-z0-9-]{1,63}){0,4} dot "
-                  r"(?:com|org|net|edu|gov|io|de|fr|es|uk)\b)", re.I)
-BARE_DOT = re.compile(r" dot ", re.I)
+# The digits 0 to 9 spelled in English, German, French and Spanish, with spellings that avoid accents.
+DIGITS = {w: str(d) for d, words in enumerate((
+    "zero null zéro cero", "one eins un uno", "two zwei deux dos", "three drei trois tres", "four vier quatre cuatro",
+    "five fünf fuenf cinq cinco", "six sechs seis", "seven sieben sept siete", "eight acht huit ocho", "nine neun neuf nueve"))
+    for w in words.split()}
+_digit = "|".join(sorted(DIGITS, key=len, reverse=True))
+SPELLED = re.compile(rf"(?<![^\W\d_])(?:{_digit})(?![^\W\d_])", re.I)
+# Words for @ and for the dot.
+_at, _dot = "at|arroba|arobase", "dot|punkt|punto|point"
+DISGUISE = re.compile(rf"\s?[(\[{{<]\s?(?:({_at}|@)|({_dot}|\.))\s?[)\]}}>]\s?", re.I)
+_label = "[A-Za-z0-9-]{1,63}"
+#: Between name and host, where labels and dots, in signs or words, complete an address that ends in letters.
+NAMED_AT = re.compile(rf"(?<=[A-Za-z0-9])(?:\s(?:{_at}|@)\s|\s@|@\s|@)(?={_label}(?:(?:\.|\s(?:{_dot})\s){_label}){{0,5}}"
+                      rf"(?:\.|\s(?:{_dot})\s)[A-Za-z]{{2,24}}(?![A-Za-z0-9]))", re.I)
+NAMED_DOT = re.compile(rf"\s(?:{_dot})\s(?={_label})", re.I)
+LABEL = re.compile(_label)
+#: Between the numbers of an address.
+NUMBER_DOT = re.compile(rf"(?<=[0-9])\s(?:{_dot})\s(?=[0-9])", re.I)
 
 
 def emails(s: str):
@@ -82,23 +92,30 @@ def detect(s: str) -> list[tuple[int, int, int]]:
 
 
 class Mapped:
-    """A text with the source span of each character."""
+    """A text with the source span of each character, and the number of
+    rewritten ones before it."""
 
     def __init__(self, text: str):
         self.text, self.start, self.end = text, range(len(text)), range(1, len(text) + 1)
+        self.new = bytes(len(text))
 
     def rewrite(self, edits: list[tuple[int, int, str]]) -> None:
-        """Replace [a, b) by a string for each of the sorted edits."""
+        """Replace [a, b) by a string for each of the sorted edits; the
+        character before an emptied place counts as rewritten."""
         if not edits:
             return
-        text, start, end, pos = [], [], [], 0
+        text, start, end, mark, pos = [], [], [], bytearray(), 0
         for a, b, new in edits:
             text += [self.text[pos:a], new]
             start += [*self.start[pos:a], *[self.start[a]] * len(new)]
             end += [*self.end[pos:a], *[self.end[b - 1]] * len(new)]
+            mark += self.new[pos:a] + b"\x01" * len(new)
+            if not new and mark:
+                mark[-1] = 1
             pos = b
         text.append(self.text[pos:])
         self.text, self.start, self.end = "".join(text), [*start, *self.start[pos:]], [*end, *self.end[pos:]]
+        self.new = bytes(mark + self.new[pos:])
 
 
 def _letters(s: str):
@@ -117,8 +134,20 @@ def _letters(s: str):
 
 
 def _spelled(s: str):
-    return [(m.start(), m.end(), "".join(DIGITS[d.lower()] for d in ONE_DIGIT.findall(m.group())))
-            for m in SPELLED.finditer(s)]
+    """Runs of spelled digits; one that stands alone counts beside a digit."""
+    runs = []
+    for m in SPELLED.finditer(s):
+        if runs and s[runs[-1][1]:m.start()] in ("", " ", "-"):
+            runs[-1] = runs[-1][0], m.end(), runs[-1][2] + DIGITS[m.group().lower()]
+        else:
+            runs.append((m.start(), m.end(), DIGITS[m.group().lower()]))
+
+    def beside(a: int, b: int) -> bool:
+        before, after = s[max(a - 2, 0):a], s[b:b + 2]
+        near = lambda x, y: "0" <= x <= "9" or (x in " -" and "0" <= y <= "9")
+        return near(before[-1:] or "x", before[:1] or "x") or near(after[:1] or "x", after[-1:] or "x")
+
+    return [(a, b, d) for a, b, d in runs if len(d) > 1 or beside(a, b)]
 
 
 def _disguised(s: str):
@@ -126,17 +155,23 @@ def _disguised(s: str):
 
 
 def _bare(s: str):
+    """Signs and words between the parts of an address."""
     out = []
-    for m in BARE.finditer(s):
+    for m in NAMED_AT.finditer(s):
         if out and m.start() < out[-1][1]:
             continue
-        out.append((m.start(), m.end(), "@"))
-        at = m.end()
-        host = re.compile(r"[A-Za-z0-9-]+").match(s, at)
-        while host and (d := BARE_DOT.match(s, host.end())):
-            out.append((d.start(), d.end(), "."))
-            host = re.compile(r"[A-Za-z0-9-]+").match(s, d.end())
-    return out
+        if m.group() != "@":
+            out.append((m.start(), m.end(), "@"))
+        host = LABEL.match(s, m.end())
+        while host:
+            d = NAMED_DOT.match(s, host.end())
+            if d:
+                out.append((d.start(), d.end(), "."))
+            at = d.end() if d else host.end() + 1 if s[host.end():host.end() + 1] == "." else None
+            host = LABEL.match(s, at) if at is not None else None
+    taken = {a for a, _, _ in out}
+    out += [(m.start(), m.end(), ".") for m in NUMBER_DOT.finditer(s) if m.start() not in taken]
+    return sorted(out)
 
 
 def find(text: str | None) -> tuple[list, list]:
@@ -148,13 +183,11 @@ def find(text: str | None) -> tuple[list, list]:
         m.rewrite(step(m.text))
     if m.text == s:
         return base, base
-    taken = sorted((a, b) for _, a, b in base)
-    extra = []
+    known, extra = set(base), set()
     for k, a, b in detect(m.text):
-        a, b = m.start[a], m.end[b - 1]
-        if not any(x < b and a < y for x, y in taken):
-            extra.append((k, a, b))
-    return base, sorted(base + extra)
+        if 1 in m.new[a:b]:
+            extra.add((k, m.start[a], m.end[b - 1]))
+    return base, sorted(known | extra)
 
 
 SPANS = "array<struct<kind:string,start:int,end:int>>"

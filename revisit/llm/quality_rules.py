@@ -22,6 +22,7 @@ from revisit.llm.common import SPACE, let
 #: Word and punctuation runs, the units of the hashed n-grams.
 TOKEN = r"[\p{L}\p{N}]+|[^\p{L}\p{N}\x20\x09-\x0D]+"
 SYMBOLS = "#*$%&|<>"
+BLANKS = " \t\n\x0b\x0c\r"
 #: Size of the hash space.
 BUCKETS = 1 << 18
 #: Least mean log ratio, in nats per n-gram, of a document that is kept.
@@ -30,12 +31,13 @@ THRESHOLD = -0.5
 MAP_BITS, ROW_BUCKETS = 1 << 20, 1 << 12
 
 
-def _grams(text: Column, buckets: int) -> Column:
-    """Buckets of a text's token unigrams, then of its bigrams."""
-    return let(F.regexp_extract_all(text, F.lit(f"({TOKEN})"), F.lit(1)), lambda t: F.concat(
-        F.transform(t, lambda w: F.pmod(F.xxhash64(w), F.lit(buckets)).cast("int")),
-        F.zip_with(F.slice(t, 1, F.greatest(F.size(t) - 1, F.lit(0))), F.slice(t, 2, F.greatest(F.size(t) - 1, F.lit(0))),
-                   lambda a, b: F.pmod(F.xxhash64(a, b), F.lit(buckets)).cast("int"))))
+def _grams(text: Column) -> Column:
+    """64-bit hashes of a text's token unigrams, then of its bigrams; a token's
+    characters are hashed once, a bigram from the hashes of its tokens."""
+    def both(h: Column) -> Column:
+        rest = F.greatest(F.size(h) - 1, F.lit(0))
+        return F.concat(h, F.zip_with(F.slice(h, 1, rest), F.slice(h, 2, rest), lambda a, b: F.xxhash64(a, b)))
+    return let(F.transform(F.regexp_extract_all(text, F.lit(f"({TOKEN})"), F.lit(1)), lambda w: F.xxhash64(w)), both)
 
 
 def _maybe_trusted(ids: DataFrame) -> Column:
@@ -63,13 +65,14 @@ def count_grams(docs: DataFrame, trusted: DataFrame, id_col: str, text_col: str,
     asked = (rows.where(maybe).join(ids.withColumn("__good", F.lit(1)).hint("merge"), F.col("__doc") == F.col("__id"), "left")
              .select("__text", F.coalesce("__good", F.lit(0)).alias("good")))
     both = rows.where(~maybe).select("__text", F.lit(0).alias("good")).union(asked)
-    return (both.select(F.explode(_grams(F.col("__text"), buckets)).alias("g"), "good")
-            .groupBy("g").agg(F.count("*").alias("raw"), F.sum("good").alias("good")))
+    return (both.select(F.explode(_grams(F.col("__text"))).alias("g"), "good")
+            .groupBy(F.col("g").bitwiseAND(F.lit(buckets - 1)).cast("int").alias("g")).agg(F.count("*").alias("raw"), F.sum("good").alias("good")))
 
 
 def fit_ratio(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_col: str = "text",
               buckets: int = BUCKETS, smoothing: float = 1.0) -> list[float]:
-    """log p_target(bucket) - log p_raw(bucket) for each bucket, to 6 decimals.
+    """log p_target(bucket) - log p_raw(bucket) for each bucket, to 6 decimals;
+    ``buckets`` is a power of two.
 
     The counts are combined map-side; ``buckets`` numbers (a parameter, not the
     data) come to the driver."""
@@ -89,9 +92,9 @@ def fit_ratio(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_
 
 def llr_score(text: Column, weights: list[float]) -> Column:
     """Mean log ratio per n-gram; 0 for a text without tokens."""
-    table = F.split(F.lit(",".join(map(repr, weights))), ",").cast("array<double>")
-    return let(_grams(F.coalesce(text, F.lit("")), len(weights)), lambda g: let(table, lambda w: F.when(
-        F.size(g) > 0, F.aggregate(g, F.lit(0.0), lambda acc, i: acc + F.element_at(w, i + 1)) / F.size(g))
+    table, mask = F.split(F.lit(",".join(map(repr, weights))), ",").cast("array<double>"), F.lit(len(weights) - 1)
+    return let(_grams(F.coalesce(text, F.lit(""))), lambda g: let(table, lambda w: F.when(
+        F.size(g) > 0, F.aggregate(g, F.lit(0.0), lambda acc, h: acc + F.get(w, h.bitwiseAND(mask).cast("int"))) / F.size(g))
         .otherwise(F.lit(0.0))))
 
 
@@ -103,7 +106,8 @@ def base_counts(text: Column) -> Column:
         """Windows meet by a 64-bit hash; most texts have no equal pair, and
         only the others sort their (hash, position) pairs."""
         n = F.greatest(F.size(w) - 2, F.lit(0))
-        wins = F.transform(F.slice(w, 1, n), lambda a, i: F.xxhash64(a, F.get(w, i + 1), F.get(w, i + 2)))
+        wins = let(F.transform(w, lambda x: F.xxhash64(x)), lambda h: F.transform(
+            F.slice(h, 1, n), lambda a, i: F.xxhash64(a, F.get(h, i + 1), F.get(h, i + 2))))
 
         def spread(h: Column) -> Column:
             pairs = F.sort_array(F.transform(h, lambda x, i: F.struct(x.alias("g"), i.alias("i"))))
@@ -115,9 +119,11 @@ def base_counts(text: Column) -> Column:
         return let(wins, lambda h: F.when(F.size(F.array_distinct(h)) == F.size(h), F.lit(0)).otherwise(spread(h)))
 
     lines = F.filter(F.split(text, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
-    return let(F.filter(F.split(text, SPACE + "+"), lambda x: x != ""), lambda w: F.struct(
+    trimmed = F.btrim(text, F.lit(BLANKS))
+    words = F.when(trimmed == "", F.array().cast("array<string>")).otherwise(F.split(trimmed, SPACE + "+"))
+    return let(words, lambda w: F.struct(
         F.size(w).cast("long").alias("n_words"),
-        F.length(F.regexp_replace(text, SPACE, "")).cast("long").alias("word_chars"),
+        F.length(F.translate(text, BLANKS, "")).cast("long").alias("word_chars"),
         (F.length(text) - F.length(F.translate(text, SYMBOLS, ""))).cast("long").alias("n_symbols"),
         let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("n_dup_lines"),
         repeats(w).cast("long").alias("n_repeat_words")))

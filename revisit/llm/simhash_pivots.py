@@ -2,10 +2,11 @@
 
 Fingerprints are 64-bit SimHashes of word shingles.  Equal fingerprints form a
 class; classes meet in blocks of bit fields (``bits`` + 2 fields, of which two
-must agree when at most ``bits`` bits differ).  In a block, a table of Hamming
-distances to fixed reference fingerprints discards every pair whose distance
-vectors differ by more than ``bits`` in some coordinate (the triangle
-inequality), and an exact Hamming distance verifies the survivors.
+must agree when at most ``bits`` bits differ).  The Hamming distances of each
+different fingerprint to fixed reference fingerprints are worked out once and
+travel with it as its row of the distance table.  In a block of any size a pair
+whose rows differ by more than ``bits`` in some coordinate is discarded (the
+triangle inequality), and an exact Hamming distance verifies the survivors.
 
 Null and empty texts have fingerprint 0 and are linked like others.  Repeated
 rows share their class.  Extra columns are ignored.
@@ -20,7 +21,7 @@ import pandas as pd
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
-from revisit.llm.common import staged
+from revisit.llm.common import drop_staged, staged
 from revisit.llm.linking import components, link_blocks
 
 
@@ -47,21 +48,35 @@ def pivots(n: int) -> np.ndarray:
     return np.array([xxhash.xxh64_intdigest(f"pivot {i}", 0) for i in range(n)], dtype=np.uint64)
 
 
-def near_by_pivots(values: list[int], bits: int, n_pivots: int):
-    fp = np.array(values, dtype=np.int64).view(np.uint64)
-    table = np.stack([np.bitwise_count(fp ^ p) for p in pivots(n_pivots)], axis=1).astype(np.int8) if len(fp) > 8 else None
+class near_by_pivots:
+    """``near`` of a block of fingerprints: longs, whose distance table is made
+    here, or rows of ``pivot_rows``.  Counts the pairs that it was asked for,
+    those discarded by the table, and those verified."""
 
-    def near(u: int, rest: np.ndarray) -> np.ndarray:
-        if table is None:
-            return np.bitwise_count(fp[rest] ^ fp[u]) <= bits
-        hit = np.zeros(len(rest), dtype=bool)
+    def __init__(self, values: list, bits: int, n_pivots: int):
+        self.bits, self.asked, self.discarded, self.verified = bits, 0, 0, 0
+        if values and isinstance(values[0], bytes):
+            raw = np.frombuffer(b"".join(values), dtype=np.uint8).reshape(len(values), -1)
+            self.fp, self.table = raw[:, :8].copy().view(">u8")[:, 0].astype(np.uint64), raw[:, 8:].astype(np.int8)
+        else:
+            self.fp = np.array(values, dtype=np.int64).view(np.uint64)
+            self.table = np.stack([np.bitwise_count(self.fp ^ p) for p in pivots(n_pivots)], axis=1).astype(np.int8)
+
+    def __call__(self, u: int, rest: np.ndarray) -> np.ndarray:
         left = np.arange(len(rest))
-        for k in range(0, n_pivots, 4):
-            left = left[(np.abs(table[rest[left], k:k + 4] - table[u, k:k + 4]) <= bits).all(axis=1)]
-        hit[left] = np.bitwise_count(fp[rest[left]] ^ fp[u]) <= bits
+        for k in range(0, self.table.shape[1], 4):
+            left = left[(np.abs(self.table[rest[left], k:k + 4] - self.table[u, k:k + 4]) <= self.bits).all(axis=1)]
+        hit = np.zeros(len(rest), dtype=bool)
+        hit[left] = np.bitwise_count(self.fp[rest[left]] ^ self.fp[u]) <= self.bits
+        self.asked, self.discarded, self.verified = self.asked + len(rest), self.discarded + len(rest) - len(left), self.verified + len(left)
         return hit
 
-    return near
+
+def pivot_rows(fp: Column, n_pivots: int) -> Column:
+    """The 8 bytes of a fingerprint, then one byte a pivot with the distance to it."""
+    signed = [int(np.int64(p.view(np.int64))) for p in pivots(n_pivots)]
+    digits = [F.lpad(F.hex(fp), 16, "0")] + [F.lpad(F.hex(F.bit_count(fp.bitwiseXOR(F.lit(p)))), 2, "0") for p in signed]
+    return F.unhex(F.concat(*digits))
 
 
 def block_keys(fp: Column, bits: int) -> Column:
@@ -79,11 +94,12 @@ def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """(id, fp long, component) for every row of ``docs``; component is the
     smallest id reachable over links of at most ``bits`` differing bits."""
     prints = staged(docs.select(F.col(id_col).alias("id"), fingerprint_column(F.col(text_col), shingle).alias("fp")), "prints")
-    classes = staged(prints.groupBy("fp").agg(F.min("id").alias("rep")), "classes")
-    rows = classes.select(F.explode(block_keys(F.col("fp"), bits)).alias("key"), F.col("fp").alias("node"))
+    classes = staged(prints.groupBy("fp").agg(F.min("id").alias("rep")).withColumn("row", pivot_rows(F.col("fp"), n_pivots)), "classes")
+    rows = classes.select(F.explode(block_keys(F.col("fp"), bits)).alias("key"), F.col("fp").alias("node"), "row")
     several = rows.groupBy("key").agg(F.min("node").alias("x"), F.max("node").alias("y")).where("x <> y").select("key")
-    rows = staged(rows.join(several, "key", "left_semi").withColumn("fp", F.col("node")), "blocks")
-    comp = components(link_blocks(rows, "fp", lambda v: near_by_pivots(v, bits, n_pivots)))
+    rows = staged(rows.join(several, "key", "left_semi"), "blocks")
+    comp = components(link_blocks(rows, "row", lambda v: near_by_pivots(v, bits, n_pivots)))
+    drop_staged(rows)
     group = classes.join(comp, classes["fp"] == comp["node"], "left").withColumn("g", F.coalesce("component", "fp"))
     least = group.groupBy("g").agg(F.min("rep").alias("component_id"))
     label = group.join(least, "g").select("fp", "component_id")

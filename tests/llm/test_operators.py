@@ -81,6 +81,26 @@ def test_hot_block_is_split_and_links_survive(spark):
     assert empty.agg(F.count("*")).first()[0] == 0
 
 
+def test_pivot_rows_discard_pairs_in_blocks_of_any_size(spark):
+    """The column of pivot distances against plain distances; discarded and
+    verified pairs are counted, and no near pair is discarded."""
+    from pyspark.sql import functions as F
+    from revisit.llm.simhash_pivots import near_by_pivots, pivot_rows, pivots
+    r = np.random.default_rng(3)
+    base = r.integers(0, 1 << 63, 40, dtype=np.int64)
+    fps = [int(x) for b in base for x in (b, b ^ 5, -b)]
+    rows = {x["fp"]: x["row"] for x in spark.createDataFrame([(f,) for f in fps], "fp long").select("fp", pivot_rows(F.col("fp"), 16).alias("row")).collect()}
+    for f, row in rows.items():
+        u = np.uint64(f % (1 << 64))
+        assert int.from_bytes(row[:8], "big") == int(u) and list(row[8:]) == [int(u ^ p).bit_count() for p in pivots(16)]
+    for n in (2, 3, len(fps)):
+        near = near_by_pivots([bytes(rows[f]) for f in fps[:n]], 3, 16)
+        for u in range(n):
+            rest = np.arange(n)
+            assert near(u, rest).tolist() == [((fps[u] ^ fps[v]) % (1 << 64)).bit_count() <= 3 for v in rest]
+        assert near.asked == n * n == near.discarded + near.verified and near.discarded >= n * n // 3
+
+
 def test_decontamination_equals_brute_force(spark, texts):
     from revisit.llm.decontaminate import decontaminate, without_spans
     from pyspark.sql import functions as F
@@ -416,6 +436,60 @@ def test_personal_data_base_and_disguises(spark):
         assert spans == cases.get(r["text"], []), r["text"][:50]
 
 
+def test_personal_data_base_equals_the_patterns():
+    """The base detectors against the plain patterns, on made-up texts."""
+    from revisit.llm.pii_offsets import detect, luhn
+    email = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
+    ip, card = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)"), re.compile(r"[0-9]([\x20-]?[0-9])+")
+    phone = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
+    digits = lambda t: [int(c) for c in t if "0" <= c <= "9"]
+    r, pieces = np.random.default_rng(6), ["a", "Z", "@", "@", ".", ".", "-", " ", "+", "(", "1", "25", "255", "256", "4111", "1111", "é", "x.y", "0", "_%"]
+    for _ in range(6000):
+        s = "".join(r.choice(pieces, int(r.integers(1, 25))))
+        want = [(0, *m.span()) for m in email.finditer(s)]
+        want += [(1, *m.span()) for m in ip.finditer(s) if all(int(p) <= 255 for p in m.group().split("."))]
+        for m in card.finditer(s):
+            d = digits(m.group())[::-1]
+            total = sum(d[::2]) + sum(sum(divmod(2 * x, 10)) for x in d[1::2])
+            assert luhn("".join(map(str, d[::-1]))) == (total % 10 == 0)
+            want += [(2, *m.span())] if 16 <= len(d) <= 19 and total % 10 == 0 else []
+        want += [(3, *m.span()) for m in phone.finditer(s) if 8 <= len(digits(m.group())) <= 15]
+        assert sorted(detect(s)) == sorted(want), s
+
+
+def test_personal_data_disguises_map_back():
+    """Each disguise by itself: the source characters of the added span."""
+    from revisit.llm.pii_offsets import find
+    email = ["jоhn@example.com", "joe@mail.example [dot] com", "john [at] example dot com", "john@example dot com", "john at example.com",
+             "john at example dot info", "john (at) example.com", "john [@] example [.] com", "john @ example.com", "a.b at c punkt de",
+             "ana arroba correo punto es", "jean arobase exemple point fr", "ｊoe＠mail．com"]
+    phone = ["+49 170 five 234567", "+49 170 fünf 234567", "+33 six 12 34 56 78", "+34 600 uno dos tres 456", "+49 eins sieben null 2345678"]
+    card = ["4111-1111-1111-111one", "4111 1111 1111 111 uno", "four111 1111 1111 1111"]
+    ip = ["192[.]168[.]1[.]1", "192 dot 168 dot 1 dot 1", "10.0.0(dot)7"]
+    for kind, cases in enumerate((email, ip, card, phone)):
+        for case in cases:
+            for before, after in (("write ", " now"), ("", ""), ("é, ", "!")):
+                s = before + case + after
+                base, spans = find(s)
+                assert set(base) <= set(spans) and (kind, len(before), len(before) + len(case)) in spans, (s, spans)
+    for plain in ("one day at a time", "look at the dot", "nine men at sea", "the dot at 5 dot", "null and one", "meet at noon", "6 of one"):
+        assert find(plain) == ([], []), plain
+    # what is not rewritten is found once
+    assert find("a@b.co оh 1.2.3.4") == ([(0, 0, 6), (1, 10, 17)],) * 2
+
+
+def test_personal_data_time_grows_with_the_text():
+    import time
+    from revisit.llm.pii_offsets import find
+    for piece in ("a@b.co c at d dot com ", "one two ", "1 dot ", "x@", "о"):
+        seconds = []
+        for n in (2000, 16000):
+            start = time.process_time()
+            find(piece * n)
+            seconds.append(time.process_time() - start)
+        assert seconds[1] < 0.3 + 24 * seconds[0], piece
+
+
 def test_main_text(spark):
     from pyspark.sql import functions as F
     from revisit.llm.html_scoring import extract
@@ -432,6 +506,40 @@ def test_main_text(spark):
     assert df.limit(0).select(extract(F.col("html"))).count() == 0
 
 
+def test_main_text_keeps_what_is_article():
+    """Pages on which text used to be lost, or which used to stop the job."""
+    from revisit.llm.html_scoring import main_text
+    long = "A long paragraph, with commas, and more, so that it counts for the score of its container. " * 2
+    t = " ".join(long.split())
+    p = f"<p>{long}</p>"
+    cases = {
+        "<p>x<![foo bar]></p>": "x", f"<![if !IE]>{p}<![endif]>": t, f"<div><![CDATA[a > b]]>{p}</div>": t, "<p>a<![": "a<![",
+        f"<body><form id=aspnet><div>{p}{p}</div></form></body>": f"{t} {t}", f"<body><div>{p}{p}</div><form>{p}</form></body>": f"{t} {t}",
+        f"<html><head><title>x</title><meta a=b><div>{p}</div>": t, f"<html><head><body><div>{p}</div>": t,
+        f"<div class='search-results'><article><h1>T</h1>{p}</article></div>": f"T {t}",
+        f"<div class='search'><p>{long}</p></div><div>{p}{p}{p}</div>": f"{t} {t} {t}",
+        f"<div>{p}<p class='ad-hoc'>kept, too</p></div>": f"{t} kept, too", f"<div><h1 class='page-header'>T</h1>{p}</div>": f"T {t}",
+        f"<div>{p}<p class='ad'>not, this</p></div>": t,
+        f"<body><article>{p}{p}</article><article>{p}</article></body>": f"{t} {t} {t}",
+        f"<body>{long}<p>short</p></body>": f"{t} short", f"<body><div>{long}</div><p>short</p></body>": f"{t} short",
+        f"<div>{p}<!-- a > b --><!--><p>x</p></div>": f"{t} x", f"<div>{p}</div><!-- open {p}": t,
+        f"<div>{p}<script>if (a < b) '<p>no</p>'</script></div>": t, f"<div>{p}<SCRIPT>no</script >{p}</div>": f"{t} {t}", "a < b": "a < b"}
+    for html, want in cases.items():
+        assert main_text(html) == want, html[:60]
+
+
+def test_main_text_time_grows_with_the_page():
+    import time
+    from revisit.llm.html_scoring import main_text
+    for piece in ("<!--", "<a ", "<![", "</", "<p>", "<script>", "&amp", "<div><p>a, b</p>"):
+        seconds = []
+        for n in (4_000, 32_000):
+            start = time.process_time()
+            main_text(piece * n)
+            seconds.append(time.process_time() - start)
+        assert seconds[1] < 0.3 + 24 * seconds[0], piece  # eight times the page; the square would be 64
+
+
 def test_url_rules_and_aliases(spark):
     from revisit.llm.url_aliases import judge_urls
     canon = '<link rel="canonical" href="{}">'
