@@ -11,9 +11,11 @@ copies form one class first; classes linked by verified distances form a group,
 and its first line (least document id, then text hash and line number) is kept.
 
 The keys of a batch of lines are substring hashes from one prefix sum, cut for
-all lines at once.  Keys are shuffled without texts; a pass over the sorted keys
-keeps those that two different lines share, and the texts of those lines alone
-are fetched to verify them.
+all lines at once.  They are shuffled without texts, packed by bucket of the
+key: a row is one batch's keys of a bucket, own segments before probes.  Buckets
+are met one after another, probes that no own segment of the bucket has are
+dropped as they come, and the keys that two different lines share are kept.  The
+texts of those lines alone are fetched to verify them.
 
 Null texts have no lines; blank lines and lines of fewer than ``copy_chars``
 characters (``min_chars`` if null) are never removed; between the two sizes
@@ -25,7 +27,6 @@ null ids, as different ones.  Extra columns pass through.
 from __future__ import annotations
 
 from functools import cache
-from os.path import commonprefix
 
 import numpy as np
 import pyarrow as pa
@@ -36,10 +37,11 @@ from revisit.llm.linking import bounded_broadcast, components, link_blocks
 
 #: One word edit for so many words of a line.
 WORDS_PER_EDIT = 20
-#: Characters whose keys are cut at once, and rows of one key held back at most.
-CHARS, HELD = 2_000_000, 65_536
+#: Characters whose keys are cut at once, keys packed at once, and keys of a bucket held before the shared ones are passed on.
+CHARS, PACKED, HELD = 2_000_000, 4_000_000, 4_000_000
 LOW = np.uint64(0x7FFF_FFFF_FFFF_FFFF)
-OWN = np.uint64(0x8000_0000_0000_0000)
+#: A key's remainder beside its bucket, and the line hash.
+ENTRY = np.dtype([("key", "<u4"), ("node", "<u8")])
 
 
 def word_edits(n: np.ndarray) -> np.ndarray:
@@ -120,10 +122,26 @@ def line_keys(lines: list[str], edits: int):
     return join(0, np.int64), join(1, np.uint64), join(2, bool)
 
 
-def _keyed(edits: int):
-    """Batches (h, line) to (key, v): ``v`` is the low 63 bits of the line hash,
-    with the sign bit for a segment of its own, so that those sort first."""
+def _packed(edits: int, buckets: int):
+    """Batches (h, line) to rows (bucket, probe, packed entries); ``buckets`` is
+    a power of two, the top bits of a key give its bucket."""
+    shift = np.uint64(64 - max(1, buckets.bit_length() - 1))
+
+    def flush(held):
+        key, node, probe = (np.concatenate(x) for x in zip(*held))
+        place = (key >> shift).astype(np.int64) * 2 + probe
+        order = np.argsort(place, kind="stable")
+        entries = np.empty(len(key), dtype=ENTRY)
+        entries["key"], entries["node"] = (key[order] & np.uint64(0xFFFF_FFFF)).astype(np.uint32), node[order]
+        place = place[order]
+        first = np.flatnonzero(np.append(True, place[1:] != place[:-1]))
+        raw, ends = entries.tobytes(), np.append(first[1:], len(place)) * ENTRY.itemsize
+        blobs = [raw[a:b] for a, b in zip((first * ENTRY.itemsize).tolist(), ends.tolist())]
+        return pa.RecordBatch.from_arrays([pa.array(place[first] >> 1), pa.array((place[first] & 1).astype(np.int8)), pa.array(blobs, pa.binary())],
+                                          ["bucket", "probe", "entries"])
+
     def batches(rows):
+        held, n = [], 0
         for b in rows:
             h, first = np.unique(b.column("h").to_numpy(), return_index=True)
             lines = b.column("line").take(pa.array(first)).to_pylist()
@@ -132,60 +150,93 @@ def _keyed(edits: int):
             for at, to in zip(np.append(0, cuts), cuts):
                 if part := lines[at:to]:
                     row, key, probe = line_keys(part, edits)
-                    v = (h[at:to][row].view(np.uint64) & LOW) | np.where(probe, np.uint64(0), OWN)
-                    yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(v.view(np.int64))], ["key", "v"])
+                    if len(key):
+                        held.append((key, h[at:to][row].view(np.uint64) & LOW, probe))
+                        n += len(key)
+                if n >= PACKED:
+                    yield flush(held)
+                    held, n = [], 0
+        if held:
+            yield flush(held)
     return batches
 
 
-def shared_keys(batches):
-    """From rows sorted by (key, v) the (key, node) rows of the keys that an
-    indexed line shares with another line.  A group is renamed to the sum of
-    its mixed nodes, so that groups of the same lines become equal; a group of
-    more than ``HELD`` rows is passed on as it comes, under its own key."""
-    out = lambda key, node: pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(node.view(np.int64))], ["key", "node"])
-    key = v = np.zeros(0, np.uint64)
-    passing = None  # the large group that is being passed on
-
-    def closed(key, v):
-        """Of whole groups."""
-        node, starts = v & LOW, np.flatnonzero(np.append(True, key[1:] != key[:-1]))
-        good = (v[starts] >= OWN) & (np.minimum.reduceat(node, starts) != np.maximum.reduceat(node, starts))
-        keep = np.repeat(good, np.diff(np.append(starts, len(key))))
-        key, node = key[keep], node[keep]
-        order = np.lexsort((node, key))
-        key, node = key[order], node[order]
+class Bucket:
+    """The keys of one bucket: own segments first, then the probes."""
+
+    def __init__(self, number: int):
+        self.number, self.passed = number, np.zeros(0, dtype=np.uint32)
+        self.key, self.node, self.indexed = np.zeros(0, dtype=np.uint32), np.zeros(0, dtype=np.uint64), None
+
+    def take(self, entries: bytes, probe: bool):
+        """Add entries; the rows to pass on at once, if any."""
+        e = np.frombuffer(entries, dtype=ENTRY)
+        key, node = e["key"], e["node"]
+        if probe:
+            if self.indexed is None:
+                self.indexed = np.unique(np.concatenate([self.key, self.passed]))
+            at = np.minimum(np.searchsorted(self.indexed, key), len(self.indexed) - 1)
+            known = self.indexed[at] == key if len(self.indexed) else np.zeros(len(key), dtype=bool)
+            key, node = key[known], node[known]
+        if len(self.passed):
+            late = np.isin(key, self.passed)
+            yield self.out(key[late].astype(np.uint64), node[late])
+            key, node = key[~late], node[~late]
+        self.key, self.node = np.concatenate([self.key, key]), np.concatenate([self.node, node])
+        if len(self.key) > HELD:
+            shared, key, node = self.groups()
+            yield self.out(key[shared].astype(np.uint64), node[shared])
+            self.passed = np.union1d(self.passed, key[shared])
+            self.key, self.node = key[~shared], node[~shared]
+
+    def out(self, key: np.ndarray, node: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array((key + (np.uint64(self.number) << np.uint64(32))).view(np.int64)), pa.array(node.view(np.int64))],
+                                          ["key", "node"])
+
+    def groups(self):
+        """Sorted keys and nodes without repeats, and which keys have several."""
+        order = np.lexsort((self.node, self.key))
+        key, node = self.key[order], self.node[order]
         fresh = np.append(True, (key[1:] != key[:-1]) | (node[1:] != node[:-1]))[:len(key)]
         key, node = key[fresh], node[fresh]
+        _, at, n = np.unique(key, return_inverse=True, return_counts=True)
+        return n[at] > 1, key, node
+
+    def close(self) -> pa.RecordBatch:
+        """The shared keys left.  A group is renamed to the sum of its mixed
+        nodes, so that groups of the same lines become equal."""
+        shared, key, node = self.groups()
+        key, node = key[shared], node[shared]
         if not len(key):
-            return out(key, node)
+            return self.out(key.astype(np.uint64), node)
         starts = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
-        name = np.add.reduceat(mixed(node), starts)
-        return out(np.repeat(name, np.diff(np.append(starts, len(key)))), node)
+        name = np.add.reduceat(mixed(node + np.uint64(Slices.BASE)), starts)
+        return pa.RecordBatch.from_arrays([pa.array(np.repeat(name, np.diff(np.append(starts, len(key)))).view(np.int64)),
+                                           pa.array(node.view(np.int64))], ["key", "node"])
 
+
+def shared_keys(batches):
+    """From packed rows sorted by (bucket, probe) the (key, node) rows of keys
+    that an indexed line shares with another line."""
+    bucket = None
     for b in batches:
-        key = np.concatenate([key, b.column("key").to_numpy().view(np.uint64)])
-        v = np.concatenate([v, b.column("v").to_numpy().view(np.uint64)])
-        if passing is not None and len(key):
-            n = len(key) if key[-1] == passing else int(np.argmax(key != passing))
-            yield out(key[:n], v[:n] & LOW)
-            key, v = key[n:], v[n:]
-            if len(key):
-                passing = None
-        if not len(key):
-            continue
-        last = len(key) - int(np.argmax((key != key[-1])[::-1])) if key[0] != key[-1] else 0
-        if last:
-            yield closed(key[:last], v[:last])
-            key, v = key[last:], v[last:]
-        if len(key) > HELD:
-            if v[0] >= OWN:
-                passing = key[0]
-                yield out(key, v & LOW)
-                key = v = key[:0]
-            else:  # probes alone: nothing is indexed under this key
-                key, v = key[:1], v[:1]
-    if len(key):
-        yield closed(key, v)
+        for number, probe, entries in zip(*[c.to_pylist() for c in b.columns]):
+            if bucket is None or bucket.number != number:
+                if bucket is not None:
+                    yield bucket.close()
+                bucket = Bucket(number)
+            yield from bucket.take(entries, bool(probe))
+    if bucket is not None:
+        yield bucket.close()
+
+
+def _common(x, y) -> int:
+    """Length of the common beginning of two strings or lists."""
+    low, high = 0, min(len(x), len(y))
+    while low < high:
+        middle = (low + high + 1) // 2
+        low, high = (middle, high) if x[low:middle] == y[low:middle] else (low, middle - 1)
+    return low
 
 
 def pair_within(x, y, edits: int) -> bool:
@@ -194,9 +245,9 @@ def pair_within(x, y, edits: int) -> bool:
     diagonals, one integer per error count, moves along the rest."""
     if abs(len(x) - len(y)) > edits:
         return False
-    a = len(commonprefix((x, y)))
+    a = _common(x, y)
     x, y = x[a:], y[a:]
-    b = len(commonprefix((x[::-1], y[::-1])))
+    b = _common(x[::-1], y[::-1])
     x, y = x[:len(x) - b], y[:len(y) - b]
     full = (1 << (2 * edits + 1)) - 1
     spots: dict = {}
@@ -341,8 +392,8 @@ def near_classes(lines: DataFrame, edits: int) -> DataFrame:
     is compared and the other keeps its exact copies alone."""
     spark, low = lines.sparkSession, (1 << 63) - 1
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    keys = lines.select("h", "line").mapInArrow(_keyed(edits), "key long, v long")
-    met = staged(keys.repartition(parts, "key").sortWithinPartitions("key", "v").mapInArrow(shared_keys, "key long, node long")
+    keys = lines.select("h", "line").mapInArrow(_packed(edits, 1 << (4 * parts - 1).bit_length()), "bucket long, probe tinyint, entries binary")
+    met = staged(keys.repartition(parts, "bucket").sortWithinPartitions("bucket", "probe").mapInArrow(shared_keys, "key long, node long")
                  .distinct(), "met-lines")
     nodes = met.select("node").distinct()
     texts = staged(lines.withColumn("node", F.col("h").bitwiseAND(F.lit(low))).join(bounded_broadcast(nodes), "node", "left_semi")
