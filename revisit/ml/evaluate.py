@@ -43,7 +43,7 @@ def _per_score(df: DataFrame, y: str, s: str) -> DataFrame:
 def roc_auc(df: DataFrame, y: str, s: str) -> DataFrame:
     """Exact area under the ROC curve; tied scores count one half.  Null when
     only one class is there."""
-    per = keep_frame(_per_score(df, y, s))  # read by the size check and the scan
+    per = _per_score(df, y, s)
     run = ordered_scan(per, [], [F.col("score").asc()], running=[("neg", "cum_neg")])
     below = F.col("cum_neg") - F.col("neg")
     t = run.agg(F.sum(F.col("pos") * (below + 0.5 * F.col("neg"))).alias("_num"),
@@ -63,10 +63,9 @@ def confusion(df: DataFrame, y: str, p: str) -> DataFrame:
 def roc_points(df: DataFrame, y: str, s: str) -> DataFrame:
     """(threshold, fpr, tpr) at every distinct score, highest first, plus the
     origin (threshold +inf).  Collinear points are kept."""
-    per = keep_frame(_per_score(df, y, s))  # read by the totals, the size check and the scan
-    tot = per.agg(F.sum("pos").alias("P"), F.sum("neg").alias("N"), F.count(F.lit(1)).alias("D")).first()
-    run = ordered_scan(per, [], [F.col("score").desc()],
-                       running=[("pos", "cum_pos"), ("neg", "cum_neg")], largest=tot["D"])
+    per = keep_frame(_per_score(df, y, s))  # read by the totals and the scan
+    tot = per.agg(F.sum("pos").alias("P"), F.sum("neg").alias("N")).first()
+    run = ordered_scan(per, [], [F.col("score").desc()], running=[("pos", "cum_pos"), ("neg", "cum_neg")])
     P, N = float(tot["P"] or 0), float(tot["N"] or 0)
     pts = run.select(F.col("score").alias("threshold"),
                      F.try_divide("cum_neg", F.lit(N)).alias("fpr"), F.try_divide("cum_pos", F.lit(P)).alias("tpr"))
@@ -112,6 +111,41 @@ def tree_nodes(spark, model_path: str) -> DataFrame:
     return data.select(F.lit(0).alias("treeID"), "*")
 
 
+def splits(nodes: DataFrame, names: Sequence[str]) -> DataFrame:
+    """The split of each inner node, spelled out: feature name, threshold (left:
+    at most it) or the categories that go left, and the two conditions as SQL."""
+    split = F.col("split")
+    lookup = F.array(*[F.lit(n) for n in names])
+    inner = nodes.where("leftChild >= 0")
+    feature = F.element_at(lookup, split["featureIndex"] + 1)
+    number = lambda c: F.concat(c.cast("string"), F.lit("D"))
+    continuous = split["numCategories"] < 0
+    cut = F.when(continuous, split["leftCategoriesOrThreshold"][0])
+    listed = F.when(~continuous, split["leftCategoriesOrThreshold"])
+    among = F.concat(F.lit(" IN ("), F.array_join(F.transform(listed, number), ", "), F.lit(")"))
+    quoted = F.concat(F.lit("`"), F.replace(feature, F.lit("`"), F.lit("``")), F.lit("`"))
+    left = F.when(continuous, F.concat(quoted, F.lit(" <= "), number(cut))).otherwise(F.concat(quoted, among))
+    right = F.when(continuous, F.concat(quoted, F.lit(" > "), number(cut))).otherwise(F.concat(F.lit("NOT "), quoted, among))
+    return inner.select("treeID", "id", feature.alias("feature"), cut.alias("threshold"), listed.alias("left_categories"), "gain",
+                        "leftChild", "rightChild", left.alias("left_rule"), right.alias("right_rule"))
+
+
+def leaf_rules(nodes: DataFrame, names: Sequence[str]) -> DataFrame:
+    """(treeID, id, prediction, depth, rule): the conditions from the root to
+    each leaf as one SQL condition, by a recursive query over parent and child."""
+    cut = splits(nodes, names)
+    step = cut.select("treeID", F.col("leftChild").alias("child"), F.col("id").alias("parent"), F.col("left_rule").alias("rule")).unionByName(
+        cut.select("treeID", F.col("rightChild").alias("child"), F.col("id").alias("parent"), F.col("right_rule").alias("rule")))
+    return nodes.sparkSession.sql("""
+        WITH RECURSIVE walk(treeID, id, depth, rule) AS (
+          SELECT DISTINCT treeID, 0, 0, '' FROM {nodes}
+          UNION ALL
+          SELECT w.treeID, s.child, w.depth + 1, CASE WHEN w.rule = '' THEN s.rule ELSE concat(w.rule, ' AND ', s.rule) END
+          FROM walk w JOIN {step} s ON w.treeID = s.treeID AND w.id = s.parent)
+        SELECT w.treeID, w.id, n.prediction, w.depth, CASE WHEN w.rule = '' THEN 'true' ELSE w.rule END AS rule
+        FROM walk w JOIN {nodes} n ON w.treeID = n.treeID AND w.id = n.id WHERE n.leftChild < 0""", nodes=nodes, step=step)
+
+
 def soft_vote(scores: DataFrame, weights: dict[str, float], threshold: float = 0.5) -> DataFrame:
     """Weighted mean of class-1 probabilities held in the named columns
     (rows already aligned by key); class = mean ≥ threshold."""

@@ -3,27 +3,25 @@
 ``Window.partitionBy(entity)`` sends every row of an entity to one task.  If a
 single entity (or a label with two values, or a global order) holds a third of
 the data, that task holds a third of the data.  ``ordered_scan`` computes the
-same results without that hot task:
+same results in one way at every size, as a prefix scan over range chunks:
 
 1. ``repartitionByRange(keys, order)`` cuts the data into contiguous, roughly
    equal chunks of the total order; a hot key spans several chunks.
-2. Inside each (key, chunk) the window functions run locally.
-3. A per-(key, chunk) stats table (row count, first values, totals) is small:
-   one row per key plus one per chunk boundary.  A window over it, partitioned
-   by key, yields each chunk's offset and the first values of the next chunk.
-4. Joining the stats back turns local results into global ones.
-
-Steps 2 and 3 are two plan branches over the chunked data.  Each branch would
-run its own range exchange, and Spark samples range bounds with a seed taken
-from the RDD id, so the two could cut different chunks.  The chunked data is
-therefore persisted once (memory, spilling to disk) and both branches read
-that copy; after an executor loss the lost blocks are recomputed from the same
-shuffle dependency, i.e. with the same bounds.
-
-The join back is on (key, chunk), which is spread evenly even for a hot key.
-When the largest group is known to be small (one cheap partial aggregate
-checks it against ``max_group_rows``) the plain window is used instead: no
-task can then hold more than that many rows of one group.
+2. Window functions run inside each (key, chunk).
+3. Only the first and the last key of a chunk can go on in another one.  Their
+   counts, first values and totals, at most two rows a chunk, give each of them
+   its offset and the first row that follows; those rows are broadcast and
+   added to the local results.
+
+No row count is taken first, no task holds a group, and what is broadcast is
+bounded by twice the number of chunks.
+
+The ends of the chunks and the windows are two plan branches over the chunked
+data.  Each branch would run its own range exchange, and Spark samples range
+bounds with a seed taken from the RDD id, so the two could cut different chunks.
+The chunked data is therefore persisted once (memory, spilling to disk) and both
+branches read that copy; after an executor loss the lost blocks are recomputed
+from the same shuffle dependency, i.e. with the same bounds.
 The order passed in must be total within a key (end it with a unique id) for
 the result to be deterministic.
 """
@@ -44,66 +42,23 @@ def _as_col(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
-def _chunks(df: DataFrame, n: int | None) -> int:
-    if n:
-        return n
-    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
-
-
-# Largest group one task may hold for the plain window (rows).  Above it the
-# chunked path splits the group; below it the plain window is cheaper.
-MAX_GROUP_ROWS = 2_000_000
-
-
-def largest_group(df: DataFrame, keys: Sequence[str]) -> int:
-    """Row count of the largest key group: a partial aggregate over the key
-    columns only (map-side combined, so a hot key costs nothing extra)."""
-    if not keys:
-        return df.count()
-    row = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).agg(F.max("_n")).first()
-    return int(row[0] or 0)
-
-
-def _plain(df, keys, order, rn, leads, has_next, running) -> DataFrame:
-    w = Window.partitionBy(*keys).orderBy(*order)
-    upto = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    out = [F.col(c) for c in df.columns]
-    if rn:
-        out.append(F.row_number().over(w).cast("long").alias(rn))
-    out += [F.lead(c).over(w).alias(name) for c, name in leads]
-    if has_next:
-        out.append(F.lead(F.lit(1)).over(w).isNotNull().alias(has_next))
-    out += [F.sum(c).over(upto).alias(name) for c, name in running]
-    return df.select(*out)
-
-
 def ordered_scan(df: DataFrame, keys: Sequence[str], order: Sequence,
                  rn: str | None = None,
                  leads: Sequence[tuple[str, str]] = (),
                  has_next: str | None = None,
                  running: Sequence[tuple[str, str]] = (),
-                 chunks: int | None = None,
-                 max_group_rows: int | None = None,
-                 largest: int | None = None) -> DataFrame:
+                 chunks: int | None = None) -> DataFrame:
     """Add window results computed over ``keys`` ordered by ``order``.
 
     rn        name for the 1-based position within the key (long)
     leads     (column, output) pairs: value of ``column`` on the next row
     has_next  name for a boolean: a next row exists within the key
     running   (column, output) pairs: inclusive running sum of ``column``
-
-    The largest group is measured first; if it holds at most
-    ``max_group_rows`` rows (default ``MAX_GROUP_ROWS``) the plain window runs
-    (one shuffle on the key).  Otherwise - or when ``chunks`` is given - the
-    chunked path splits every group over range chunks.  ``largest`` passes a
-    largest-group size the caller already knows (saves the measuring job).
+    chunks    number of range chunks, else the session's shuffle partitions
     """
     keys = list(keys)
     order = [_as_col(c) for c in order]
-    bound = MAX_GROUP_ROWS if max_group_rows is None else max_group_rows
-    if chunks is None and (largest if largest is not None else largest_group(df, keys)) <= bound:
-        return _plain(df, keys, order, rn, leads, has_next, running)
-    n = _chunks(df, chunks)
+    n = chunks or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
     ranged = keep(df.repartitionByRange(n, *[F.col(k) for k in keys], *order).withColumn(
         _CHUNK, F.spark_partition_id()))
 
@@ -114,36 +69,38 @@ def ordered_scan(df: DataFrame, keys: Sequence[str], order: Sequence,
         local = local.withColumn(f"_lead_{c}", F.lead(c).over(w))
     for c, _ in running:
         local = local.withColumn(f"_run_{c}", F.sum(c).over(upto))
-
+    if leads or has_next:
+        local = local.withColumn("_at_end", F.lead(F.lit(1)).over(w).isNull())
+
+    # the keys at the two ends of each chunk, and what they hold there
+    same = lambda a, b: [a[k].eqNullSafe(b[f"_k_{k}"]) for k in keys] + [a[_CHUNK] == b["_k_chunk"]]
+    named = [F.col(f"_key.{k}").alias(f"_k_{k}") for k in keys]
+    key = F.struct(*[F.col(k) for k in keys]) if keys else F.struct(F.lit(0).alias("_all"))
+    ends = ranged.groupBy(F.col(_CHUNK).alias("_k_chunk")).agg(F.min(key).alias("_low"), F.max(key).alias("_high"))
+    ends = ends.select("_k_chunk", F.explode(F.array_distinct(F.array("_low", "_high"))).alias("_key")).select("_k_chunk", *named)
     aggs = [F.count(F.lit(1)).alias("_cnt")]
     aggs += [F.min_by(c, "_lrn").alias(f"_first_{c}") for c, _ in leads]
     aggs += [F.sum(c).alias(f"_tot_{c}") for c, _ in running]
-    stats = local.groupBy(*keys, _CHUNK).agg(*aggs)
+    held = local.join(F.broadcast(ends), same(local, ends), "left_semi").groupBy(*keys, _CHUNK).agg(*aggs)
     sw = Window.partitionBy(*keys).orderBy(_CHUNK)
     before = sw.rowsBetween(Window.unboundedPreceding, -1)
-    stats = stats.select(
+    stats = held.select(
         *[F.col(k).alias(f"_k_{k}") for k in keys],
         F.col(_CHUNK).alias("_k_chunk"),
-        "_cnt",
-        F.coalesce(F.sum("_cnt").over(before), F.lit(0)).alias("_off"),
+        F.sum("_cnt").over(before).alias("_off"),
         F.lead(_CHUNK).over(sw).alias("_next_chunk"),
         *[F.lead(f"_first_{c}").over(sw).alias(f"_nfirst_{c}") for c, _ in leads],
-        *[F.coalesce(F.sum(f"_tot_{c}").over(before), F.lit(0)).alias(f"_roff_{c}")
-          for c, _ in running],
+        *[F.sum(f"_tot_{c}").over(before).alias(f"_roff_{c}") for c, _ in running],
     )
+    j = local.join(F.broadcast(stats), same(local, stats), "left")
 
-    cond = [local[k].eqNullSafe(stats[f"_k_{k}"]) for k in keys]
-    cond.append(local[_CHUNK] == stats["_k_chunk"])
-    j = local.join(stats, cond, "inner")
-
-    at_end = F.col("_lrn") == F.col("_cnt")
     out = [F.col(c) for c in df.columns]
     if rn:
-        out.append((F.col("_lrn") + F.col("_off")).cast("long").alias(rn))
+        out.append((F.col("_lrn") + F.coalesce("_off", F.lit(0))).cast("long").alias(rn))
     for c, name in leads:
-        out.append(F.when(at_end, F.col(f"_nfirst_{c}")).otherwise(F.col(f"_lead_{c}")).alias(name))
+        out.append(F.when(F.col("_at_end"), F.col(f"_nfirst_{c}")).otherwise(F.col(f"_lead_{c}")).alias(name))
     if has_next:
-        out.append(F.when(at_end, F.col("_next_chunk").isNotNull()).otherwise(F.lit(True)).alias(has_next))
+        out.append((~F.col("_at_end") | F.col("_next_chunk").isNotNull()).alias(has_next))
     for c, name in running:
-        out.append((F.col(f"_run_{c}") + F.col(f"_roff_{c}")).alias(name))
+        out.append((F.col(f"_run_{c}") + F.coalesce(f"_roff_{c}", F.lit(0))).alias(name))
     return j.select(*out)

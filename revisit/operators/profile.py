@@ -138,10 +138,9 @@ def exact_quantiles(df: DataFrame, c: str, probs: Sequence[float]) -> list[float
     count over the sorted distinct values comes from ``ordered_scan``, and only
     the rows holding the needed order statistics are fetched."""
     vals = keep(df.where(F.col(c).isNotNull()).groupBy(F.col(c).cast("double").alias("v")).agg(
-        F.count(F.lit(1)).alias("n")))  # read by the size check, the total and the scan
-    tot = vals.agg(F.sum("n"), F.count(F.lit(1))).first()
-    total = tot[0]
-    run = ordered_scan(vals, [], [F.col("v").asc()], running=[("n", "cum")], largest=tot[1])
+        F.count(F.lit(1)).alias("n")))  # read by the total and the scan
+    total = vals.agg(F.sum("n")).first()[0]
+    run = ordered_scan(vals, [], [F.col("v").asc()], running=[("n", "cum")])
     if not total:
         return [None for _ in probs]
     wanted = set()

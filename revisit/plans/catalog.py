@@ -535,7 +535,8 @@ def q_variance(spark, d):
     return P.variances(_b(spark, d, "lineitem"), _NUM).withColumn("variance", r6("variance"))
 
 
-_CATS = ["ADMISSION_TYPE", "INSURANCE", "GENDER", "RELIGION"]
+_CATS = ["ADMISSION_TYPE", "ADMISSION_LOCATION", "DISCHARGE_LOCATION", "INSURANCE", "RELIGION", "MARITAL_STATUS", "ETHNICITY",
+         "GENDER", "LAST_CAREUNIT"]
 
 
 @query("category_by_label_counts", "\nUNION ALL ".join(

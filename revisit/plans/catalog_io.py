@@ -108,7 +108,10 @@ def q_stream(spark, d):
     test = split.where("is_test = 1")
     feats = [f"e{i}" for i in range(64)]
     records = test.select("vec_id", *[F.col("embedding")[i].cast("double").alias(f"e{i}") for i in range(64)])
-    in_dir = IO.write_json(records, IO.scratch_path(spark, "stream-in"))
+    in_dir = IO.scratch_path(spark, "stream-in")
+    # posted as the clients do: arrays of a few records, dumped to a JSON string once more
+    posted = records.groupBy(F.expr("vec_id div 100")).agg(F.to_json(F.collect_list(F.struct(*records.columns))).alias("p"))
+    posted.select(IO.dump_json_string(F.col("p"))).write.text(in_dir)
     # the served model takes named columns: assemble them in front of the forest
     served_model = PipelineModel(stages=[VectorAssembler(inputCols=feats, outputCol="features"),
                                          *model.stages])

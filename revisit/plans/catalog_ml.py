@@ -7,12 +7,24 @@ given-score evaluation data (y = purchase, score = floor(value)).
 
 from __future__ import annotations
 
+import uuid
+
+from pyspark.ml import Pipeline
+from pyspark.ml.feature import PCA, VectorAssembler
 from pyspark.ml.functions import vector_to_array
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from revisit.ml import booster as BO
 from revisit.ml import evaluate as EV
 from revisit.ml import features as FE
+from revisit.ml import gradient as GR
+from revisit.ml import lasso as LA
 from revisit.ml import models as M
+from revisit.ml import sparse as SP
+from revisit.ml import stages as SG
+from revisit.ml.svm_smote import svm_smote
+from revisit.operators import joins as J
 from revisit.operators import profile as P
 from revisit.plans import cohort as C
 from revisit.plans.catalog import _b, query, r6
@@ -50,10 +62,16 @@ r AS (SELECT vec_id, y,
 
 # ------------------------------------------------------------------ 2.9 features
 
+def _numbered(prefix, n):
+    return [f"{prefix}{i}" for i in range(n)]
+
+
+#: The nine category columns and the values that the bound tables hold.
 _ONE_HOT = {
     "ADMISSION_TYPE": ["1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW"],
-    "INSURANCE": ["F", "O", "P"],
-    "GENDER": ["F", "M"],
+    "ADMISSION_LOCATION": _numbered("LOC", 6), "DISCHARGE_LOCATION": _numbered("DIS", 9), "INSURANCE": ["F", "O", "P"],
+    "RELIGION": _numbered("REL", 5), "MARITAL_STATUS": _numbered("MAR", 4), "ETHNICITY": _numbered("ETH", 8),
+    "GENDER": ["F", "M"], "LAST_CAREUNIT": ["UFA", "UFN", "UFR", "UOA", "UON", "UOR"],
 }
 
 
@@ -81,21 +99,18 @@ def q_assemble(spark, d):
     return v.select("HADM_ID", _rounded_array("features").alias("features"))
 
 
-def _code_vector_sql():
-    from revisit.plans.catalog import ICD_VOCAB
-    cells = ", ".join(f"CAST(COUNT(*) FILTER (WHERE ICD9_CODE = '{v}') AS DOUBLE)" for v in ICD_VOCAB)
-    return f"""
-SELECT HADM_ID, [{cells}] AS codes
-FROM diagnoses WHERE ICD9_CODE IS NOT NULL AND HADM_ID IN (SELECT HADM_ID FROM gaps)
-GROUP BY HADM_ID"""
-
-
-@query("crosstab_vector", _code_vector_sql(), "diagnoses", "gaps")
+@query("crosstab_vector", """
+WITH vocabulary AS (SELECT v, CAST(ROW_NUMBER() OVER (ORDER BY v) - 1 AS INTEGER) AS i FROM (
+       SELECT DISTINCT ICD9_CODE AS v FROM diagnoses WHERE ICD9_CODE IS NOT NULL)),
+counts AS (SELECT HADM_ID, i, CAST(COUNT(*) AS DOUBLE) AS n FROM diagnoses JOIN vocabulary ON ICD9_CODE = v
+           WHERE HADM_ID IN (SELECT HADM_ID FROM gaps) GROUP BY HADM_ID, i)
+SELECT HADM_ID, (SELECT CAST(COUNT(*) AS INTEGER) FROM vocabulary) AS size, list(i ORDER BY i) AS indices, list(n ORDER BY i) AS counts
+FROM counts GROUP BY HADM_ID""", "diagnoses", "gaps")
 def q_crosstab_vector(spark, d):
-    from revisit.plans.catalog import ICD_VOCAB, _code_matrix
-    m = _code_matrix(spark, d, ICD_VOCAB)
-    v = FE.assemble(m, exclude=["HADM_ID"], output="codes")
-    return v.select("HADM_ID", _rounded_array("codes").alias("codes"))
+    codes = _b(spark, d, "diagnoses")
+    mine = J.semi(codes, C.readmission_gaps(spark, d).select("HADM_ID"), "HADM_ID")
+    v = SP.count_vectors(mine, "HADM_ID", "ICD9_CODE", SP.fit_vocabulary(codes, "ICD9_CODE"))
+    return v.select("HADM_ID", *SP.unpacked("codes"))
 
 
 @query("stratified_split", _SPLIT_SQL + """
@@ -123,112 +138,150 @@ def q_split_replay(spark, d):
 _NUM = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
 
 
-@query("variance_filter", "\nUNION ALL ".join(
-    f"SELECT '{c}' AS \"column\", ROUND(VAR_POP({c}), 6) AS variance, VAR_POP({c}) > 0.001 AS kept FROM lineitem"
-    for c in _NUM))
-def q_variance_filter(spark, d):
-    li = _b(spark, d, "lineitem")
-    kept = set(FE.variance_filter(li, _NUM, 0.001))
-    v = P.variances(li, _NUM)
-    return v.select("column", r6("variance").alias("variance"), F.col("column").isin(list(kept)).alias("kept"))
+_MEASURED = ", ".join(f"{c} AS x{i}" for i, c in enumerate(_NUM))
 
 
-@query("standardize", """
-WITH s AS (SELECT AVG(l_quantity) AS mq, STDDEV_POP(l_quantity) AS sq,
-                  AVG(l_discount) AS md, STDDEV_POP(l_discount) AS sd FROM lineitem)
+@query("variance_filter", f"""
+WITH x AS (SELECT l_orderkey, l_linenumber, l_partkey, {_MEASURED} FROM lineitem),
+v AS (SELECT {", ".join(f"VAR_POP(x{i}) > 0.001 AS k{i}" for i in range(len(_NUM)))} FROM x WHERE l_orderkey % 4 <> 0)
 SELECT l_orderkey, l_linenumber, l_partkey,
-       ROUND(CASE WHEN sq = 0 THEN 0 ELSE (l_quantity - mq) / sq END, 6) AS l_quantity,
-       ROUND(CASE WHEN sd = 0 THEN 0 ELSE (l_discount - md) / sd END, 6) AS l_discount
-FROM lineitem, s""")
+       list_filter([{", ".join(f"CASE WHEN k{i} THEN ROUND(x{i}, 6) END" for i in range(len(_NUM)))}], lambda e: e IS NOT NULL) AS kept
+FROM x, v WHERE l_orderkey % 4 = 0""")
+def q_variance_filter(spark, d):
+    """Fitted on three quarters of the orders, applied to the others."""
+    key = ["l_orderkey", "l_linenumber", "l_partkey"]
+    x = VectorAssembler(inputCols=_NUM, outputCol="features").transform(_b(spark, d, "lineitem").select(*key, *_NUM))
+    model = SG.VarianceFilter("features", "kept", 0.001).fit(x.where("l_orderkey % 4 <> 0"))
+    return model.transform(x.where("l_orderkey % 4 = 0")).select(*key, _rounded_array("kept").alias("kept"))
+
+
+@query("standardize", _SPLIT_SQL + """,
+t AS (SELECT vec_id, CAST(rn <= ROUND(n * 0.25) AS INTEGER) AS is_test FROM r),
+x AS (SELECT vec_id, CAST(UNNEST(embedding) AS DOUBLE) AS v, generate_subscripts(embedding, 1) AS i FROM embeddings),
+s AS (SELECT i, AVG(v) AS m, STDDEV_POP(v) AS sd FROM x JOIN t USING (vec_id) WHERE is_test = 0 GROUP BY i)
+SELECT vec_id, is_test, list(ROUND(CASE WHEN sd = 0 THEN 0 ELSE (v - m) / sd END, 6) ORDER BY i) AS scaled
+FROM x JOIN s USING (i) JOIN t USING (vec_id) GROUP BY vec_id, is_test""")
 def q_standardize(spark, d):
-    li = _b(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_quantity", "l_discount")
-    fit = FE.fit_standardizer(li, ["l_quantity", "l_discount"])
-    z = FE.standardize(li, fit)
-    return z.select("l_orderkey", "l_linenumber", "l_partkey", r6("l_quantity").alias("l_quantity"),
-                    r6("l_discount").alias("l_discount"))
+    """Means and deviations of the training rows, applied to all."""
+    split = keep(_split(spark, d))
+    model = SG.PopulationScaler("features", "scaled").fit(split.where("is_test = 0"))
+    return model.transform(split).select("vec_id", "is_test", _rounded_array("scaled").alias("scaled"))
+
 
+def _projected(spark, d, *stages):
+    """All rows through scaling and ``stages``, fitted on the training rows."""
+    split = keep(_split(spark, d))
+    model = Pipeline(stages=[SG.PopulationScaler("features", "scaled"), *stages]).fit(split.where("is_test = 0"))
+    return model, model.transform(split)
 
-def _scaled(spark, d):
-    e = _emb(spark, d)
-    mean, std, _ = FE.vector_stats(e)
-    return FE.standardize_vector(e, mean, std)
+
+_PCA = dict(k=8, inputCol="scaled", outputCol="pca")
 
 
 @query("pca_project")
 def q_pca(spark, d):
-    s = _scaled(spark, d)
-    model = FE.fit_pca(s, 8)
-    return model.transform(s).select("vec_id", vector_to_array("pca").alias("pca"))
+    _, out = _projected(spark, d, PCA(**_PCA))
+    return out.select("vec_id", "is_test", vector_to_array("pca").alias("pca"))
 
 
 @query("cumulative_share")
 def q_cum_share(spark, d):
-    s = _scaled(spark, d)
-    return FE.explained_share(spark, FE.fit_pca(s, 8))
+    """The shares fall, and add up to at most 1; a row that breaks this fails."""
+    model, _ = _projected(spark, d, PCA(**_PCA))
+    shares = FE.explained_share(spark, model.stages[-1])
+    order = Window.orderBy("component")  # one row a component
+    sound = (F.col("share") >= F.lead("share", 1, 0.0).over(order)) & (F.col("cumulative") <= 1.0 + 1e-9)
+    return shares.withColumn("share", F.when(sound, F.col("share")).otherwise(F.raise_error(F.lit("shares are not in order")).cast("double")))
 
 
 @query("fisher_discriminant")
 def q_lda(spark, d):
-    e = _emb(spark, d)
-    fit = FE.fit_discriminant(e, "y")
-    return FE.project(e, fit["w"]).select("vec_id", "y", "lda")
+    _, out = _projected(spark, d, SG.FisherDiscriminant("scaled", "lda", "label"))
+    return out.select("vec_id", "y", "is_test", vector_to_array("lda")[0].alias("lda"))
 
 
 @query("oversample_minority")
 def q_smote(spark, d):
     e = _emb(spark, d, positive="label = 0").select("vec_id", "y", "features")
-    out = FE.smote(e, "vec_id", "y", "features", minority=1, k=5, seed=SEED)
+    out = svm_smote(e, "vec_id", "y", "features", minority=1, seed=SEED)
     return out.select("vec_id", "y", "synthetic", vector_to_array("features").alias("features"))
 
 
-def _rf_model(spark, d, trees=50):
-    train = _split(spark, d).where("is_test = 0")
-    return M.random_forest(trees=trees, depth=6, max_features=8).fit(train)
+_SLOTS = [f"e{i}" for i in range(64)]
+
+
+def _forest(trees=M.RF_CHOSEN["numTrees"]):
+    return M.random_forest(trees=trees, depth=M.RF_CHOSEN["maxDepth"], impurity=M.RF_CHOSEN["impurity"],
+                           max_features=M.RF_CHOSEN["featureSubsetStrategy"])
+
+
+def _boosting():
+    return M.gradient_boosting(trees=M.GBT_CHOSEN["maxIter"], depth=M.GBT_CHOSEN["maxDepth"])
+
+
+def _folded(spark, d):
+    """Training rows with their fold, and the test rows."""
+    split = keep(_split(spark, d))
+    return keep(FE.fold_column(split.where("is_test = 0"), "vec_id", "y", M.CV_FOLDS, SEED)), split.where("is_test = 1")
 
 
 @query("select_features")
 def q_select_features(spark, d):
-    model = _rf_model(spark, d)
-    imp = model.featureImportances.toArray()
-    top = sorted(range(len(imp)), key=lambda i: (-imp[i], i))[:16]
-    e = _b(spark, d, "embeddings")
-    return FE.select_features(e, [F.col("embedding")[i].alias(f"e{i}") for i in top], keep=["vec_id"])
+    """The slots, by name, that the forest, boosting or Lasso use on the
+    training rows; every row's vector of them."""
+    from revisit.plans.compare import Settings, choose_features
+    train, _ = _folded(spark, d)
+    names = choose_features(SP.with_names(train, "features", _SLOTS), Settings(), "features")
+    every = SP.with_names(_emb(spark, d), "features", _SLOTS)
+    return SP.keep_slots(every, "features", names["union"], "kept").select(
+        "vec_id", F.lit(",".join(names["union"])).alias("names"), vector_to_array("kept").alias("features"))
 
 
 # ------------------------------------------------------------------ 2.10 models
 
 
 def _fit_score(spark, d, est, positive="label < 5"):
-    split = _split(spark, d, positive)
+    split = keep(_split(spark, d, positive))
     model = est.fit(split.where("is_test = 0"))
     return EV.score_batch(model, split.where("is_test = 1"), keep=["vec_id", "y"])
 
 
 @query("train_random_forest")
 def q_rf(spark, d):
-    return _fit_score(spark, d, M.random_forest(trees=100, depth=8, max_features=8))
+    return _fit_score(spark, d, _forest())
 
 
 @query("train_gradient_boosting")
 def q_gbt(spark, d):
-    return _fit_score(spark, d, M.gradient_boosting(trees=30, depth=3))
+    return _fit_score(spark, d, _boosting())
 
 
 @query("train_boosted_shallow")
 def q_gbt_shallow(spark, d):
-    return _fit_score(spark, d, M.boosted_shallow(trees=30))
+    """Second-order boosting at the chosen settings."""
+    split = keep(_split(spark, d))
+    c = M.BOOSTER_CHOSEN
+    model = BO.fit_booster(split.where("is_test = 0"), trees=c["maxIter"], depth=c["maxDepth"], rate=c["stepSize"])
+    return BO.score_booster(split.where("is_test = 1"), model, ["vec_id", "y"])
 
 
 @query("train_mlp")
 def q_mlp(spark, d):
-    return _fit_score(spark, d, M.perceptron(64, (20, 2), max_iter=100))
+    """Both hidden layouts, cross-validated."""
+    train, test = _folded(spark, d)
+    cv = M.grid_search(train, M.perceptron(64), M.mlp_grid(64), fold_col="fold", folds=M.CV_FOLDS, parallelism=8)
+    return EV.score_batch(cv.bestModel, test, keep=["vec_id", "y"])
 
 
 @query("train_linear_sgd")
 def q_sgd(spark, d):
-    split = M.class_weights(_split(spark, d), "y")
-    model = M.linear_sgd("log", "elasticnet", 1e-3, weight="weight").fit(split.where("is_test = 0"))
-    return EV.score_batch(model, split.where("is_test = 1"), keep=["vec_id", "y"])
+    """Log and modified Huber loss, three penalties, every strength,
+    cross-validated on balanced rows."""
+    train, test = _folded(spark, d)
+    grid = {"loss": ["log", "modified_huber"], "penalty": ["l1", "l2", "elasticnet"], "alpha": M.STRENGTHS}
+    fit, _ = GR.search(M.class_weights(train, "y"), grid, "fold", weight="weight", steps=100)
+    return GR.decision(test, fit).select("vec_id", "y", (F.col("margin") > 0).cast("int").alias("prediction"),
+                                         GR.probability("margin", fit.config.loss).alias("p1"))
 
 
 @query("class_weights", """
@@ -243,34 +296,37 @@ def q_class_weights(spark, d):
 
 @query("train_lasso")
 def q_lasso(spark, d):
-    split = _split(spark, d)
-    model = M.lasso(1e-3).fit(split.where("is_test = 0"))
-    return model.transform(split.where("is_test = 1")).select("vec_id", "y", F.col("prediction").alias("score"))
+    train, test = _folded(spark, d)
+    return LA.predict(test, LA.fit_lasso(train, "fold")).select("vec_id", "y", "score")
 
 
 @query("train_logistic")
 def q_logistic(spark, d):
-    split = _split(spark, d)
-    n = split.where("is_test = 0").count()
-    return _fit_score(spark, d, M.logistic(C=1.0, n_rows=n))
+    """Every strength C, cross-validated; alpha = 1 / (C n)."""
+    train, test = _folded(spark, d)
+    n = train.count()
+    fit, _ = GR.search(train, {"loss": ["log"], "penalty": ["l2"], "alpha": [1.0 / (c * n) for c in M.STRENGTHS]}, "fold", steps=200)
+    out = GR.decision(test, fit).withColumn("p1", GR.probability("margin", "log"))
+    return out.select("vec_id", "y", (F.col("p1") >= 0.5).cast("int").alias("prediction"), "p1")
 
 
 @query("grid_search_cv")
 def q_grid(spark, d):
-    train = FE.fold_column(_split(spark, d).where("is_test = 0"), "vec_id", "y", 3, SEED)
-    cv = M.grid_search(train, M.random_forest(trees=20, max_features=8),
-                       {"maxDepth": [3, 6], "numTrees": [10, 20]}, fold_col="fold", folds=3)
+    """Corner points of the forest grid, all folds."""
+    train, _ = _folded(spark, d)
+    grid = {"maxDepth": [M.RF_GRID["maxDepth"][0], M.RF_GRID["maxDepth"][-1]], "numTrees": M.RF_GRID["numTrees"][:2],
+            "impurity": M.RF_GRID["impurity"]}
+    cv = M.grid_search(train, _forest(), grid, fold_col="fold", folds=M.CV_FOLDS, parallelism=8)
     best = M.best_params(cv)
     return spark.createDataFrame([(k, str(v)) for k, v in best.items()], "param string, value string")
 
 
 @query("stack_models")
 def q_stack(spark, d):
-    split = _split(spark, d)
-    model = M.stack(split.where("is_test = 0"), {
-        "rf": M.random_forest(trees=30, depth=6, max_features=8),
-        "gb": M.gradient_boosting(trees=20),
-        "xb": M.boosted_shallow(trees=20)})
+    split = keep(_split(spark, d))
+    c = M.BOOSTER_CHOSEN
+    model = M.stack(split.where("is_test = 0"), {"rf": _forest(), "gb": _boosting(), "xb": M.boosted_shallow(
+        trees=c["maxIter"], depth=c["maxDepth"], rate=c["stepSize"])}, C=M.STACK_C)
     return EV.score_batch(model, split.where("is_test = 1"), keep=["vec_id", "y"])
 
 
@@ -281,10 +337,8 @@ SELECT event_id, ROUND(gb, 6) AS gb, ROUND(rf, 6) AS rf, ROUND(xb, 6) AS xb,
        CAST((2 * gb + 1 * rf + 1.5 * xb) / 4.5 >= 0.5 AS INTEGER) AS vote_class FROM s""")
 def q_vote(spark, d):
     ev = _b(spark, d, "events")
-    gb = ev.select("event_id", (F.col("value") / 500).alias("gb"))
-    rf = ev.select("event_id", ((F.col("value") % 100) / 100).alias("rf"))
-    xb = ev.select("event_id", ((F.col("value") % 50) / 50).alias("xb"))
-    scores = gb.join(rf, "event_id").join(xb, "event_id")
+    value = F.col("value")
+    scores = ev.select("event_id", (value / 500).alias("gb"), ((value % 100) / 100).alias("rf"), ((value % 50) / 50).alias("xb"))
     v = EV.soft_vote(scores, {"gb": 2.0, "rf": 1.0, "xb": 1.5})
     return v.select("event_id", *[r6(c).alias(c) for c in ("gb", "rf", "xb", "vote_p1")], "vote_class")
 
@@ -294,9 +348,7 @@ def q_vote(spark, d):
 
 @query("predict_batch")
 def q_predict(spark, d):
-    split = _split(spark, d)
-    model = M.random_forest(trees=30, depth=6, max_features=8).fit(split.where("is_test = 0"))
-    return EV.score_batch(model, split, keep=["vec_id", "y", "is_test"])
+    return _fit_score(spark, d, _forest())
 
 
 @query("accuracy", f"""
@@ -365,38 +417,54 @@ def q_sweep(spark, d):
     return r.select("threshold", r6("sensitivity").alias("sensitivity"), r6("specificity").alias("specificity"))
 
 
+def _train_forest(spark, d):
+    return _forest().fit(keep(_split(spark, d)).where("is_test = 0"))
+
+
 @query("feature_importance")
 def q_importance(spark, d):
-    model = _rf_model(spark, d)
-    imp = EV.importances(spark, model, [f"e{i}" for i in range(64)])
+    imp = EV.importances(spark, _train_forest(spark, d), _SLOTS)
     return imp.where(F.col("importance") > 0)  # the non-zero ones, highest first
 
 
 @query("coefficients")
 def q_coef(spark, d):
-    split = _split(spark, d)
-    model = M.lasso(1e-3).fit(split.where("is_test = 0"))
-    c = EV.coefficients(spark, model, [f"e{i}" for i in range(64)])
-    return c.where(F.col("coefficient") != 0)
+    """The non-zero ones at the strength that cross-validation picks."""
+    train, _ = _folded(spark, d)
+    w = LA.fit_lasso(train, "fold").weights
+    return spark.createDataFrame([(n, float(v)) for n, v in zip(_SLOTS, w) if v], "feature string, coefficient double")
+
+
+def _saved_nodes(spark, d):
+    path = f"{checkpoint_dir(spark)}/revisit-models/{uuid.uuid4().hex}"
+    M.save_model(_train_forest(spark, d), path)
+    return EV.tree_nodes(spark, path)
 
 
 @query("tree_nodes")
 def q_tree_nodes(spark, d):
-    import uuid
-    model = _rf_model(spark, d, trees=5)
-    path = f"{checkpoint_dir(spark)}/revisit-models/{uuid.uuid4().hex}"
-    M.save_model(model, path)
-    return EV.tree_nodes(spark, path).select("treeID", "id", "prediction", "impurity", "gain",
-                                             "leftChild", "rightChild")
+    """Every node of the forest; inner ones with the split spelled out."""
+    nodes = _saved_nodes(spark, d)
+    cut = EV.splits(nodes, _SLOTS).select("treeID", "id", "feature", "threshold", "left_categories")
+    return nodes.select("treeID", "id", "prediction", "impurity", "gain", "leftChild", "rightChild").join(cut, ["treeID", "id"], "left")
+
+
+@query("tree_leaf_rules")
+def q_leaf_rules(spark, d):
+    """The condition of every leaf of the forest, from the root down."""
+    return EV.leaf_rules(_saved_nodes(spark, d), _SLOTS)
 
 
 @query("prediction_frame", f"""
 WITH e AS ({_EVENTS_SQL})
-SELECT event_id, y, CAST(score >= 250 AS INTEGER) AS pred, score FROM e
-WHERE y = 1 AND score >= 250""")
+SELECT event_id, y, CAST(score >= 250 AS INTEGER) AS pred, score,
+       CASE WHEN y = 1 THEN 'true_positive' ELSE 'true_negative' END AS half
+FROM e WHERE y = CAST(score >= 250 AS INTEGER)""")
 def q_pred_frame(spark, d):
+    """Scores of the rows that are predicted right, of either class."""
     e = _events(spark, d).select("event_id", "y", (F.col("score") >= 250).cast("int").alias("pred"), "score")
-    return e.where((F.col("y") == 1) & (F.col("pred") == 1))
+    half = F.when(F.col("y") == 1, "true_positive").otherwise("true_negative")
+    return e.where(F.col("y") == F.col("pred")).withColumn("half", half)
 
 
 @query("score_range_check", """
@@ -414,16 +482,22 @@ def q_score_range(spark, d):
 @query("readmission_model")
 def q_readmission_model(spark, d):
     from revisit.plans.model import train_readmission_model
-    _, scored = train_readmission_model(spark, d, trees=50)
+    _, scored = train_readmission_model(spark, d, trees=M.RF_CHOSEN["numTrees"], depth=M.RF_CHOSEN["maxDepth"])
     return scored
 
 
 @query("readmission_model_auc")
 def q_readmission_auc(spark, d):
-    from revisit.plans.model import train_readmission_model
-    _, scored = train_readmission_model(spark, d, trees=50)
+    scored = keep(q_readmission_model(spark, d))
     auc = EV.roc_auc(scored, "READMISSION_30dAYS", "p1").select(
         F.lit("roc_auc").alias("metric"), F.col("auc").alias("value"))
     acc = EV.accuracy(scored, "READMISSION_30dAYS", "prediction").select(
         F.lit("accuracy").alias("metric"), F.col("accuracy").alias("value"))
     return auc.unionByName(acc)
+
+
+@query("model_comparison")
+def q_model_comparison(spark, d):
+    """All models at the chosen settings on the readmission table."""
+    from revisit.plans.compare import compare_models
+    return compare_models(spark, d)

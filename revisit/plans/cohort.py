@@ -108,6 +108,23 @@ IMPUTE_MODE = ["RELIGION", "MARITAL_STATUS", "LAST_CAREUNIT"]
 HOUR_BANDS = ["EarlyMorning", "Evening", "Morning", "Noon"]
 
 
+def with_derived(df: DataFrame) -> DataFrame:
+    """The enriched cohort with missing LOS as 0, both labels, hour bands and
+    their codes, age, its logarithm and the LOS bin."""
+    from revisit.functions import scalar as S
+    disch_band = S.hour_band(S.hour_of_day("CURR_DISCHTIME"))
+    admit_band = S.hour_band(S.hour_of_day("ADMITTIME"))
+    age = S.age_years("ADMITTIME", "DOB")
+    return df.fillna({"LOS": 0.0}).select(
+        "*",
+        S.label_within("DAYS_TO_READMISSION", 30).alias("READMISSION_30dAYS"),
+        S.label_within("DAYS_TO_READMISSION", 60).alias("READMISSION_60dAYS"),
+        disch_band.alias("DISCH_HOUR_BAND"), admit_band.alias("ADMIT_HOUR_BAND"),
+        S.ordinal_encode(disch_band, HOUR_BANDS).alias("DISCH_HOUR_CODE"),
+        S.ordinal_encode(admit_band, HOUR_BANDS).alias("ADMIT_HOUR_CODE"),
+        age.alias("AGE"), S.ln0(age).alias("LOG_AGE"), S.los_bin("LOS").alias("LOS_BIN"))
+
+
 def final_dataset(spark: SparkSession, sf_dir: str, vocab: Sequence[str] | None = None,
                   fit_on: DataFrame | None = None, base: DataFrame | None = None) -> DataFrame:
     """The modelling table: enriched cohort, imputed, labelled, with derived
@@ -122,7 +139,6 @@ def final_dataset(spark: SparkSession, sf_dir: str, vocab: Sequence[str] | None
 
     ``base`` passes an already computed ``enriched`` cohort.
     """
-    from revisit.functions import scalar as S
     from revisit.operators import profile as P
     from revisit.operators import relational as R
     from revisit.operators.joins import semi
@@ -130,18 +146,7 @@ def final_dataset(spark: SparkSession, sf_dir: str, vocab: Sequence[str] | None
 
     base = keep(base if base is not None else enriched(spark, sf_dir))
     modes = R.fit_modes(fit_on if fit_on is not None else base, IMPUTE_MODE)
-    df = base.fillna({c: v for c, v in modes.items() if v is not None}).fillna({"LOS": 0.0})
-    disch_band = S.hour_band(S.hour_of_day("CURR_DISCHTIME"))
-    admit_band = S.hour_band(S.hour_of_day("ADMITTIME"))
-    age = S.age_years("ADMITTIME", "DOB")
-    df = df.select(
-        "*",
-        S.label_within("DAYS_TO_READMISSION", 30).alias("READMISSION_30dAYS"),
-        S.label_within("DAYS_TO_READMISSION", 60).alias("READMISSION_60dAYS"),
-        disch_band.alias("DISCH_HOUR_BAND"), admit_band.alias("ADMIT_HOUR_BAND"),
-        S.ordinal_encode(disch_band, HOUR_BANDS).alias("DISCH_HOUR_CODE"),
-        S.ordinal_encode(admit_band, HOUR_BANDS).alias("ADMIT_HOUR_CODE"),
-        age.alias("AGE"), S.ln0(age).alias("LOG_AGE"), S.los_bin("LOS").alias("LOS_BIN"))
+    df = with_derived(base.fillna({c: v for c, v in modes.items() if v is not None}))
     codes_vocab = list(vocab) if vocab is not None else P.fit_vocab(bound(spark, sf_dir, "diagnosis_names"),
                                                                      "ICD9_CODE")
     diag = semi(bound(spark, sf_dir, "diagnoses"), base.select("HADM_ID"), "HADM_ID")

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructType
 
 _KEPT: list[DataFrame] = []
 
@@ -88,3 +90,13 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable checkpoint into the shared checkpoint folder (never local)."""
     checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def written(df: DataFrame, label: str, schema: StructType | None = None) -> DataFrame:
+    """Write a frame as Parquet into the shared checkpoint folder and read it
+    back: lineage ends at files that every executor sees.  ``schema`` reads the
+    same columns as other types of equal storage (an ML vector from its
+    struct)."""
+    path = f"{checkpoint_dir(df.sparkSession).rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(schema or df.schema).parquet(path)

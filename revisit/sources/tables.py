@@ -147,24 +147,34 @@ BINDINGS = {
 }
 
 
-def bound(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+#: Session setting: "tables" reads hospital tables only, "fixtures" the bindings
+#: only, "any" (the default) a hospital table where the folder holds it.
+SOURCE_SETTING = "revisit.sources"
+
+
+def bound(spark: SparkSession, sf_dir: str, name: str, source: str | None = None) -> DataFrame:
     """A hospital table: the real one when the folder holds ``<name>.parquet``
     (see ``revisit.sources.schemas.ingest_sources``), otherwise the fixture
-    binding over the driver tables; a driver table if ``name`` is one."""
-    if name in BINDINGS:
-        if _exists(spark, os.path.join(sf_dir, f"{name}.parquet")):
-            return table(spark, sf_dir, name)
-        return BINDINGS[name](spark, sf_dir)
-    return table(spark, sf_dir, name)
+    binding over the driver tables; a driver table if ``name`` is one.
+
+    ``source`` (else the session's ``revisit.sources``) says which may be read:
+    with "tables" a missing table raises and no fixture stands in for it.  A
+    folder that cannot be looked into raises in any case."""
+    source = source or spark.conf.get(SOURCE_SETTING, "any")
+    if source not in ("any", "tables", "fixtures"):
+        raise ValueError(f"unknown source {source!r}")
+    if name not in BINDINGS:
+        return table(spark, sf_dir, name)
+    path = os.path.join(sf_dir, f"{name}.parquet")
+    if source != "fixtures" and _exists(spark, path):
+        return table(spark, sf_dir, name)
+    if source == "tables":
+        raise FileNotFoundError(f"no table {path}")
+    return BINDINGS[name](spark, sf_dir)
 
 
 def _exists(spark: SparkSession, path: str) -> bool:
-    """Local paths are checked directly; other file systems by resolving the
-    parquet path (a listing, no data is read)."""
-    if "://" not in path or path.startswith("file:"):
-        return os.path.exists(path[len("file:"):] if path.startswith("file:") else path)
-    try:
-        spark.read.parquet(path).schema
-        return True
-    except Exception:  # noqa: BLE001 - a missing path raises an analysis error
-        return False
+    """Whether the file system of the path, local or not, holds it; what keeps it
+    from answering (permission, time-out) is raised."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)

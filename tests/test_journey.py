@@ -89,35 +89,55 @@ def test_group_mean_fill(spark):
     assert got == {1: 0.0, 2: 2.0}
 
 
-def test_auto_choice_goes_chunked_above_bound(spark, monkeypatch):
-    from revisit.operators import ordered
-    rows = [(0, i, h(i), h(i + 1)) for i in range(300)] + [(1, 1000 + i, h(i), h(i + 1)) for i in range(20)]
-    df = adm(spark, rows)
-    plain = JR.next_event_gap(df)
-    monkeypatch.setattr(ordered, "MAX_GROUP_ROWS", 50)  # entity 0 is now "hot"
-    chunked = JR.next_event_gap(df)
-    assert "_chunk" in chunked._jdf.queryExecution().analyzed().toString()
-    assert sorted(map(tuple, plain.collect())) == sorted(map(tuple, chunked.collect()))
-
-
-def test_split_same_on_both_paths(spark, monkeypatch):
-    from pyspark.sql import functions as F
-
+@pytest.mark.parametrize("chunks", [1, 2, 7, 40])
+def test_scan_equals_window_whatever_the_chunks(spark, chunks):
+    """A hot key over many chunks, null keys, keys that end at a chunk's end, and
+    keys of one row: positions, next rows and running sums of plain windows."""
+    rows = [(0, i, i % 5) for i in range(300)] + [(k, i, k) for k in range(1, 60) for i in range(k % 4 + 1)] + [(None, i, 2) for i in range(50)]
+    df = spark.createDataFrame(rows, "k int, i int, v long").repartition(5)
+    order = [F.col("i").desc(), "v"]
+    got = ordered_scan(df, ["k"], order, rn="n", leads=[("v", "nv"), ("i", "ni")], has_next="more", running=[("v", "sum")], chunks=chunks)
+    w = Window.partitionBy("k").orderBy(F.col("i").desc(), "v")
+    upto = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    want = df.select("*", F.row_number().over(w).cast("long").alias("n"), F.lead("v").over(w).alias("nv"), F.lead("i").over(w).alias("ni"),
+                     F.lead(F.lit(1)).over(w).isNotNull().alias("more"), F.sum("v").over(upto).alias("sum"))
+    assert sorted(map(repr, got.collect())) == sorted(map(repr, want.collect()))
+    whole = ordered_scan(df, [], ["k", *order], rn="n", running=[("v", "sum")], chunks=chunks)
+    w = Window.orderBy("k", *order)
+    want = df.select("*", F.row_number().over(w).cast("long").alias("n"), F.sum("v").over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("sum"))
+    assert sorted(map(repr, whole.collect())) == sorted(map(repr, want.collect()))
+    assert ordered_scan(df.limit(0), ["k"], order, rn="n", leads=[("v", "nv")]).count() == 0
+
+
+def test_scan_counts_nothing_first_and_broadcasts_ends_only(spark):
+    """Building the scan runs no job; joins with the chunk ends are broadcast."""
+    df = spark.range(0, 2000).withColumn("k", (F.col("id") % 3).cast("int"))
+    tracker = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("scan", "scan")
+    try:
+        out = ordered_scan(df, ["k"], ["id"], rn="n")
+        assert not tracker.getJobIdsForGroup("scan")
+        out.collect()
+    finally:
+        spark.sparkContext._jsc.sc().clearJobGroup()
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+
+
+def test_split_whatever_the_partitions(spark):
     from revisit.ml.features import stratified_split
-    from revisit.operators import ordered
     df = spark.range(0, 600).withColumn("y", (F.col("id") % 4 == 0).cast("int"))
     a = sorted(map(tuple, stratified_split(df, "id", "y").collect()))
-    monkeypatch.setattr(ordered, "MAX_GROUP_ROWS", 10)
-    b = sorted(map(tuple, stratified_split(df, "id", "y").collect()))
-    assert a == b
+    b = sorted(map(tuple, stratified_split(df.repartition(11, "y"), "id", "y").collect()))
+    assert a == b and sum(r[2] for r in a) == 113 + 38
 
 
-def test_chunked_path_equals_window_on_real_hot_keys(spark):
+def test_scan_equals_window_on_real_hot_keys(spark):
     from revisit.sources.tables import table
     li = table(spark, "/root/testdata/sf0.001", "lineitem").select(
         "l_returnflag", "l_shipdate", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
     order = ["l_shipdate", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]  # total order
-    a = ordered_scan(li, ["l_returnflag"], order, rn="seq", leads=[("l_shipdate", "nxt")], max_group_rows=0)
+    a = ordered_scan(li, ["l_returnflag"], order, rn="seq", leads=[("l_shipdate", "nxt")])
     w = Window.partitionBy("l_returnflag").orderBy(*order)
     b = li.select("*", F.row_number().over(w).cast("long").alias("seq"), F.lead("l_shipdate").over(w).alias("nxt"))
     assert a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0
