@@ -18,27 +18,42 @@ MAX_COVERAGE = 0.5
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality rules keep.  Null and empty texts go, for they
+    have too few words; repeated rows share a verdict; null ids are never
+    trusted; an empty table stays empty."""
     out = judge_quality(docs, table(spark, sf_dir, "labels").where("quality = 1"), out="__rules")
     return out.where("__rules.kept").select(docs.columns)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All rows, later copies and near copies of lines cut from their texts.
+    Null texts stay null; rows that repeat id and text count as one document,
+    different texts under one or a null id as different ones; of equal lines the
+    one of the least (id, text hash, line number) stays."""
     return _counted(dedup_lines(docs, copy_chars=1), docs)
 
 
 def simhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The least id of each component stays; rows that repeat it are one."""
-    first = simhash_groups(docs).select(F.col("component_id").alias("__id")).distinct()
-    return docs.join(first, docs["doc_id"] == first["__id"], "left_semi").dropDuplicates(["doc_id"])
+    """One row of each component: the least (id, text hash).  Rows that repeat
+    both are one; null ids and different texts under one id are documents of
+    their own; null and empty texts have fingerprint 0 and form one group."""
+    keyed = docs.withColumn("__row", F.struct(F.col("doc_id"), F.xxhash64("text").alias("h")))
+    first = simhash_groups(keyed, "__row").select(F.col("component_id").alias("__first")).distinct()
+    kept = keyed.join(first, F.col("__row") == F.col("__first"), "left_semi").dropDuplicates(["__row"])
+    return kept.select(docs.columns)
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rows with at most ``MAX_COVERAGE`` of their words hit, the hit spans cut
+    out.  Null texts have no words and stay; rows are judged one by one."""
     out = decontaminate(docs, table(spark, sf_dir, "benchmark"), out="__leak")
     out = out.where(F.col("__leak.n_hit") <= MAX_COVERAGE * F.col("__leak.n_words"))
     return _counted(out.withColumn("text", without_spans(F.col("text"), F.col("__leak.spans"))), docs)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of the packed sequences; a null text has the end token alone,
+    a repeated row pieces of its own."""
     return pack(docs, tokenizer_path(TOKENIZER))
 
 
