@@ -24,11 +24,11 @@ TOKEN = r"[\p{L}\p{N}]+|[^\p{L}\p{N}\x20\x09-\x0D]+"
 SYMBOLS = "#*$%&|<>"
 BLANKS = " \t\n\x0b\x0c\r"
 #: Size of the hash space.
-BUCKETS = 1 << 18
+BUCKETS = 1 << 16
 #: Least mean log ratio, in nats per n-gram, of a document that is kept.
 THRESHOLD = -0.5
 #: Bits of the map of trusted ids, and buckets of weights that come to the driver as one row.
-MAP_BITS, ROW_BUCKETS = 1 << 20, 1 << 12
+MAP_BITS, ROW_BUCKETS = 1 << 20, 1 << 11
 
 
 def _grams(text: Column) -> Column:
@@ -123,8 +123,8 @@ def base_counts(text: Column) -> Column:
     words = F.when(trimmed == "", F.array().cast("array<string>")).otherwise(F.split(trimmed, SPACE + "+"))
     return let(words, lambda w: F.struct(
         F.size(w).cast("long").alias("n_words"),
-        F.length(F.translate(text, BLANKS, "")).cast("long").alias("word_chars"),
-        (F.length(text) - F.length(F.translate(text, SYMBOLS, ""))).cast("long").alias("n_symbols"),
+        F.length(F.array_join(w, "")).cast("long").alias("word_chars"),
+        F.length(F.regexp_replace(text, f"[^{SYMBOLS}]+", "")).cast("long").alias("n_symbols"),
         let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("n_dup_lines"),
         repeats(w).cast("long").alias("n_repeat_words")))
 
