@@ -119,7 +119,7 @@ class Cutter:
 _CUTTERS: dict[str, Cutter] = {}
 
 
-def tokenized(text: Column, path: str, end_id: int) -> Column:
+def tokenized(text: Column, path: str, end_id: int, cache_words: int) -> Column:
     """Struct (ids: little-endian 16-bit ids with the end id, key: Hilbert key)."""
     @F.pandas_udf("ids binary, key long")
     def udf(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
@@ -127,6 +127,7 @@ def tokenized(text: Column, path: str, end_id: int) -> Column:
         if path not in curve_packing._CUTTERS:
             curve_packing._CUTTERS[path] = Cutter(path)
         cutter = curve_packing._CUTTERS[path]
+        cutter.words.limit = cutter.cut_words.limit = cache_words
         table, end = projection(), end_id.to_bytes(2, "little")
         for texts in batches:
             ids = [cutter.ids(text or "") + end for text in texts]
@@ -142,10 +143,12 @@ PIECE = ("doc_id long, start long, length long, ids_crc32 long, doc_tokens long,
 
 
 def pack(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", length: int = 2048,
-         end_id: int = 1) -> DataFrame:
-    """Pieces of the packed sequences, one row per piece (see ``PIECE``)."""
+         end_id: int = 1, cache_words: int = 500_000) -> DataFrame:
+    """Pieces of the packed sequences, one row per piece (see ``PIECE``).  A
+    Python worker remembers the ids of ``cache_words`` pre-tokens (about 200
+    bytes each)."""
     tok = staged(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.monotonically_increasing_id().alias("row"),
-                             tokenized(F.col(text_col), path, end_id).alias("t"))
+                             tokenized(F.col(text_col), path, end_id, cache_words).alias("t"))
                  .select("doc_id", "row", "t.ids", "t.key", (F.octet_length("t.ids") / 2).cast("long").alias("n")), "tokens")
 
     def place(batches):

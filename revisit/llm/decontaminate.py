@@ -18,7 +18,7 @@ from collections import defaultdict
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 #: A-Z to a-z, word characters kept, everything else to a space.
 FOLD = bytes(c + 32 if 65 <= c <= 90 else c if c > 127 or chr(c).isalnum() else 32 for c in range(256))
@@ -212,18 +212,11 @@ def _merge(old, new, text):
     return union(old, new, text)
 
 
-def without_spans(text, spans):
-    """The text without the character ranges of ``spans``."""
-    @F.pandas_udf("string")
-    def cut(texts: pd.Series, spans: pd.Series) -> pd.Series:
-        out = []
-        for t, ss in zip(texts, spans):
-            if ss is not None and len(ss):
-                pos, keep = 0, []
-                for s in ss:
-                    keep.append(t[pos:s["start"]])
-                    pos = s["end"]
-                t = "".join([*keep, t[pos:]])
-            out.append(t)
-        return pd.Series(out, dtype=object)
-    return cut(text, spans)
+def without_spans(text: Column, spans: Column) -> Column:
+    """The text without the character ranges of ``spans`` (sorted, disjoint);
+    null and empty spans leave it as it is."""
+    n = F.size(spans)
+    start = lambda i: F.when(i == 0, F.lit(0)).otherwise(F.get(spans, i - 1)["end"])
+    end = lambda i: F.when(i == n, F.length(text)).otherwise(F.get(spans, i)["start"])
+    pieces = F.transform(F.sequence(F.lit(0), n), lambda i: F.substr(text, start(i) + 1, end(i) - start(i)))
+    return F.when(n > 0, F.array_join(pieces, "")).otherwise(text)

@@ -20,7 +20,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 from revisit.llm.common import SPACE, let
 
 #: Word and punctuation runs, the units of the hashed n-grams.
-TOKEN = r"[\p{L}\p{N}]+|[^\p{L}\p{N}\x20\x09-\x0D]+"
+#: (ASCII is named as well: it is looked up in a table, before the classes.)
+TOKEN = r"[a-zA-Z0-9\p{L}\p{N}]+|[^a-zA-Z0-9\p{L}\p{N}\x20\x09-\x0D]+"
 SYMBOLS = "#*$%&|<>"
 BLANKS = " \t\n\x0b\x0c\r"
 #: Size of the hash space.
@@ -37,7 +38,7 @@ def _grams(text: Column) -> Column:
     def both(h: Column) -> Column:
         rest = F.greatest(F.size(h) - 1, F.lit(0))
         return F.concat(h, F.zip_with(F.slice(h, 1, rest), F.slice(h, 2, rest), lambda a, b: F.xxhash64(a, b)))
-    return let(F.transform(F.regexp_extract_all(text, F.lit(f"({TOKEN})"), F.lit(1)), lambda w: F.xxhash64(w)), both)
+    return let(F.transform(F.regexp_extract_all(text, F.lit(TOKEN), F.lit(0)), lambda w: F.xxhash64(w)), both)
 
 
 def _maybe_trusted(ids: DataFrame) -> Column:

@@ -607,3 +607,54 @@ def test_license_inheritance(spark):
     assert got == {1: ("MIT", "own"), 2: ("GPL-3.0", "inherited"), 3: ("GPL-3.0", "own"), 4: ("GPL-3.0", "own"), 5: (None, "none"),
                    6: ("MIT", "own"), 7: (None, "none"), 8: ("MIT", "inherited"), 9: (None, "none")}
     assert scan_licenses(df.limit(0), "path").count() == 0
+
+
+def test_license_names_headers_and_files(spark):
+    """Titles, SPDX lines, wrapped texts, headers in comments; close texts and
+    prose are told apart."""
+    import textwrap
+    from revisit.llm.license_paths import TEMPLATES, scan_licenses
+    wrap = lambda t, mark="": "\n".join(mark + x for x in textwrap.wrap(t, 78))
+    mit, bsd3, bsd2, apache = TEMPLATES["MIT"][-1], TEMPLATES["BSD-3-Clause"][2], TEMPLATES["BSD-2-Clause"][1], TEMPLATES["Apache-2.0"][2]
+    gpl, mpl = TEMPLATES["GPL-3.0"][-1], TEMPLATES["MPL-2.0"][-1]
+    code = "\n\nimport os\n\ndef run():\n    return os.getcwd()\n"
+    cases = {"MIT License": "MIT", "The MIT License (MIT)": "MIT", "GNU GENERAL PUBLIC LICENSE": "GPL-3.0", "Mozilla Public License Version 2.0": "MPL-2.0",
+             "SPDX-License-Identifier: GPL-3.0-or-later": "GPL-3.0", "// SPDX-License-Identifier: Apache-2.0" + code: "Apache-2.0",
+             TEMPLATES["MIT"][-2]: "MIT", wrap(mit): "MIT", "Copyright (c) 2020 Some One\n\n" + wrap(mit): "MIT",
+             wrap("Copyright (c) 2020, Some One. All rights reserved. " + bsd3): "BSD-3-Clause", wrap("Copyright 2020 Some One " + bsd2): "BSD-2-Clause",
+             wrap("Copyright 2020 Some One " + apache, "# ") + code: "Apache-2.0", "/*\n" + wrap(apache, " * ") + "\n */" + code: "Apache-2.0",
+             "#!/bin/sh\n" + wrap(gpl, "# ") + code: "GPL-3.0", wrap(mpl, "// ") + code: "MPL-2.0",
+             "The license fee is due in May, and the public may use the path.": None, "words of no licence at all" + code: None}
+    rows = [(i, f"src/{i}.txt", t) for i, t in enumerate(cases)] + [(100, "src/LICENSE", wrap("Copyright (c) 2020 Some One " + mit)), (101, "src/sub/x.py", "code")]
+    filler = [(1000 + i, f"other/{i}", prose(50, i)) for i in range(200)]
+    got = {r["id"]: (r["license"], r["origin"]) for r in scan_licenses(spark.createDataFrame(rows + filler, "doc_id long, path string, text string"), "path").collect()}
+    for i, (t, want) in enumerate(cases.items()):
+        assert got[i] == ((want, "own") if want else ("MIT", "inherited")), t[:60]
+    assert got[100] == ("MIT", "own") and got[101] == ("MIT", "inherited") and all(got[i][0] is None for i, _, _ in filler)
+
+
+def test_license_cosine_equals_brute_force(spark):
+    """Matcher.best over passages, and the corpus frequencies, by dense vectors."""
+    import math
+    from collections import Counter
+    from revisit.llm.license_paths import TEMPLATES, Matcher, document_frequencies, with_spdx, words
+    templates = with_spdx(TEMPLATES)
+    vocabulary = {w for v in templates.values() for t in v for w in words(t)}
+    texts = [prose(30, i) + (" license the software" if i % 3 else " public") for i in range(40)] + [None, "", "License LICENSE"]
+    df, n = document_frequencies(frame(spark, list(enumerate(texts))), "text", vocabulary)
+    assert n == 43 and df == {w: c for w in vocabulary if (c := sum(w in words(t or "") for t in texts))}
+    matcher, r = Matcher(templates, df, n, 0.8), np.random.default_rng(1)
+    weigh = lambda w: 1 + math.log((1 + n) / (1 + (df.get(w, 0) if w in vocabulary else 1)))
+    pool = sorted(vocabulary) + ["alpha", "beta"]
+    for _ in range(200):
+        base = words(str(r.choice([t for v in templates.values() for t in v])))
+        p = " ".join([w for w in base if r.random() < 0.9] + [str(w) for w in r.choice(pool, int(r.integers(0, 6)))])
+        best = (None, 0.0)
+        a = {w: c * weigh(w) for w, c in Counter(words(p)).items()}
+        for k in sorted(templates):
+            for t in templates[k]:
+                b = {w: c * weigh(w) for w, c in Counter(words(t)).items()}
+                c = sum(a[w] * b[w] for w in a if w in b) / (math.hypot(*a.values()) * math.hypot(*b.values()) or 1) if a and b else 0
+                best = max(best, (k, c), key=lambda x: x[1]) if c > best[1] + 1e-9 else best
+        name, c = matcher.best([p])
+        assert (best[1] < 0.8 and c < 0.8) or (name == best[0] and abs(c - best[1]) < 1e-9)
