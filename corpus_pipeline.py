@@ -54,7 +54,7 @@ def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str)
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of the packed sequences; a null text has the end token alone,
     a repeated row pieces of its own."""
-    return pack(docs, tokenizer_path(TOKENIZER))
+    return pack(docs, tokenizer_path(TOKENIZER), cache_words=200_000)
 
 
 def _counted(out: DataFrame, docs: DataFrame) -> DataFrame:
