@@ -279,7 +279,7 @@ def q_sgd(spark, d):
     cross-validated on balanced rows."""
     train, test = _folded(spark, d)
     grid = {"loss": ["log", "modified_huber"], "penalty": ["l1", "l2", "elasticnet"], "alpha": M.STRENGTHS}
-    fit, _ = GR.search(M.class_weights(train, "y"), grid, "fold", weight="weight", steps=100)
+    fit, _ = GR.search(M.class_weights(train, "y"), grid, "fold", weight="weight", steps=60, tol=1e-4)
     return GR.decision(test, fit).select("vec_id", "y", (F.col("margin") > 0).cast("int").alias("prediction"),
                                          GR.probability("margin", fit.config.loss).alias("p1"))
 
@@ -305,7 +305,7 @@ def q_logistic(spark, d):
     """Every strength C, cross-validated; alpha = 1 / (C n)."""
     train, test = _folded(spark, d)
     n = train.count()
-    fit, _ = GR.search(train, {"loss": ["log"], "penalty": ["l2"], "alpha": [1.0 / (c * n) for c in M.STRENGTHS]}, "fold", steps=200)
+    fit, _ = GR.search(train, {"loss": ["log"], "penalty": ["l2"], "alpha": [1.0 / (c * n) for c in M.STRENGTHS]}, "fold", steps=60, tol=1e-4)
     out = GR.decision(test, fit).withColumn("p1", GR.probability("margin", "log"))
     return out.select("vec_id", "y", (F.col("p1") >= 0.5).cast("int").alias("prediction"), "p1")
 
