@@ -314,7 +314,7 @@ def q_logistic(spark, d):
 def q_grid(spark, d):
     """Corner points of the forest grid, all folds."""
     train, _ = _folded(spark, d)
-    grid = {"maxDepth": [M.RF_GRID["maxDepth"][0], M.RF_GRID["maxDepth"][-1]], "numTrees": M.RF_GRID["numTrees"][:2],
+    grid = {"maxDepth": [M.RF_GRID["maxDepth"][0], M.RF_GRID["maxDepth"][-1]], "numTrees": M.RF_GRID["numTrees"][:1],
             "impurity": M.RF_GRID["impurity"]}
     cv = M.grid_search(train, _forest(), grid, fold_col="fold", folds=M.CV_FOLDS, parallelism=8)
     best = M.best_params(cv)
