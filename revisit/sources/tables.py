@@ -25,6 +25,22 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
 
 
+#: Rows of a keyed step that one task holds.
+TASK_ROWS = 1 << 20
+
+
+def dealt(df: DataFrame, key: str) -> DataFrame:
+    """Rows hashed by ``key`` into partitions of about ``TASK_ROWS`` rows, where the
+    session's partitions may hold more: joins and aggregates that follow on the key
+    run in those partitions, so a task's sort and hash buffers keep their size as
+    the table grows (partitions of a given number are not merged again)."""
+    n = df.select(F.lit(1)).count()
+    if n <= TASK_ROWS:
+        return df
+    own = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
+    return df.repartition(max(own, -(-n // TASK_ROWS)), key)
+
+
 def _hours(n):
     return F.make_dt_interval(F.lit(0), n.cast("int"))
 
@@ -83,8 +99,8 @@ def diagnosis_names(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def icu_stays(spark: SparkSession, sf_dir: str) -> DataFrame:
-    li = table(spark, sf_dir, "lineitem").select(
-        "l_orderkey", "l_linenumber", "l_linestatus", "l_returnflag", "l_quantity")
+    li = dealt(table(spark, sf_dir, "lineitem").select(
+        "l_orderkey", "l_linenumber", "l_linestatus", "l_returnflag", "l_quantity"), "l_orderkey")
     o = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
     j = li.join(o, li.l_orderkey == o.o_orderkey, "inner")
     # max('U' || status || flag) over one-character codes, taken on the
