@@ -17,3 +17,65 @@ def test_stays_are_dealt_by_rows(spark, monkeypatch):
     assert stays.rdd.getNumPartitions() == -(-T.table(spark, SMALL, "lineitem").count() // 500)
     monkeypatch.setattr(T, "TASK_ROWS", 1 << 20)
     assert T.dealt(T.table(spark, SMALL, "orders"), "o_orderkey").rdd.getNumPartitions() == 1
+
+
+@pytest.mark.parametrize("k", [1, 4, 40])
+def test_nearest_measures_few_pairs_and_is_exact(k, monkeypatch):
+    """The k nearest, ties by id, without differences of all pairs."""
+    from revisit.ml import neighbours as N
+    rng = np.random.default_rng(3)
+    x = np.concatenate([rng.normal(size=(300, 7)), np.ones((30, 7)), 1e6 + rng.normal(size=(20, 7)) * 1e-3])
+    ids = rng.permutation(len(x))
+    q, asked = x[::5], ids[::5]
+    own = asked[:, None] == ids[None, :]
+    d = np.where(own, np.inf, N._distances(q, x))
+    want = [(i, j, d[i, j]) for i in range(len(q)) for j in np.lexsort((ids, d[i]))[:k] if d[i, j] < np.inf]
+    with monkeypatch.context() as m:
+        m.setattr(N, "_distances", None)
+        got = N._nearest(q, x, own, ids, k)
+    assert list(zip(*[v.tolist() for v in got])) == want
+    x[7, 2] = np.nan
+    i, j, _ = N._nearest(q, x, own, ids, k)
+    assert 7 not in j and len(i) == k * len(q)
+    assert not len(N._nearest(x[:1], x[:1], np.array([[True]]), ids[:1], k)[0])
+
+
+def points(spark, n=240, parts=16):
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(n, 4)) + np.arange(n)[:, None] % 2
+    from pyspark.ml.functions import array_to_vector
+    df = spark.createDataFrame([(i, float(i % 2), i // 2 % 3, v.tolist()) for i, v in enumerate(x)], "id int, label double, fold int, x array<double>")
+    return df.select("id", "label", "fold", array_to_vector("x").alias("features")).repartition(parts)
+
+
+def test_fits_run_on_few_partitions(spark, monkeypatch):
+    from revisit.ml import models as M
+    df = points(spark)
+    few = M.fit_rows(df)
+    assert few.rdd.getNumPartitions() == 1
+    assert sorted(map(tuple, few.collect())) == sorted(map(tuple, df.collect()))
+    monkeypatch.setattr(M, "TASK_BYTES", 4096)  # 7680 bytes of features
+    assert M.fit_rows(df).rdd.getNumPartitions() == 2
+    monkeypatch.setattr(M, "MOST_BYTES", 1024)
+    assert M.fit_rows(df).rdd.getNumPartitions() == 8
+    assert M.fit_rows(df.where("id < 0")).count() == 0
+
+
+def test_search_fits_folds_side_by_side(spark, monkeypatch):
+    """As Spark's cross-validation, all folds and grid points handed out at once."""
+    from pyspark.ml.classification import LogisticRegression
+    from pyspark.ml.tuning import CrossValidator
+    from revisit.ml import models as M
+    df, est, grid = points(spark), LogisticRegression(), {"regParam": [0.01, 5.0]}
+    at_once, run = [], M.together
+    monkeypatch.setattr(M, "together", lambda jobs, most=None: at_once.append(len(jobs)) or run(jobs, most))
+    got = M.grid_search(df, est, grid, fold_col="fold", folds=3)
+    assert at_once == [6]
+    want = CrossValidator(estimator=est, estimatorParamMaps=[{est.regParam: v} for v in grid["regParam"]],
+                          evaluator=M.auc_evaluator(), numFolds=3, foldCol="fold").fit(df)
+    assert got.avgMetrics == pytest.approx(want.avgMetrics) and got.stdMetrics == pytest.approx(want.stdMetrics)
+    assert got.bestModel.coefficients.toArray() == pytest.approx(want.bestModel.coefficients.toArray())
+    with pytest.raises(ValueError):
+        M.grid_search(df, est, grid, fold_col="fold", folds=2)
+    with pytest.raises(ValueError):
+        M.grid_search(df, est, grid, fold_col="fold", folds=4)
