@@ -17,7 +17,7 @@ import math
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from revisit.llm.common import SPACE, let
+from revisit.llm.common import let
 
 #: Word and punctuation runs, the units of the hashed n-grams.
 #: (ASCII is named as well: it is looked up in a table, before the classes.)
@@ -30,15 +30,24 @@ BUCKETS = 1 << 16
 THRESHOLD = -0.5
 #: Bits of the map of trusted ids, and buckets of weights that come to the driver as one row.
 MAP_BITS, ROW_BUCKETS = 1 << 20, 1 << 11
+#: Upper half of a 64-bit hash; the lower half holds a position.
+HALF = -1 << 32
+
+
+def _unigrams(text: Column) -> Column:
+    """64-bit hashes of a text's tokens; a token's characters are hashed once."""
+    return F.transform(F.regexp_extract_all(text, F.lit(TOKEN), F.lit(0)), lambda w: F.xxhash64(w))
+
+
+def _bigrams(h: Column) -> Column:
+    """Hashes of the bigrams, from the hashes of their tokens."""
+    rest = F.greatest(F.size(h) - 1, F.lit(0))
+    return F.zip_with(F.slice(h, 1, rest), F.slice(h, 2, rest), lambda a, b: F.xxhash64(a, b))
 
 
 def _grams(text: Column) -> Column:
-    """64-bit hashes of a text's token unigrams, then of its bigrams; a token's
-    characters are hashed once, a bigram from the hashes of its tokens."""
-    def both(h: Column) -> Column:
-        rest = F.greatest(F.size(h) - 1, F.lit(0))
-        return F.concat(h, F.zip_with(F.slice(h, 1, rest), F.slice(h, 2, rest), lambda a, b: F.xxhash64(a, b)))
-    return let(F.transform(F.regexp_extract_all(text, F.lit(TOKEN), F.lit(0)), lambda w: F.xxhash64(w)), both)
+    """Hashes of a text's token unigrams, then of its bigrams."""
+    return let(_unigrams(text), lambda h: F.concat(h, _bigrams(h)))
 
 
 def _maybe_trusted(ids: DataFrame) -> Column:
@@ -92,11 +101,16 @@ def fit_ratio(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_
 
 
 def llr_score(text: Column, weights: list[float]) -> Column:
-    """Mean log ratio per n-gram; 0 for a text without tokens."""
-    table, mask = F.split(F.lit(",".join(map(repr, weights))), ",").cast("array<double>"), F.lit(len(weights) - 1)
-    return let(_grams(F.coalesce(text, F.lit(""))), lambda g: let(table, lambda w: F.when(
-        F.size(g) > 0, F.aggregate(g, F.lit(0.0), lambda acc, h: acc + F.get(w, h.bitwiseAND(mask).cast("int"))) / F.size(g))
-        .otherwise(F.lit(0.0))))
+    """Mean log ratio per n-gram; 0 for a text without tokens.  Unigrams are
+    summed first, then bigrams, without one array of both."""
+    table, mask = F.split(F.lit(",".join(map(repr, weights))), ",").cast("array<double>"), F.lit(len(weights) - 1).cast("long")
+
+    def mean(h: Column, w: Column) -> Column:
+        plus = lambda acc, g: acc + w[g.bitwiseAND(mask)]
+        total = F.aggregate(_bigrams(h), F.aggregate(h, F.lit(0.0), plus), plus)
+        return F.when(F.size(h) > 0, total / (2 * F.size(h) - 1)).otherwise(F.lit(0.0))
+
+    return let(_unigrams(F.coalesce(text, F.lit(""))), lambda h: let(table, lambda w: mean(h, w)))
 
 
 def base_counts(text: Column) -> Column:
@@ -104,24 +118,38 @@ def base_counts(text: Column) -> Column:
     text = F.coalesce(text, F.lit(""))
 
     def repeats(w: Column) -> Column:
-        """Windows meet by a 64-bit hash; most texts have no equal pair, and
-        only the others sort their (hash, position) pairs."""
+        """Windows meet by a 64-bit hash; most texts have no equal pair.  The
+        others sort numbers of half the hash and the position; only windows
+        whose half meets an unequal one sort their (hash, position) pairs."""
         n = F.greatest(F.size(w) - 2, F.lit(0))
         wins = let(F.transform(w, lambda x: F.xxhash64(x)), lambda h: F.transform(
             F.slice(h, 1, n), lambda a, i: F.xxhash64(a, F.get(h, i + 1), F.get(h, i + 2))))
 
         def spread(h: Column) -> Column:
-            pairs = F.sort_array(F.transform(h, lambda x, i: F.struct(x.alias("g"), i.alias("i"))))
-            again = let(pairs, lambda s: F.filter(s, lambda x, i: (
+            packed = F.sort_array(F.transform(h, lambda x, i: x.bitwiseAND(F.lit(HALF)).bitwiseOR(i.cast("long"))))
+            meet = let(packed, lambda p: F.zip_with(p, F.slice(p, 2, F.size(p)), lambda a, b: F.when(
+                a.bitwiseXOR(b).bitwiseAND(F.lit(HALF)) == 0, F.array(a.bitwiseAND(F.lit(~HALF)), b.bitwiseAND(F.lit(~HALF))))))
+            return let(F.filter(meet, lambda x: x.isNotNull()), lambda m: let(F.array_distinct(F.flatten(m)), lambda at: F.when(
+                F.forall(m, lambda x: h[x[0]] == h[x[1]]), covered(F.sort_array(at))).otherwise(let(again(h, at), covered))))
+
+        def again(h: Column, at: Column) -> Column:
+            """Those of the positions whose whole hash comes twice, ascending."""
+            pairs = F.sort_array(F.transform(at, lambda i: F.struct(h[i].alias("g"), i.alias("i"))))
+            equal = let(pairs, lambda s: F.filter(s, lambda x, i: (
                 F.coalesce(F.get(s, i - 1)["g"] == x["g"], F.lit(False)) |
                 F.coalesce(F.get(s, i + 1)["g"] == x["g"], F.lit(False)))))
-            return F.size(F.array_distinct(F.flatten(F.transform(again, lambda x: F.array(x["i"], x["i"] + 1, x["i"] + 2)))))
+            return F.sort_array(F.transform(equal, lambda x: x["i"]))
+
+        def covered(at: Column) -> Column:
+            """Words in the windows of three at these ascending positions."""
+            steps = let(at, lambda p: F.zip_with(p, F.slice(p, 2, F.size(p)), lambda a, b: F.least(b - a, F.lit(3))))
+            return F.aggregate(steps, F.lit(0).cast("long"), lambda n, x: n + x)
 
-        return let(wins, lambda h: F.when(F.size(F.array_distinct(h)) == F.size(h), F.lit(0)).otherwise(spread(h)))
+        return let(wins, lambda h: F.when(F.size(F.array_distinct(h)) == F.size(h), F.lit(0).cast("long")).otherwise(spread(h)))
 
     lines = F.filter(F.split(text, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
     trimmed = F.btrim(text, F.lit(BLANKS))
-    words = F.when(trimmed == "", F.array().cast("array<string>")).otherwise(F.split(trimmed, SPACE + "+"))
+    words = F.when(trimmed == "", F.array().cast("array<string>")).otherwise(F.split(trimmed, f"[{BLANKS}]+"))
     return let(words, lambda w: F.struct(
         F.size(w).cast("long").alias("n_words"),
         F.length(F.array_join(w, "")).cast("long").alias("word_chars"),

@@ -152,6 +152,28 @@ def test_quality_base_counts_and_threshold(spark, texts):
     assert quality_rules(none, trusted).count() == 0
 
 
+def test_quality_windows_that_share_half_a_hash(spark, monkeypatch):
+    """Repeated windows told apart by their whole hash where the packed part
+    meets; only then are pairs of hash and position sorted."""
+    import random
+    from pyspark.sql import functions as F
+    from revisit.llm import quality_rules as Q
+    from revisit.llm.quality_rules import base_counts
+    pick = random.Random(2)
+    texts = [" ".join(pick.choice("abcdefgh") for _ in range(n)) for n in (0, 1, 2, 3, 4, 9, 30, 90, 200, 200)] + ["x y z " * 400, "a a a a"]
+
+    def repeat(t):
+        w, at = t.split(), {}
+        for k in range(len(w) - 2):
+            at.setdefault(tuple(w[k:k + 3]), []).append(k)
+        return len({k + j for v in at.values() if len(v) > 1 for k in v for j in range(3)})
+
+    df, want = spark.createDataFrame(list(enumerate(texts)), "i int, t string"), [repeat(t) for t in texts]
+    for half in (Q.HALF, -1 << 61):  # three bits of the hash: most windows meet unequal ones
+        monkeypatch.setattr(Q, "HALF", half)
+        assert [r[0] for r in df.orderBy("i").select(base_counts(F.col("t"))["n_repeat_words"]).collect()] == want
+
+
 def test_quality_ratio_equals_brute_force(spark, texts):
     """Counts of hashed n-grams, one bucket each at this size, against counts
     of the n-grams themselves; trusted ids that repeat, are null or absent."""
