@@ -113,3 +113,15 @@ def test_search_fits_folds_side_by_side(spark, monkeypatch):
         M.grid_search(df, est, grid, fold_col="fold", folds=2)
     with pytest.raises(ValueError):
         M.grid_search(df, est, grid, fold_col="fold", folds=4)
+
+
+def test_composite_join_is_dealt_by_rows(spark, monkeypatch):
+    """The join of stays and totals runs in as many tasks as the stays."""
+    from revisit.plans.catalog import REGISTRY
+    query = REGISTRY["join_inner_composite"][0]
+    whole = query(spark, SMALL).drop("LOS_y")
+    monkeypatch.setattr(T, "TASK_ROWS", 500)
+    n = T.task_parts(T.table(spark, SMALL, "lineitem"))
+    got = query(spark, SMALL)
+    assert {m for keys, m in exchanges(got) if "ICUSTAY_ID" in keys} == {n}
+    assert same_rows(got.drop("LOS_y"), whole)
