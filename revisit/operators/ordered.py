@@ -54,7 +54,8 @@ def ordered_scan(df: DataFrame, keys: Sequence[str], order: Sequence,
     leads     (column, output) pairs: value of ``column`` on the next row
     has_next  name for a boolean: a next row exists within the key
     running   (column, output) pairs: inclusive running sum of ``column``
-    chunks    number of range chunks, else the session's shuffle partitions
+    chunks    number of range chunks, and of the tasks of the windows, else the
+              session's shuffle partitions
     """
     keys = list(keys)
     order = [_as_col(c) for c in order]
@@ -64,7 +65,8 @@ def ordered_scan(df: DataFrame, keys: Sequence[str], order: Sequence,
 
     w = Window.partitionBy(*keys, _CHUNK).orderBy(*order)
     upto = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    local = ranged.withColumn("_lrn", F.row_number().over(w))
+    windowed = ranged.repartition(chunks, *keys, _CHUNK) if chunks else ranged
+    local = windowed.withColumn("_lrn", F.row_number().over(w))
     for c, _ in leads:
         local = local.withColumn(f"_lead_{c}", F.lead(c).over(w))
     for c, _ in running:

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from revisit.functions.scalar import label_within
 from revisit.operators.journey import next_event_gap
-from revisit.sources.tables import bound
+from revisit.sources.tables import bound, dealt, scan, task_parts
 
 CARDIAC_SERVICES = ("CMED", "CSURG")
 
@@ -29,7 +29,7 @@ def cardiac_admissions(services: DataFrame, codes: Sequence[str] = CARDIAC_SERVI
 def readmission_gaps(spark: SparkSession, sf_dir: str, keep: Sequence[str] = ()) -> DataFrame:
     """Cardiac admissions that have a next admission, with the gap in days."""
     adm = bound(spark, sf_dir, "admissions")
-    gaps = next_event_gap(adm, keep=keep)
+    gaps = next_event_gap(adm, keep=keep, chunks=task_parts(scan(spark, sf_dir, "admissions")))
     return gaps.join(cardiac_admissions(bound(spark, sf_dir, "services")), "HADM_ID", "left_semi")
 
 
@@ -54,7 +54,7 @@ def surgeries(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def drg_means(spark: SparkSession, sf_dir: str) -> DataFrame:
     from revisit.operators.journey import group_mean_fill
-    return group_mean_fill(bound(spark, sf_dir, "drg_codes"), "HADM_ID",
+    return group_mean_fill(_by_admission(spark, sf_dir, "drg_codes"), "HADM_ID",
                            ["DRG_SEVERITY", "DRG_MORTALITY"])
 
 
@@ -64,6 +64,12 @@ def latest_icu(spark: SparkSession, sf_dir: str) -> DataFrame:
                              keep=["SUBJECT_ID", "LAST_CAREUNIT"])
 
 
+def _by_admission(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table dealt by admission, so that its roll-up and the joins of the cohort
+    with it keep their share of a task as the tables grow."""
+    return dealt(bound(spark, sf_dir, name), "HADM_ID", of=scan(spark, sf_dir, name))
+
+
 ADMISSION_ATTRS = ["ADMISSION_TYPE", "ADMITTIME", "ADMISSION_LOCATION", "DISCHARGE_LOCATION",
                    "INSURANCE", "RELIGION", "MARITAL_STATUS", "ETHNICITY"]
 
@@ -72,8 +78,8 @@ def cardiac_surgeries(spark: SparkSession, sf_dir: str, codes: Sequence[str] = C
                       surgical: str = "CSURG") -> DataFrame:
     """One row per admission that used a cardiac service, with its number of
     surgical service rows (0 if none): the cohort filter and the surgery count
-    in one partial aggregate over the services table."""
-    svc = bound(spark, sf_dir, "services")
+    in one aggregate over the services table."""
+    svc = _by_admission(spark, sf_dir, "services")
     return (svc.where(F.col("CURR_SERVICE").isin(list(codes))).groupBy("HADM_ID")
             .agg(F.count_if(F.col("CURR_SERVICE") == surgical).alias("NO_OF_SURGERIES")))
 
@@ -89,7 +95,8 @@ def enriched(spark: SparkSession, sf_dir: str) -> DataFrame:
     surgery count is one aggregate joined once (inner join = semi join, since
     the aggregate has one row per cardiac admission)."""
     from revisit.operators.joins import enrich_all
-    gaps = next_event_gap(bound(spark, sf_dir, "admissions"), keep=ADMISSION_ATTRS)
+    gaps = next_event_gap(bound(spark, sf_dir, "admissions"), keep=ADMISSION_ATTRS,
+                          chunks=task_parts(scan(spark, sf_dir, "admissions")))
     cohort = gaps.join(cardiac_surgeries(spark, sf_dir), "HADM_ID", "inner")
     # the one SUBJECT_ID-keyed join first; the HADM_ID-keyed joins then run
     # back to back on one hash partitioning of the left side

@@ -125,3 +125,19 @@ def test_composite_join_is_dealt_by_rows(spark, monkeypatch):
     got = query(spark, SMALL)
     assert {m for keys, m in exchanges(got) if "ICUSTAY_ID" in keys} == {n}
     assert same_rows(got.drop("LOS_y"), whole)
+
+
+def test_cohort_steps_are_dealt_by_rows(spark, monkeypatch):
+    """Windows by admissions, roll-ups and joins by admission id by line items."""
+    from revisit.plans import cohort as C
+    whole = C.enriched(spark, SMALL)
+    monkeypatch.setattr(T, "TASK_ROWS", 100)
+    chunks, n = (T.task_parts(T.table(spark, SMALL, t)) for t in ("orders", "lineitem"))
+    got = C.enriched(spark, SMALL)
+    assert 4 < chunks < n
+    held = exchanges(got)
+    assert {m for keys, m in held if "HADM_ID" in keys or "l_orderkey" in keys} == {n}
+    assert {m for keys, m in held if keys == "SUBJECT_ID, _chunk"} == {chunks}
+    assert same_rows(got, whole)
+    gaps = C.readmission_gaps(spark, SMALL)
+    assert {m for keys, m in exchanges(gaps) if keys == "SUBJECT_ID, _chunk"} == {chunks}
