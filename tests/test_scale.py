@@ -90,6 +90,7 @@ def test_fits_run_on_few_partitions(spark, monkeypatch):
     assert sorted(map(tuple, few.collect())) == sorted(map(tuple, df.collect()))
     monkeypatch.setattr(M, "TASK_BYTES", 4096)  # 7680 bytes of features
     assert M.fit_rows(df).rdd.getNumPartitions() == 2
+    assert M.fit_rows(df, task_bytes=2048).rdd.getNumPartitions() == 4  # the cores
     monkeypatch.setattr(M, "MOST_BYTES", 1024)
     assert M.fit_rows(df).rdd.getNumPartitions() == 8
     assert M.fit_rows(df.where("id < 0")).count() == 0
