@@ -116,6 +116,57 @@ def test_search_fits_folds_side_by_side(spark, monkeypatch):
         M.grid_search(df, est, grid, fold_col="fold", folds=4)
 
 
+def signal(spark):
+    """Rows that a forest splits to any depth, with labels that it can learn in part."""
+    rng = np.random.default_rng(11)
+    x = rng.normal(size=(300, 5)).round(1)
+    y = (x[:, 0] + x[:, 1] * x[:, 2] + rng.normal(size=300) > 0).astype(float)
+    from pyspark.ml.functions import array_to_vector
+    df = spark.createDataFrame([(float(b), i % 3, v.tolist()) for i, (v, b) in enumerate(zip(x, y))], "label double, fold int, x array<double>")
+    return df.select("label", "fold", array_to_vector("x").alias("features")).coalesce(1).cache()
+
+
+def test_grid_of_a_forest_scores_as_a_fit_per_point(spark):
+    """Depths and numbers of trees from one forest: as fits of their own, and a
+    prefix of the trees as the sum of their votes."""
+    from pyspark.ml.tuning import CrossValidator
+    from revisit.ml import forest_grid as FG
+    from revisit.ml import models as M
+    df, est = signal(spark), M.random_forest(trees=9, max_features=3)
+    grid = {"maxDepth": [1, 2, 4, 7], "impurity": ["gini", "entropy"]}
+    got = M.grid_search(df, est, grid, fold_col="fold", folds=3)
+    want = CrossValidator(estimator=est, estimatorParamMaps=got.getEstimatorParamMaps(), evaluator=M.auc_evaluator(), numFolds=3, foldCol="fold").fit(df)
+    assert got.avgMetrics == pytest.approx(want.avgMetrics, abs=1e-12) and got.stdMetrics == pytest.approx(want.stdMetrics, abs=1e-12)
+    assert len(set(got.avgMetrics)) > 4 and got.bestModel.toDebugString == want.bestModel.toDebugString
+    model = est.fit(df)
+    rows = FG.held_out_scores(df, FG.read_forest(model), [2, 9], [10], "features", "label").collect()
+    for r, row in zip(rows[:40], df.collect()):
+        votes = [t.predictProbability(row["features"])[1] for t in model.trees]
+        assert r["score"] == pytest.approx([sum(votes[:2]), sum(votes)])
+
+
+def test_blocks_of_trees_are_one_forest(spark, monkeypatch):
+    from revisit.ml import forest_grid as FG
+    from revisit.ml import models as M
+    df, est, fitted = signal(spark), M.random_forest(max_features=3, depth=4), []
+    monkeypatch.setattr(FG, "NODES", 100)
+    read = FG.read_forest
+    monkeypatch.setattr(FG, "read_forest", lambda m: fitted.append(m.getNumTrees) or read(m))
+    cv = M.grid_search(df, est, {"numTrees": [2, 5, 8]}, fold_col="fold", folds=3)
+    assert sorted(fitted) == [2] * 3 + [3] * 6 and len(cv.avgMetrics) == 3 and min(cv.avgMetrics) > 0.6
+
+
+def test_grid_query_has_every_point(spark, monkeypatch):
+    """No point of the forest grid is left out."""
+    from revisit.ml import models as M
+    from revisit.plans.catalog_ml import q_grid
+    asked = []
+    monkeypatch.setattr(M, "grid_search", lambda df, est, grid, **k: asked.append((dict(grid), k["folds"])))
+    monkeypatch.setattr(M, "best_params", lambda cv: {"cv_auc": 0.5})
+    q_grid(spark, SMALL)
+    assert asked == [(M.RF_GRID, 10)] and np.prod([len(v) for v in M.RF_GRID.values()]) == 700
+
+
 def test_composite_join_is_dealt_by_rows(spark, monkeypatch):
     """The join of stays and totals runs in as many tasks as the stays."""
     from revisit.plans.catalog import REGISTRY
