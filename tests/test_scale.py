@@ -145,6 +145,15 @@ def test_grid_of_a_forest_scores_as_a_fit_per_point(spark):
         assert r["score"] == pytest.approx([sum(votes[:2]), sum(votes)])
 
 
+def test_forest_keeps_the_nodes_of_its_rows(spark):
+    """The same trees as with a walk from the root at each level."""
+    from revisit.ml import models as M
+    df, est = signal(spark), M.random_forest(trees=7, max_features=3, depth=6)
+    assert est.getCacheNodeIds()
+    walked = est.copy({est.cacheNodeIds: False})
+    assert est.fit(df).toDebugString.split("\n", 1)[1] == walked.fit(df).toDebugString.split("\n", 1)[1]
+
+
 def test_blocks_of_trees_are_one_forest(spark, monkeypatch):
     from revisit.ml import forest_grid as FG
     from revisit.ml import models as M
